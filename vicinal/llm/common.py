@@ -47,6 +47,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % HELD_OUT_MOD == 0
 
 
+#: Tables of up to so many narrow rows are broadcast where a side of a join may be small.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint behind a check of its size; beyond it, Spark joins by a shuffle."""
+    return F.broadcast(df) if small_enough(df, most_rows) else df
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than one row beyond that."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vicinal.llm import sharding, warc
+from vicinal.llm import language, mixing, neardup, secrets, sharding, warc
 
-MODULES = [warc, sharding]
+MODULES = [warc, secrets, neardup, sharding, language, mixing]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
