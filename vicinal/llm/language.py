@@ -204,6 +204,31 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(score, schema)
 
 
+#: A text that costs more bits a byte than this under every language is noise.
+MOST_BITS = 4.5
+
+
+def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language is determined and whose text is not noise.
+
+    Where nothing could be learnt, every text with a letter is accepted.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(text: str | None) -> bool:
+        if not shared.value.langs:
+            return has_letter(text)
+        lang, _, bits = shared.value.predict(text)
+        return lang != UNDETERMINED and bits <= most_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([keep(x.as_py()) for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte of every document."""
     model = fit(docs, fit_rows)

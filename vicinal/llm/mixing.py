@@ -175,10 +175,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     takes its middle word in the last pass, so texts are never cut.
     """
     columns = docs.columns
-    mixed = mix(docs.withColumn("size", word_count(F.col("text"))), **settings)
+    # The row itself travels as one struct, so its names cannot clash with those of the mix.
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*columns).alias("_row"))
     middle = F.floor(F.col("size") / 2)
-    copies = F.coalesce(F.size(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle))), F.lit(0))
-    return mixed.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    copies = F.size(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle)))
+    picked = mix(rows, **settings).withColumn("_copies", copies).filter("_copies > 0")
+    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op10_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def cross_pairs(open_rows: DataFrame, reps: DataFrame, threshold: float) -> Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component", "n_shingles", "sig")
 
-    def run(_, group: pa.Table) -> pa.Table:
+    def run(_, group):
         ids, comps, sizes, mine, j = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine", "j"))
         sig = signatures(group.column("sig"), len(group.column("sig")[0].as_py()) // 2)
         left, right = np.flatnonzero(mine != j[0]), np.flatnonzero(mine == j[0])
@@ -279,6 +279,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, without all but one of each group of near-duplicates.
+
+    Only the ids that go are joined, and broadcast if few. Rows that repeat an
+    id and its text are made one where there are any.
+    """
+    found = written(near_duplicates(docs, words, percent), "components")
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    again = written(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("id")), "again")
+    out = restrict(docs, "doc_id", gone, "left_anti")
+    if again.isEmpty():
+        return out
+    return restrict(out, "doc_id", again, "left_anti").union(restrict(out, "doc_id", again).dropDuplicates(["doc_id", "text"]))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, similarity 0.8."""
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -286,5 +301,36 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_minhash_neardup": op6_minhash_neardup}
-#: Exact similarity join for comparison; its cost limits it to small scale factors.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # An exact similarity join over an inverted index of shingles; components by reachability.
+    "op6_minhash_neardup": """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE
+            WHEN len(ws) = 0 THEN []
+            WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g
+        FROM w
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), l AS (
+        SELECT a.doc_id AS a, b.doc_id AS b
+        FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+        JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+        HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+    ), e AS (
+        SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+    ), r(doc_id, node) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION
+        SELECT r.doc_id, e.b FROM r JOIN e ON r.node = e.a
+    ), c AS (
+        SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+    """
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vicinal.llm import language, mixing, neardup, secrets, sharding, warc
+from vicinal.llm import chat, decontaminate, fingerprint, language, mixing, neardup, secrets, sharding, toxicity, warc
 
-MODULES = [warc, secrets, neardup, sharding, language, mixing]
+MODULES = [warc, secrets, toxicity, fingerprint, chat, neardup, decontaminate, sharding, language, mixing]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
