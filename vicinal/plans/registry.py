@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from vicinal.plans import table_queries, vector_queries
+
+QUERIES: dict = vector_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict[str, str] = vector_queries.ORACLE_SQL | table_queries.ORACLE_SQL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,21 @@ def local_session(app: str = "vicinal", cores: str = "*", partitions: int = 8, m
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as on
+    one machine, a folder of the machine's own is set once.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        at = tempfile.mkdtemp(prefix="vicinal-shared-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark).rstrip('/')}/vicinal/{name}-{uuid.uuid4().hex}"
