@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.session import new_path
+
 #: Rows with this remainder are held out from learning labels.
 HELD_OUT_MOD = 5
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a folder of the machine's own is set once.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        at = tempfile.mkdtemp(prefix="vicinal-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/vicinal/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table of the shared folder: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession

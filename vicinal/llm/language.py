@@ -90,7 +90,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def fitting_rows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Labelled rows to learn from: all of a language up to about ``fit_rows``, else a share by hash."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
     share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11).cast("double") * F.lit(2.0**-53)
     return labelled.join(broadcast_if_small(sizes), "lang").filter(share * F.col("_rows") < fit_rows).select("lang", "text")

@@ -174,8 +174,8 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
 
 def restrict(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows whose ``column`` is (or, as an anti-join, is not) the ``id`` of a table of distinct ids."""
-    ids = ids.select(F.col("id").alias("_id"))
-    return rows.join(broadcast_if_small(ids), F.col(column) == F.col("_id"), how)
+    ids = ids.select(F.col("id").alias("_id_of_restrict"))
+    return rows.join(broadcast_if_small(ids), F.col(column) == F.col("_id_of_restrict"), how)
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import partitions
+from vicinal.llm.common import broadcast_if_small, partitions
 from vicinal.session import table
 
 #: A tree is a list of leaves: (region, rack, shard, weight).
@@ -72,36 +72,30 @@ def shard_of(key: Column, tree: list[Leaf]) -> Column:
     return step("").cast("int")
 
 
-def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, as ``slot``.
+def with_slots(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, shard, row: a struct) with ``slot``: a number without gaps, from 0, in each shard.
 
     A shard is cut into chunks by a hash of its rows, so that many tasks number
     one shard. The chunks' first slots come from a table of (shard, chunk)
     counts with one row for each pair, whose size the tree bounds.
     """
-    chunks = partitions(df.sparkSession)
-    rest = [c for c in df.columns if c not in (shard, key, "slot")]
-    df = df.drop("slot").withColumn("_row", F.xxhash64(key, *rest)).withColumn("_chunk", F.pmod("_row", F.lit(chunks)).cast("int"))
-    first = (
-        df.groupBy(shard, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_first", F.sum("_n").over(Window.partitionBy(shard).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col(shard).alias("_shard"), F.col("_chunk").alias("_at"), F.coalesce("_first", F.lit(0)).alias("_first"))
-    )
-    within = F.row_number().over(Window.partitionBy(shard, "_chunk").orderBy(key, "_row"))
-    return (
-        df.withColumn("_within", within)
-        .join(F.broadcast(first), (F.col(shard) == F.col("_shard")) & (F.col("_chunk") == F.col("_at")))
-        .withColumn("slot", (F.col("_first") + F.col("_within") - 1).cast("long"))
-        .drop("_row", "_chunk", "_within", "_shard", "_at", "_first")
-    )
+    chunks = partitions(rows.sparkSession)
+    rows = rows.withColumn("hash", F.xxhash64("key", "row"))
+    rows = rows.withColumn("chunk", F.pmod("hash", F.lit(chunks)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("key", "hash"))
+    numbered = rows.withColumn("within", within).join(broadcast_if_small(first), ["shard", "chunk"])
+    return numbered.withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("hash", "chunk", "within", "first")
 
 
 def shard_documents(docs: DataFrame, tree: list[Leaf], key: str = "doc_id") -> DataFrame:
     """``docs`` with the columns shard, slot and grown_shard (the shard with one more leaf)."""
-    out = docs.drop("shard", "grown_shard", "slot")
-    out = out.withColumn("shard", shard_of(F.col(key), tree)).withColumn("grown_shard", shard_of(F.col(key), grown_tree(tree)))
-    return with_slots(out, key=key)
+    carried = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
+    # The row travels as one struct, so its names cannot clash with those used here.
+    rows = docs.select(F.col(key).alias("key"), F.struct(*carried).alias("row"))
+    rows = rows.withColumn("shard", shard_of(F.col("key"), tree)).withColumn("grown_shard", shard_of(F.col("key"), grown_tree(tree)))
+    return with_slots(rows).select("row.*", "shard", "slot", "grown_shard")
 
 
 def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
