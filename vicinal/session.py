@@ -18,6 +18,7 @@ def local_session(app: str = "vicinal", cores: str = "*", partitions: int = 8, m
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
