@@ -1,8 +1,7 @@
 """Every registered query of the engine runs, and gives what its SQL gives."""
 
 import pytest
-from conftest import SF
-from helpers import same_rows
+from helpers import SF, same_rows
 
 from vicinal.plans import registry
 

@@ -1,4 +1,4 @@
-from conftest import SF
+from helpers import SF
 from helpers import plain
 
 from vicinal.plans.vector_queries import knn_vote_score, stream_score

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark).rstrip('/')}/vicinal/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once a Spark context.
+
+    A session may have been started from another folder, or on machines where
+    the package is not installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_vicinal_shipped", False):
+        return
+    source = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="vicinal-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/vicinal", "zip", source.parent, source.name))
+    context._vicinal_shipped = True
