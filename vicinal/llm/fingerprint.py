@@ -6,9 +6,11 @@ it is one depends on the k-mer alone, not on what surrounds it, so the same
 passage gives the same anchors in any text, and the anchors of a text that was
 pieced together are those of its pieces and of the few k-mers over the seam.
 
-Texts are turned into UTF-32, where a substring is found by its offset, so the
-hashes of all inner substrings take one pass, and the smallest of a window of
-8 takes three more (over 2, 4 and 8 neighbours). A fingerprint is the bottom-m
+A substring of a long string is found by counting from its start, so texts are
+first cut into overlapping chunks in two levels; the hashes of all inner
+substrings then take one pass, and the smallest of a window of 8 takes three
+more (over 2, 4 and 8 neighbours). The hash of a k-mer combines those of its first and last
+inner substrings, which cover it. A fingerprint is the bottom-m
 sketch of the set of anchor hashes: the ``SIZE`` smallest, in hexadecimal. The
 likeness of two fingerprints is the bottom-m estimate of the Jaccard
 similarity of the anchor sets, which is exact for sets of up to SIZE anchors.
@@ -33,46 +35,49 @@ from pyspark.sql import functions as F
 
 from vicinal.session import table
 
-K, S = 20, 13
+K, S = 15, 8
+#: Inner substrings begin so often in a chunk and in a part of it.
+CHUNK, PART = 4096, 64
 SIZE = 64
 BUCKET_ROWS = 1000
 #: Ranges of ids at most; their first ids are broadcast (16 bytes each).
 MOST_BUCKETS = 1 << 17
 #: Ids are cut at so many quantiles, and evenly between two quantiles.
 QUANTILES = 128
-assert K - S + 1 == 8, "the window minimum below is over 8 neighbours"
+#: The places of inner substrings in a k-mer; first and last must cover it.
+LAST = K - S
+assert LAST == 7 and LAST <= S, "the window minimum below is over 8 neighbours"
 
 
-def _utf32(text: Column) -> Column:
-    return F.encode(text, "UTF-32")
+def inner_hashes(text: Column) -> Column:
+    """The hashes of all substrings of S code points of a text that has at least S."""
+    begins = lambda x, step: F.sequence(F.lit(0), F.greatest(F.length(x) - S, F.lit(0)), F.lit(step))
+    cut = lambda x, at, n: F.substring(x, at + 1, F.lit(n + S - 1))
+    part = lambda p: F.transform(begins(p, 1), lambda i: F.xxhash64(F.substring(p, i + 1, F.lit(S))))
+    chunk = lambda c: F.flatten(F.transform(F.transform(begins(c, PART), lambda at: cut(c, at, PART)), part))
+    return F.flatten(F.transform(F.transform(begins(text, CHUNK), lambda at: cut(text, at, CHUNK)), chunk))
 
 
-def _part(code: Column, at: Column, length: int) -> Column:
-    """Code points at..at+length (from 0) of a UTF-32 text."""
-    return F.substring(code, at * 4 + 1, F.lit(4 * length))
-
-
-def _least_of_neighbours(values: Column, shift: int) -> Column:
+def _least_with(values: Column, shift: int) -> Column:
     """The smaller of each value and the one ``shift`` places on."""
-    n = F.size(values)
-    return F.zip_with(F.slice(values, F.lit(1), n - shift), F.slice(values, F.lit(1 + shift), n - shift), lambda a, b: F.when(a < b, a).otherwise(b))
+    return F.zip_with(values, F.slice(values, F.lit(1 + shift), F.size(values)), lambda a, b: F.least(a, b))
 
 
 def with_anchors(df: DataFrame, text: str, at: str, hashes: str) -> DataFrame:
     """``df`` with the places (from 0) and hashes of the closed syncmers of a non-null text column."""
     size = F.length(text)
-    last = F.greatest(size - K, F.lit(0))
-    # Each step is a column of its own, so that no expression is evaluated twice.
-    df = df.withColumn("_code", _utf32(F.col(text)))
-    df = df.withColumn("_inner", F.when(size >= K, F.transform(F.sequence(F.lit(0), F.greatest(size - S, F.lit(0))), lambda i: F.xxhash64(_part(F.col("_code"), i, S)))))
-    df = df.withColumn("_least", _least_of_neighbours(F.col("_inner"), 1))
-    df = df.withColumn("_least", _least_of_neighbours(F.col("_least"), 2))
-    df = df.withColumn("_least", _least_of_neighbours(F.col("_least"), 4))
-    edge = lambda i: (F.get("_inner", i) == F.get("_least", i)) | (F.get("_inner", i + (K - S)) == F.get("_least", i))
-    found = F.when(size >= K, F.filter(F.sequence(F.lit(0), last), edge)).when(size > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(at, found)
-    df = df.withColumn(hashes, F.transform(at, lambda i: F.xxhash64(_part(F.col("_code"), i, K))))
-    return df.drop("_code", "_inner", "_least")
+    # Columns of their own, each used more than once, so the optimizer does not put one inside the next.
+    df = df.withColumn("_inner", F.when(size >= K, inner_hashes(F.col(text))))
+    # The smallest of 2, 4 and 8 neighbours; null neighbours beyond the end are passed over.
+    df = df.withColumn("_least", _least_with(F.col("_inner"), 1))
+    df = df.withColumn("_least", _least_with(F.col("_least"), 2))
+    df = df.withColumn("_least", F.zip_with(_least_with(F.col("_least"), 4), _least_with(F.col("_inner"), LAST), lambda m, edges: m == edges))
+    found = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_least") - LAST - 1, F.lit(0))), lambda i: F.get("_least", i))
+    h = lambda i: F.get("_inner", i)
+    df = df.withColumn(at, F.when(size >= K, found).when(size > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    joined = F.transform(at, lambda i: F.xxhash64(h(i), h(i + LAST)))
+    df = df.withColumn(hashes, F.when(size >= K, joined).when(size > 0, F.array(F.xxhash64(F.col(text)))).otherwise(F.array().cast("array<bigint>")))
+    return df.drop("_inner", "_least")
 
 
 def sketch(hashes: Column) -> Column:
