@@ -104,6 +104,7 @@ class Model:
         self.langs = sorted(grams)
         if not self.langs:
             return
+        self.trained = {x: sum(grams[x].values()) for x in self.langs}
         trees = [self._tree(grams[x]) for x in self.langs]
         symbols = sorted({s for t in trees for s in t[0][()]})
         #: Byte to symbol; bytes that no text had share the last symbol.
@@ -204,13 +205,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(score, schema)
 
 
-#: A text that costs more bits a byte than this under every language is noise.
-MOST_BITS = 4.5
+#: A language learnt from fewer bytes than this does not call any text noise.
+LEAST_BYTES = 50_000
 
 
-def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is determined and whose text is not noise.
 
+    Noise costs more bits a byte than a code that knows nothing of the text.
     Where nothing could be learnt, every text with a letter is accepted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,7 +222,7 @@ def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> Dat
         if not shared.value.langs:
             return has_letter(text)
         lang, _, bits = shared.value.predict(text)
-        return lang != UNDETERMINED and bits <= most_bits
+        return lang != UNDETERMINED and (bits <= np.log2(shared.value.size) or shared.value.trained[lang] < LEAST_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -52,7 +52,7 @@ FIT_ROWS = 60_000
 MOST_TERMS = 5_000
 SIGNIFICANCE = 0.01
 LEAST_PURITY = 0.8
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 ONE_EDIT, TWO_EDITS = 5, 9
 WORD_CACHE = 500_000
 #: Characters looked at on each side of a hit.
@@ -259,8 +259,12 @@ def learn_lexicon(counts: DataFrame, texts: int, toxic: int) -> Lexicon:
     for r in rows:
         if tail_log(r["n"], r["toxic"], base) <= math.log(SIGNIFICANCE / tested):
             kept[r["kind"], r["term"]] = math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5) * (1 - base) / base)
+    seen = {(r["kind"], r["term"]): r["toxic"] for r in rows}
     stems: dict[str, float] = {}
     for (kind, term), weight in sorted(kept.items()):
+        # A stem that nearly always comes from one word is that word.
+        if kind and any(not k and w.startswith(term) and seen[k, w] >= 0.9 * seen[kind, term] for k, w in kept):
+            continue
         if kind and not any(stems.get(term[:k], 0) >= weight - 1 for k in range(1, len(term))):
             stems[term] = weight
     words = {t: w for (kind, t), w in kept.items() if not kind and not any(stems.get(t[:k], 0) >= w - 1 for k in range(1, len(t)))}
