@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +46,16 @@ BATCH = 42
 #: A pair at the threshold is pruned with at most about this probability a batch.
 MISS = 1e-7
 #: Side of a block of bucket members that one task compares.
-BLOCK = 256
-WORD_CACHE = 1_000_000
+BLOCK = 512
+#: ... or fewer, so that a block has about so many shingles (8 bytes each) at most.
+BLOCK_SHINGLES = 2_000_000
+WORD_CACHE = 200_000
 
 
 class _WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= WORD_CACHE:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -150,8 +151,6 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
     """doc_id, n_shingles, digest, sig, bands of every document, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes, factors = _WordHash(), _multipliers(bands * rows)
         for batch in batches:
             sizes, digests, sigs, keys = [], [], [], []
@@ -199,55 +198,116 @@ def survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the similarity."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles (sorted hashes) of the documents with the given ids, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
-            sets = [shingle_set(x.as_py(), words, hashes).view(np.int64) for x in batch.column(1)]
+            sets = [np.sort(shingle_set(x.as_py(), words, hashes).view(np.int64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    texts = restrict(docs.select("doc_id", "text"), "doc_id", endpoints(pairs))
-    sets = written(texts.mapInArrow(run, "doc_id bigint, shingles array<bigint>"), "sets")
+    texts = restrict(docs.select("doc_id", "text"), "doc_id", ids)
+    return written(texts.mapInArrow(run, "doc_id bigint, shingles array<bigint>"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets reach the similarity."""
+    sets = shingle_sets(docs, endpoints(pairs), words)
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(side("b"), "b").join(side("a"), "a").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b").distinct()
 
 
-def cross_pairs(open_rows: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs of members of one bucket in different components, in blocks of bounded size.
+def blocks(open_rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of open buckets with their facts (doc_id, ...), dealt to pairs of blocks (key, i, j).
 
-    A bucket of m members is cut into ceil(m / BLOCK) blocks, and each pair of
-    blocks is a group of its own: no task holds a whole large bucket, and the
-    comparisons stay inside tasks, so only plausible pairs become rows.
+    A bucket is cut into blocks of about BLOCK members, fewer if their texts are
+    long, and each pair of blocks is a group of its own, so no task holds a
+    whole large bucket.
     """
-    sigs = restrict(reps.select("doc_id", "n_shingles", "sig"), "doc_id", written(open_rows.select(F.col("doc_id").alias("id")).distinct(), "ids")).dropDuplicates(["doc_id"])
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("g"))
-    rows = open_rows.join(sizes, "key").join(sigs, "doc_id").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    rows = open_rows.join(facts, "doc_id")
+    need = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+    sizes = open_rows.join(facts.select("doc_id", "n_shingles"), "doc_id").groupBy("key").agg(F.ceil(need).cast("int").alias("g"))
+    rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component", "n_shingles", "sig")
-
-    def run(_, group):
-        ids, comps, sizes, mine, j = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine", "j"))
-        sig = signatures(group.column("sig"), len(group.column("sig")[0].as_py()) // 2)
-        left, right = np.flatnonzero(mine != j[0]), np.flatnonzero(mine == j[0])
-        if not len(left):
-            left = right  # a block with itself
-        found_a, found_b = [], []
-        for x in left:
-            ys = right[comps[right] != comps[x]]
-            ys = ys[(np.minimum(sizes[ys], sizes[x]) >= np.maximum(sizes[ys], sizes[x]) * (threshold - 1e-9))]
-            if left is right:
-                ys = ys[ids[ys] > ids[x]]
-            if len(ys):
-                ys = ys[plausible(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], threshold)]
-                found_a += [ids[x]] * len(ys)
-                found_b += ids[ys].tolist()
-        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("g", "other").groupBy("key", "i", "j")
+
+
+class BlockPairs:
+    """The plausible pairs of a pair of blocks whose members are in different components.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
+
+    def __init__(self, group: pa.Table, threshold: float) -> None:
+        self.ids, self.comps, self.sizes, mine = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine"))
+        self.comps, self.threshold = self.comps.copy(), threshold
+        self.sig = signatures(group.column("sig"), len(group.column("sig")[0].as_py()) // 2)
+        self.bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        self.band = int(np.flatnonzero(self.bands[0] == group.column("key")[0].as_py())[0])
+        j = group.column("j")[0].as_py()
+        self.left, self.right = np.flatnonzero(mine != j), np.flatnonzero(mine == j)
+        self.own = not len(self.left)
+        if self.own:
+            self.left = self.right  # a block with itself
+
+    def partners(self, x: int) -> np.ndarray:
+        """The places of the plausible partners of the member at place x."""
+        ys = self.right[self.comps[self.right] != self.comps[x]]
+        if self.own:
+            ys = ys[self.ids[ys] > self.ids[x]]
+        ys = ys[np.minimum(self.sizes[ys], self.sizes[x]) >= np.maximum(self.sizes[ys], self.sizes[x]) * (self.threshold - 1e-9)]
+        ys = ys[~(self.bands[ys, : self.band] == self.bands[x, : self.band]).any(axis=1)] if len(ys) else ys
+        return ys[plausible(np.broadcast_to(self.sig[x], (len(ys), self.sig.shape[1])), self.sig[ys], self.threshold)] if len(ys) else ys
+
+    def merge(self, x: int, y: int) -> None:
+        self.comps[self.comps == self.comps[y]] = self.comps[x]
+
+
+def cross_links(open_rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components, confirmed on the full sets.
+
+    Comparisons stay inside tasks: the first pass returns the documents that
+    have any plausible partner, the second gets those documents' sets and
+    returns true links only. So near copies that miss the threshold narrowly
+    do not become a row a pair.
+    """
+    threshold = percent / 100
+    ids = written(open_rows.select(F.col("doc_id").alias("id")).distinct(), "ids")
+    facts = restrict(reps.select("doc_id", "n_shingles", "sig", "bands"), "doc_id", ids).dropDuplicates(["doc_id"])
+
+    def find(_, group):
+        pairs, hit = BlockPairs(group, threshold), np.zeros(group.num_rows, bool)
+        for x in pairs.left:
+            if len(ys := pairs.partners(x)):
+                hit[ys] = hit[x] = True
+        return pa.table({"id": pa.array(pairs.ids[hit])})
+
+    near = written(blocks(open_rows, facts).applyInArrow(find, "id bigint").distinct(), "near")
+    sets = shingle_sets(docs, near, words).dropDuplicates(["doc_id"])
+    with_sets = restrict(facts, "doc_id", near).join(sets, "doc_id")
+
+    def confirm(_, group):
+        pairs, found = BlockPairs(group, threshold), []
+        column = group.column("shingles").combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        for x in pairs.left:
+            ys, mine = pairs.partners(x), flat[ends[x] : ends[x + 1]]
+            if not len(ys) or not len(mine):
+                continue
+            for y in ys:
+                if pairs.comps[y] == pairs.comps[x]:
+                    continue  # linked in the meantime
+                other = flat[ends[y] : ends[y + 1]]
+                both = np.count_nonzero(mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other)
+                if both * 100 >= (len(other) + len(mine) - both) * percent:
+                    found.append((min(pairs.ids[x], pairs.ids[y]), max(pairs.ids[x], pairs.ids[y])))
+                    pairs.merge(x, y)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    again = restrict(open_rows, "doc_id", near)
+    return blocks(again, with_sets).applyInArrow(confirm, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -269,9 +329,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
     open_rows = written(placed.join(split, "key", "left_semi"), "open")
-    more = written(cross_pairs(open_rows, reps, threshold).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = written(cross_links(open_rows, reps, docs, words, percent), "links")
     if not more.isEmpty():
-        links = links.union(written(confirmed(more, docs, words, percent), "links"))
+        links = links.union(more)
         found = written(components(links), "components")
 
     named_classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
