@@ -19,8 +19,8 @@ Passages go through the documents in blocks of ``BLOCK_ITEMS``, so what is
 broadcast is bounded: a block of passages, and a basis of at most
 ``BUCKETS * RANK`` numbers.
 
-Words are lower-cased runs of characters without white space, stripped of
-punctuation at both ends.
+Words are lower-cased runs of characters other than white space and ASCII
+punctuation.
 
 Defined cases: null and wordless texts leak nothing; passages without words
 are never found; a passage shorter than a window is compared as it is; rows
@@ -31,6 +31,7 @@ are all reported; an empty benchmark gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,34 +44,31 @@ from vicinal.session import table
 BUCKETS = 2**17
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
 BLOCK_ITEMS = 20_000
-SCALES = (16, 32, 64)
-LEAST_COSINE = 0.5
+#: The shortest window, and by how much the next is longer; the longest holds a third of the longest passage.
+SHORTEST, LONGER = 16, 3
+LEAST_COSINE = 0.6
 SURE, LIKELY = 0.8, 0.5
 ANSWER = 0.8
 WORD_CACHE = 500_000
 #: Passages of fewer words say too little to be found.
 LEAST_WORDS = 5
-_EDGES = b".,;:!?\"'()[]{}<>|*#%&$-_/\\"
+_SPACES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
 class _Bucket(dict):
-    """The bucket of a word as it stands in a text, remembered up to a bound; -1 for punctuation alone."""
+    """The bucket of a word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= WORD_CACHE:
             self.clear()
-        bare = word.strip(_EDGES)
-        out = self[word] = xxhash.xxh3_64_intdigest(bare) % BUCKETS if bare else -1
+        out = self[word] = crc32(word) % BUCKETS
         return out
 
 
 def word_buckets(text: str | None, known: dict) -> np.ndarray:
     """The buckets of a text's words, in order."""
-    words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
-    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return found[found >= 0]
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -93,6 +91,18 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((total + 1) / (counts + 1)).astype(np.float32) + np.float32(1e-3)
 
 
+def tf_idf(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a unit TF-IDF row.
+
+    Words of less than half the row's mean-square weight are left out: together
+    they hold a few per cent of the weight, but most of the words of any text.
+    """
+    cols, tf = np.unique(words, return_counts=True)
+    vals = tf * weights[cols]
+    kept = vals >= 0.5 * np.sqrt((vals * vals).mean())
+    return cols[kept], vals[kept] / np.linalg.norm(vals[kept])
+
+
 def passages(benchmark: DataFrame, idf) -> DataFrame:
     """item_id, words, answer, cols, vals: buckets in order and the unit TF-IDF row of each passage, as a written table.
 
@@ -110,9 +120,7 @@ def passages(benchmark: DataFrame, idf) -> DataFrame:
                     continue
                 sentences = [s for s in (text or "").replace("\n", " ").split(". ") if s.strip()]
                 answer = word_buckets(batch.column(2)[i].as_py() if answers else sentences[-1], known)
-                cols, tf = np.unique(words, return_counts=True)
-                vals = tf * weights[cols]
-                rows.append((item, words, answer, cols, vals / np.linalg.norm(vals)))
+                rows.append((item, words, answer, *tf_idf(words, weights)))
             if rows:
                 kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "words", "answer", "cols", "vals"])
@@ -180,22 +188,40 @@ class Index:
     """A block of passages in latent space, with what a task needs to search a document."""
 
     def __init__(self, idf: np.ndarray, used: np.ndarray, basis: np.ndarray, items: list[tuple]) -> None:
-        self.idf, self.basis = idf, basis
+        self.idf, self.squared, self.basis = idf, idf.astype(np.float64) ** 2, basis
         self.row = np.full(BUCKETS, -1, np.int32)
         self.row[used] = np.arange(len(used), dtype=np.int32)
         self.items = items
+        self.scales = [SHORTEST]
+        while self.scales[-1] * LONGER < max(len(x[1]) for x in items):
+            self.scales.append(self.scales[-1] * LONGER)
         latent = np.array([x[4] @ basis[self.row[x[3]]] for x in items], np.float32).reshape(len(items), basis.shape[1])
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.maximum(norms, 1e-9)
 
+    def fold(self, weight: np.ndarray, row: np.ndarray, near: np.ndarray, step: int) -> np.ndarray:
+        """The latent vectors of windows of four steps, the first of which are ``near``.
+
+        Words that windows share are looked up once: a small matrix of words by
+        windows meets the basis of the words in one product.
+        """
+        steps = np.unique(near[:, None] + np.arange(4))
+        at = (steps[:, None] * step + np.arange(step)).ravel()
+        at = at[at < len(row)]
+        at = at[row[at] >= 0]
+        used, place = np.unique(row[at], return_inverse=True)
+        sums = np.bincount(np.searchsorted(steps, at // step) * len(used) + place, weight[at], len(steps) * len(used)).reshape(len(steps), len(used))
+        first = np.searchsorted(steps, near)
+        return (sums[first] + sums[first + 1] + sums[first + 2] + sums[first + 3]).astype(np.float32) @ self.basis[used]
+
     def candidates(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Passage number -> (cosine, first, end word) of its best window."""
-        weight = self.idf[words]
-        row = self.row[words]
-        mass = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-        inside = np.concatenate([[0], np.cumsum(np.where(row >= 0, weight.astype(np.float64) ** 2, 0))])
+        weight, squared, row = self.idf[words], self.squared[words], self.row[words]
+        mass, inside = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+        np.cumsum(squared, out=mass[1:])
+        np.cumsum(squared * (row >= 0), out=inside[1:])
         out: dict[int, tuple[float, int, int]] = {}
-        for scale in SCALES:
+        for scale in self.scales:
             first = np.arange(0, max(len(words) - scale, 0) + scale // 4, scale // 4)
             first = first[first < len(words)]
             end = np.minimum(first + scale, len(words))
@@ -206,10 +232,7 @@ class Index:
                 if scale >= len(words):
                     break
                 continue
-            folded = np.empty((len(near), self.basis.shape[1]), np.float32)
-            for k, i in enumerate(near):
-                at = np.flatnonzero(row[first[i] : end[i]] >= 0) + first[i]
-                folded[k] = weight[at] @ self.basis[row[at]]
+            folded = np.vstack([self.fold(weight, row, near[c : c + 128], scale // 4) for c in range(0, len(near), 128)])
             cosine = folded @ self.latent.T / np.sqrt(total[near])[:, None]
             for k, item in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
                 if cosine[k, item] > out.get(int(item), (0.0,))[0]:
