@@ -111,3 +111,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert d.find_leaks(odd_docs, items.limit(0)).count() == 0 and d.find_leaks(no_docs, items).count() == 0
     answers = items.limit(1).selectExpr("item_id", "text", "'no such answer' as answer")
     assert d.find_leaks(odd_docs, answers).count() == 2  # whole copies need no answer
+
+
+def zipf(rng, n, vocabulary=20000):
+    return [f"w{int(vocabulary ** rng.random())}" for _ in range(n)]
+
+
+def leaks_of(spark, docs, items):
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in d.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+
+
+def test_more_passages_than_the_rank_lose_no_copy(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(zipf(rng, 40))) for i in range(2000)]
+    docs = [(i, " ".join(zipf(rng, 60) + items[i][1].split() + zipf(rng, 60))) for i in range(0, 2000, 4)]
+    got = leaks_of(spark, docs + [(10_000 + i, " ".join(zipf(rng, 200))) for i in range(200)], items)
+    assert got == {(i, i) for i, _ in docs}

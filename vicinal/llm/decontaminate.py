@@ -9,6 +9,11 @@
    is folded into the latent space, and its cosine with each passage decides
    whether the pair is a candidate. The window's share of weight in words of
    the benchmark bounds every such cosine, so most windows need no projection.
+   The basis holds only part of a passage once there are more passages than its
+   rank. So every passage is looked for by its words as well: the weight of the
+   words that it has in common with a window is never less than that of a common
+   subsequence, and every window that reaches ``LIKELY`` is a candidate. No copy
+   that lies within one and a half lengths of its passage is lost by this.
 4. A candidate is checked on its words: the longest common subsequence of the
    passage and the document around the window, weighted by IDF, as a share of
    the passage. A share of ``SURE`` or more is a leak; a lower one from
@@ -49,6 +54,10 @@ SHORTEST, LONGER = 16, 3
 LEAST_COSINE = 0.6
 SURE, LIKELY = 0.8, 0.5
 ANSWER = 0.8
+#: The share of a passage's weight, in its lightest words, that is taken as given when its words are looked for.
+LIGHT = 0.2
+#: A document is searched by words in stretches of so many, and so many sums of passages by windows at once.
+STRETCH, SUMS = 4096, 2**21
 WORD_CACHE = 500_000
 #: Passages of fewer words say too little to be found.
 LEAST_WORDS = 5
@@ -184,8 +193,65 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weights: np.ndarray) -> f
     return float(best[-1])
 
 
+class Overlap:
+    """The words of passages of up to ``length`` words, to find windows of twice the length that may hold one.
+
+    The lightest words, of ``LIGHT`` of a passage's weight, are taken as given;
+    the others must bring what is missing to ``LIKELY``. A repeated word counts
+    again, so the sums are upper bounds of the weight in common.
+    """
+
+    def __init__(self, length: int, numbers: list[int], items: list[tuple], idf: np.ndarray) -> None:
+        self.length, self.numbers = length, np.array(numbers)
+        words, of, gains = [], [], []
+        for k, number in enumerate(numbers):
+            found, times = np.unique(items[number][1], return_counts=True)
+            order = np.argsort(idf[found], kind="stable")
+            held = np.cumsum((times * idf[found].astype(np.float64))[order])
+            first = int(np.searchsorted(held, LIGHT * held[-1], side="right"))
+            given = held[first - 1] if first else 0.0
+            heavy = found[order[first:]]
+            words.append(heavy)
+            of.append(np.full(len(heavy), k))
+            gains.append(idf[heavy] / (LIKELY * held[-1] - given))
+        word, of, gains = np.concatenate(words), np.concatenate(of), np.concatenate(gains)
+        order = np.argsort(word, kind="stable")
+        self.of, self.gains = of[order].astype(np.int32), gains[order]
+        self.times = np.bincount(word, minlength=BUCKETS).astype(np.int32)
+        self.start = np.cumsum(self.times) - self.times
+
+    def windows(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Passage number, first and end word of each window that may hold the passage."""
+        step = self.length // 2
+        for base in range(0, len(words), STRETCH // step * step or step):
+            part = words[base : base + (STRETCH // step * step or step) + 3 * step]
+            times = self.times[part]
+            at = np.flatnonzero(times)
+            times = times[at]
+            ends = np.cumsum(times)
+            if not len(at):
+                continue
+            hits = np.repeat(self.start[part[at]] - ends + times, times) + np.arange(ends[-1])
+            of, gains = self.of[hits], self.gains[hits]
+            alive = np.bincount(of, gains, len(self.numbers)) >= 1 - 1e-6
+            if not alive.any():
+                continue
+            kept = alive[of]
+            place = (np.cumsum(alive) - 1)[of[kept]]
+            steps, gains = np.repeat(at // step, times)[kept], gains[kept]
+            count, width = int(alive.sum()), len(part) // step + 4
+            numbers, group = self.numbers[alive], max(1, SUMS // width)
+            for g in range(0, count, group):
+                here = slice(None) if count <= group else (place >= g) & (place < g + group)
+                rows = min(group, count - g)
+                sums = np.bincount((place[here] - g) * width + steps[here], gains[here], rows * width).reshape(rows, width)
+                sums = sums[:, :-3] + sums[:, 1:-2] + sums[:, 2:-1] + sums[:, 3:]
+                for k, first in zip(*(x.tolist() for x in np.nonzero(sums >= 1 - 1e-6)), strict=True):
+                    yield int(numbers[g + k]), base + first * step, min(base + first * step + 2 * self.length, len(words))
+
+
 class Index:
-    """A block of passages in latent space, with what a task needs to search a document."""
+    """A block of passages in latent space and by words, with what a task needs to search a document."""
 
     def __init__(self, idf: np.ndarray, used: np.ndarray, basis: np.ndarray, items: list[tuple]) -> None:
         self.idf, self.squared, self.basis = idf, idf.astype(np.float64) ** 2, basis
@@ -198,6 +264,11 @@ class Index:
         latent = np.array([x[4] @ basis[self.row[x[3]]] for x in items], np.float32).reshape(len(items), basis.shape[1])
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.maximum(norms, 1e-9)
+        lengths: dict[int, list[int]] = {}
+        for number, x in enumerate(items):
+            lengths.setdefault(1 << max(2, (len(x[1]) - 1).bit_length()), []).append(number)
+        self.overlaps = [Overlap(length, numbers, items, idf) for length, numbers in sorted(lengths.items())]
+        self.counts = [np.unique(x[1], return_counts=True) for x in items]
 
     def fold(self, weight: np.ndarray, row: np.ndarray, near: np.ndarray, step: int) -> np.ndarray:
         """The latent vectors of windows of four steps, the first of which are ``near``.
@@ -214,7 +285,18 @@ class Index:
         first = np.searchsorted(steps, near)
         return (sums[first] + sums[first + 1] + sums[first + 2] + sums[first + 3]).astype(np.float32) @ self.basis[used]
 
-    def candidates(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+    def candidates(self, words: np.ndarray) -> dict[int, list[tuple[float | None, int, int]]]:
+        """Passage number -> (cosine, first, end word) of the regions that may hold it; no cosine where words alone found it."""
+        out: dict[int, list[tuple[float | None, int, int]]] = {}
+        for number, (cosine, first, end) in self.latent_windows(words).items():
+            reach = len(self.items[number][1])
+            out.setdefault(number, []).append((cosine, max(0, first - reach), min(end + reach, len(words))))
+        for overlap in self.overlaps:
+            for number, first, end in overlap.windows(words):
+                out.setdefault(number, []).append((None, first, end))
+        return out
+
+    def latent_windows(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Passage number -> (cosine, first, end word) of its best window."""
         weight, squared, row = self.idf[words], self.squared[words], self.row[words]
         mass, inside = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
@@ -241,20 +323,42 @@ class Index:
                 break
         return out
 
-    def leaks(self, text: str | None, known: dict) -> list[tuple[int, float, float, float]]:
-        """(item_id, cosine, subsequence share, answer share) of the passages that the text leaks."""
-        words = word_buckets(text, known)
-        out = []
-        for number, (cosine, first, end) in self.candidates(words).items() if len(words) else ():
-            item_id, item, answer = self.items[number][:3]
-            region = words[max(0, first - len(item)) : end + len(item)]
-            share = weighted_lcs(item, region, self.idf) / float(self.idf[item].sum())
-            if share < LIKELY:
+    def cosine(self, number: int, window: np.ndarray) -> float:
+        """The TF-IDF cosine of a window and a passage."""
+        found, times = np.unique(window, return_counts=True)
+        vals = times * self.idf[found].astype(np.float64)
+        _, a, b = np.intersect1d(found, self.items[number][3], assume_unique=True, return_indices=True)
+        return float(vals[a] @ self.items[number][4][b] / np.linalg.norm(vals))
+
+    def common(self, number: int, region: np.ndarray) -> float:
+        """The weight of the words in common, each as often as both have it: no common subsequence weighs more."""
+        found, times = self.counts[number]
+        at = np.minimum(np.searchsorted(found, region), len(found) - 1)
+        return float(np.minimum(np.bincount(at[found[at] == region], minlength=len(found)), times) @ self.idf[found])
+
+    def checked(self, number: int, words: np.ndarray, regions: list[tuple[float | None, int, int]]) -> tuple[float, float, float] | None:
+        """Cosine, subsequence share and answer share of the region that leaks most of a passage; None if none leaks."""
+        item, answer = self.items[number][1:3]
+        weight, best = float(self.idf[item].sum()), None
+        bounds = [self.common(number, words[first:end]) / weight for _, first, end in regions]
+        for k in np.argsort(-np.array(bounds), kind="stable"):
+            if bounds[k] < LIKELY - 1e-6 or (best and best[1] >= bounds[k] - 1e-6):
+                break
+            cosine, first, end = regions[k]
+            region = words[first:end]
+            share = weighted_lcs(item, region[np.isin(region, item)], self.idf) / weight
+            if share < LIKELY or (best and share <= best[1]):
                 continue
             found = weighted_lcs(answer, region, self.idf) / float(self.idf[answer].sum()) if len(answer) else 1.0
             if share >= SURE or found >= ANSWER:
-                out.append((item_id, cosine, share, found))
-        return out
+                best = self.cosine(number, region) if cosine is None else cosine, share, found
+        return best
+
+    def leaks(self, text: str | None, known: dict) -> list[tuple[int, float, float, float]]:
+        """(item_id, cosine, subsequence share, answer share) of the passages that the text leaks."""
+        words = word_buckets(text, known)
+        found = ((number, self.checked(number, words, regions)) for number, regions in self.candidates(words).items()) if len(words) else ()
+        return [(self.items[number][0], *leak) for number, leak in found if leak]
 
 
 LEAK_SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_share double"
