@@ -128,3 +128,27 @@ def test_more_passages_than_the_rank_lose_no_copy(spark):
     docs = [(i, " ".join(zipf(rng, 60) + items[i][1].split() + zipf(rng, 60))) for i in range(0, 2000, 4)]
     got = leaks_of(spark, docs + [(10_000 + i, " ".join(zipf(rng, 200))) for i in range(200)], items)
     assert got == {(i, i) for i, _ in docs}
+
+
+def test_paraphrases_of_the_likely_range_are_found(spark):
+    """Words of a passage are replaced, its last sentence stays; every share from LIKELY on is a leak."""
+    rng = random.Random(22)
+    items, docs = [], []
+    for i in range(200):
+        body, answer = zipf(rng, rng.randint(12, 56)), zipf(rng, 3)
+        items.append((i, " ".join(body) + ". " + " ".join(answer)))
+        rate = rng.uniform(0.2, 0.5)
+        own = [f"x{rng.randrange(20000)}" if rng.random() < rate else x for x in body] + answer
+        docs.append((i, " ".join(zipf(rng, 200) + own + zipf(rng, 250)), " ".join(own)))
+    table = spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    idf, known = d.inverse_frequencies(table), d._Bucket()
+    cut = lambda text: d.word_buckets(text, known)
+    share = {i: d.weighted_lcs(cut(text), cut(own), idf) / idf[cut(text)].sum() for (i, text), (_, _, own) in zip(items, docs, strict=True)}
+    want = {(i, i) for i, x in share.items() if x >= d.LIKELY}
+    assert sum(x < d.SURE for i, x in share.items() if (i, i) in want) > 100
+    assert want <= {(r["doc_id"], r["item_id"]) for r in d.find_leaks(table, benchmark).collect()}
+    rows = d.passages(benchmark, spark.sparkContext.broadcast(idf))
+    index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
+    near = {index.items[n][0] for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.items[n][0] == i}
+    assert len(near) >= 0.4 * len(want)  # by cosine alone; 0.22 at a limit of 0.6 and windows of ratio 3

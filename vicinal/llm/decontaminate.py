@@ -49,9 +49,9 @@ from vicinal.session import table
 BUCKETS = 2**17
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
 BLOCK_ITEMS = 20_000
-#: The shortest window, and by how much the next is longer; the longest holds a third of the longest passage.
-SHORTEST, LONGER = 16, 3
-LEAST_COSINE = 0.6
+#: The shortest window, and by how much the next is longer; the longest holds half of the longest passage.
+SHORTEST, LONGER = 16, 2
+LEAST_COSINE = 0.5
 SURE, LIKELY = 0.8, 0.5
 ANSWER = 0.8
 #: The share of a passage's weight, in its lightest words, that is taken as given when its words are looked for.
