@@ -152,3 +152,33 @@ def test_paraphrases_of_the_likely_range_are_found(spark):
     index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
     near = {index.items[n][0] for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.items[n][0] == i}
     assert len(near) >= 0.4 * len(want)  # by cosine alone; 0.22 at a limit of 0.6 and windows of ratio 3
+
+
+def test_a_copy_behind_closer_looking_words_is_found(spark):
+    """Before an exact copy stands a run of one of its words, or a part of it: every window is checked."""
+    rng = random.Random(23)
+    items = [(i, " ".join(zipf(rng, 40))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        own = text.split()
+        lead = [max(own, key=lambda x: int(x[1:]))] * 24 if i % 2 else own[:16]
+        docs.append((i, " ".join(lead + zipf(rng, 200) + own + zipf(rng, 30))))
+    assert leaks_of(spark, docs, items) == {(i, i) for i, _ in items}
+
+
+def test_cosines_are_of_unit_rows(spark):
+    """A run of one word is no nearer to a passage than the word's share of it; two near parts are two windows."""
+    rng = random.Random(24)
+    items = [(i, " ".join(zipf(rng, 30))) for i in range(20)]
+    docs = [(i, " ".join(zipf(rng, 300))) for i in range(200)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    idf, known = d.inverse_frequencies(table), d._Bucket()
+    rows = d.passages(spark.createDataFrame(items, "item_id bigint, text string"), spark.sparkContext.broadcast(idf))
+    index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
+    at = next(n for n, x in enumerate(index.items) if x[0] == 7)
+    own = items[7][1].split()
+    run = d.word_buckets(" ".join([max(own, key=lambda x: int(x[1:]))] * 24 + zipf(rng, 60)), known)
+    assert at not in index.latent_windows(run)
+    twice = d.word_buckets(" ".join(own + zipf(rng, 300) + own), known)
+    starts = sorted(first for _, first, _ in index.latent_windows(twice)[at])
+    assert starts[0] < 30 and starts[-1] > 300

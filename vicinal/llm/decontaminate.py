@@ -8,15 +8,16 @@
 3. All documents are cut into overlapping windows at several scales. A window
    is folded into the latent space, and its cosine with each passage decides
    whether the pair is a candidate. The window's share of weight in words of
-   the benchmark bounds every such cosine, so most windows need no projection.
+   the benchmark bounds such a cosine, so most windows need no projection.
    The basis holds only part of a passage once there are more passages than its
    rank. So every passage is looked for by its words as well: the weight of the
    words that it has in common with a window is never less than that of a common
    subsequence, and every window that reaches ``LIKELY`` is a candidate. No copy
    that lies within one and a half lengths of its passage is lost by this.
-4. A candidate is checked on its words: the longest common subsequence of the
-   passage and the document around the window, weighted by IDF, as a share of
-   the passage. A share of ``SURE`` or more is a leak; a lower one from
+4. All candidates of a passage are checked on their words, windows of near
+   cosine that overlap as one: the longest common subsequence of the passage
+   and the document around the window, weighted by IDF, as a share of the
+   passage. The region with the largest share counts. A share of ``SURE`` or more is a leak; a lower one from
    ``LIKELY`` on is a leak if the answer is there as well: the passage's
    answer, or where the table has none, its last sentence.
 
@@ -288,37 +289,49 @@ class Index:
     def candidates(self, words: np.ndarray) -> dict[int, list[tuple[float | None, int, int]]]:
         """Passage number -> (cosine, first, end word) of the regions that may hold it; no cosine where words alone found it."""
         out: dict[int, list[tuple[float | None, int, int]]] = {}
-        for number, (cosine, first, end) in self.latent_windows(words).items():
-            reach = len(self.items[number][1])
-            out.setdefault(number, []).append((cosine, max(0, first - reach), min(end + reach, len(words))))
+        for number, windows in self.latent_windows(words).items():
+            reach, at = len(self.items[number][1]), 0
+            regions = out.setdefault(number, [])
+            for cosine, first, end in sorted(windows, key=lambda x: x[1]):
+                if regions and first < at:
+                    cosine, begin, at = max(cosine, regions[-1][0]), regions[-1][1], max(at, end)
+                    regions.pop()
+                else:
+                    begin, at = max(0, first - reach), end
+                regions.append((cosine, begin, min(at + reach, len(words))))
         for overlap in self.overlaps:
             for number, first, end in overlap.windows(words):
                 out.setdefault(number, []).append((None, first, end))
         return out
 
-    def latent_windows(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """Passage number -> (cosine, first, end word) of its best window."""
+    def latent_windows(self, words: np.ndarray) -> dict[int, list[tuple[float, int, int]]]:
+        """Passage number -> (cosine, first, end word) of every window near it."""
         weight, squared, row = self.idf[words], self.squared[words], self.row[words]
         mass, inside = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
         np.cumsum(squared, out=mass[1:])
         np.cumsum(squared * (row >= 0), out=inside[1:])
-        out: dict[int, tuple[float, int, int]] = {}
+        out: dict[int, list[tuple[float, int, int]]] = {}
         for scale in self.scales:
             first = np.arange(0, max(len(words) - scale, 0) + scale // 4, scale // 4)
             first = first[first < len(words)]
             end = np.minimum(first + scale, len(words))
             total = mass[end] - mass[first]
-            # The share of weight in the benchmark's words bounds the squared cosine.
+            # The share of weight in the benchmark's words bounds the squared cosine, where words do not repeat.
             near = np.flatnonzero(inside[end] - inside[first] >= LEAST_COSINE**2 * total)
             if not len(near):
                 if scale >= len(words):
                     break
                 continue
-            folded = np.vstack([self.fold(weight, row, near[c : c + 128], scale // 4) for c in range(0, len(near), 128)])
-            cosine = folded @ self.latent.T / np.sqrt(total[near])[:, None]
-            for k, item in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
-                if cosine[k, item] > out.get(int(item), (0.0,))[0]:
-                    out[int(item)] = min(1.0, float(cosine[k, item])), int(first[near[k]]), int(end[near[k]])
+            for c in range(0, len(near), 128):
+                chunk = near[c : c + 128]
+                # A norm that counts each occurrence by itself is never above the TF-IDF norm: no window is lost here.
+                dot = self.fold(weight, row, chunk, scale // 4) @ self.latent.T
+                close = dot >= LEAST_COSINE * np.sqrt(total[chunk])[:, None]
+                for k in np.flatnonzero(close.any(axis=1)):
+                    at = slice(first[chunk[k]], end[chunk[k]])
+                    cosine = dot[k] / np.linalg.norm(np.bincount(np.unique(words[at], return_inverse=True)[1], weight[at]))
+                    for item in np.flatnonzero(cosine >= LEAST_COSINE).tolist():
+                        out.setdefault(item, []).append((min(1.0, float(cosine[item])), int(at.start), int(at.stop)))
             if scale >= len(words):
                 break
         return out
