@@ -182,3 +182,33 @@ def test_cosines_are_of_unit_rows(spark):
     twice = d.word_buckets(" ".join(own + zipf(rng, 300) + own), known)
     starts = sorted(first for _, first, _ in index.latent_windows(twice)[at])
     assert starts[0] < 30 and starts[-1] > 300
+
+
+@pytest.mark.parametrize("length", [5, 100, 140])
+def test_short_and_long_passages(spark, length):
+    """Copies with none, 10 and 20 per cent of the words replaced, and by cosine alone, too."""
+    rng = random.Random(25)
+    items = [(i, " ".join(zipf(rng, length))) for i in range(90)]
+    docs = []
+    for i, text in items:
+        rate = (0, 0.1, 0.2)[i % 3] if length > 5 else 0
+        own = [f"x{rng.randrange(20000)}" if rng.random() < rate else x for x in text.split()]
+        docs.append((i, " ".join(zipf(rng, 150) + own + zipf(rng, 150)), " ".join(own)))
+    table, benchmark = spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(table, benchmark).collect()}
+    idf, known = d.inverse_frequencies(table), d._Bucket()
+    rows = d.passages(benchmark, spark.sparkContext.broadcast(idf))
+    index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
+    cut = lambda text: d.word_buckets(text, known)
+    sure = {i for i, _, own in docs if d.weighted_lcs(cut(items[i][1]), cut(own), idf) >= d.SURE * idf[cut(items[i][1])].sum()}
+    near = {i for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.items[n][0] == i}
+    assert {(i, i) for i in sure} <= got and len(sure) >= 60 and len(near & sure) >= 0.9 * len(sure)
+
+
+def test_passages_of_few_words_are_found_in_a_row_only(spark):
+    items = [(1, "Quux"), (2, "alpha beta"), (3, "Alpha, beta gamma."), (4, "one two three four"), (5, "..."), (6, "alpha beta")]
+    docs = [(1, "so, QUUX!"), (2, "an alpha beta gamma"), (3, "alpha then beta"), (4, "one two three four"), (5, "four three two one"), (6, None), (7, "one two"), (8, "quuxes")]
+    want = {(1, 1), (2, 2), (2, 3), (2, 6), (4, 4)}
+    assert leaks_of(spark, docs, items) == want
+    long = (7, "a passage of more than a few words is beside them")
+    assert leaks_of(spark, [*docs, (9, "here " + long[1])], [*items, long]) == want | {(9, 7)}

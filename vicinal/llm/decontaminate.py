@@ -29,9 +29,11 @@ Words are lower-cased runs of characters other than white space and ASCII
 punctuation.
 
 Defined cases: null and wordless texts leak nothing; passages without words
-are never found; a passage shorter than a window is compared as it is; rows
-that repeat an id are one document whose best match counts; repeated passages
-are all reported; an empty benchmark gives an empty result.
+are never found; a passage shorter than a window is compared as it is; one
+of less than ``LEAST_WORDS`` words leaks where its words stand in a row, whole
+and unchanged, and its three figures are 1; rows that repeat an id are one
+document whose best match counts; repeated passages are all reported; an empty
+benchmark gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ from vicinal.session import table
 BUCKETS = 2**17
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
 BLOCK_ITEMS = 20_000
-#: The shortest window, and by how much the next is longer; the longest holds half of the longest passage.
+#: The shortest window, or shorter for shorter passages, and by how much the next is longer; the longest holds the longest passage.
 SHORTEST, LONGER = 16, 2
 LEAST_COSINE = 0.5
 SURE, LIKELY = 0.8, 0.5
@@ -60,7 +62,7 @@ LIGHT = 0.2
 #: A document is searched by words in stretches of so many, and so many sums of passages by windows at once.
 STRETCH, SUMS = 4096, 2**21
 WORD_CACHE = 500_000
-#: Passages of fewer words say too little to be found.
+#: Passages of fewer words are found where all of them stand in a row, and only there.
 LEAST_WORDS = 5
 _SPACES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -75,9 +77,14 @@ class _Bucket(dict):
         return out
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words, in order."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
+
+
 def word_buckets(text: str | None, known: dict) -> np.ndarray:
     """The buckets of a text's words, in order."""
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
+    words = words_of(text)
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
@@ -114,7 +121,9 @@ def tf_idf(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def passages(benchmark: DataFrame, idf) -> DataFrame:
-    """item_id, words, answer, cols, vals: buckets in order and the unit TF-IDF row of each passage, as a written table.
+    """item_id, words, answer, cols, vals, phrase: buckets in order and the unit TF-IDF row of each passage, as a written table.
+
+    A passage of less than ``LEAST_WORDS`` words has an empty row, and its words themselves as ``phrase``.
 
     idf: a broadcast variable.
     """
@@ -126,18 +135,19 @@ def passages(benchmark: DataFrame, idf) -> DataFrame:
             rows = []
             for i, (item, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 words = word_buckets(text, known)
-                if len(words) < LEAST_WORDS:
+                if not len(words):
                     continue
+                few = len(words) < LEAST_WORDS
                 sentences = [s for s in (text or "").replace("\n", " ").split(". ") if s.strip()]
                 answer = word_buckets(batch.column(2)[i].as_py() if answers else sentences[-1], known)
-                rows.append((item, words, answer, *tf_idf(words, weights)))
+                rows.append((item, words, answer, *(([], []) if few else tf_idf(words, weights)), b" ".join(words_of(text)) if few else None))
             if rows:
-                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "words", "answer", "cols", "vals"])
+                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.float64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "words", "answer", "cols", "vals", "phrase"])
 
     columns = ["item_id", "text", *(["answer"] if answers else [])]
     out = benchmark.filter(F.col("item_id").isNotNull()).select(*columns)
-    return written(out.mapInArrow(run, "item_id bigint, words array<bigint>, answer array<bigint>, cols array<bigint>, vals array<double>"), "passages")
+    return written(out.mapInArrow(run, "item_id bigint, words array<bigint>, answer array<bigint>, cols array<bigint>, vals array<double>, phrase binary"), "passages")
 
 
 def gram_product(rows: DataFrame, used: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -172,7 +182,9 @@ def gram_product(rows: DataFrame, used: np.ndarray, block: np.ndarray) -> np.nda
 def latent_basis(rows: DataFrame, rank: int = RANK, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets used and, for each, its row of the right singular vectors."""
     used = np.sort(rows.select(F.explode("cols").alias("c")).distinct().toArrow().column("c").to_numpy())
-    count = rows.count()
+    count = rows.filter("size(cols) > 0").count()
+    if not count:
+        return used, np.zeros((0, 0), np.float32)
     width = min(rank + OVERSAMPLE, len(used))
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(used), width)))[0]
     for _ in range(iterations):
@@ -194,6 +206,36 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weights: np.ndarray) -> f
     return float(best[-1])
 
 
+class Phrases:
+    """Passages too short for a cosine, found word by word in a row."""
+
+    def __init__(self, passages: list[tuple[int, np.ndarray, bytes]]) -> None:
+        self.phrases: dict[int, tuple[np.ndarray, dict[bytes, list[int]]]] = {}
+        for n in sorted({len(x[1]) for x in passages}):
+            of: dict[bytes, list[int]] = {}
+            for number, _, phrase in (x for x in passages if len(x[1]) == n):
+                of.setdefault(phrase, []).append(number)
+            self.phrases[n] = np.unique(self.keys(np.concatenate([x[1] for x in passages if len(x[1]) == n]), n)[::n]), of
+
+    @staticmethod
+    def keys(words: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each run of n words."""
+        out = words[: len(words) - n + 1].astype(np.uint64)
+        for k in range(1, n):
+            out = out * np.uint64(BUCKETS + 29) + words[k : len(words) - n + 1 + k].astype(np.uint64)
+        return out
+
+    def found(self, text: str, words: np.ndarray) -> Iterator[int]:
+        """The numbers of the passages that the text holds."""
+        said = None
+        for n, (keys, of) in self.phrases.items():
+            at = np.flatnonzero(np.isin(self.keys(words, n), keys)) if len(words) >= n else ()
+            if len(at):
+                said = said or words_of(text)
+                for phrase in {b" ".join(said[k : k + n]) for k in at.tolist()} & of.keys():
+                    yield from of[phrase]
+
+
 class Overlap:
     """The words of passages of up to ``length`` words, to find windows of twice the length that may hold one.
 
@@ -259,15 +301,19 @@ class Index:
         self.row = np.full(BUCKETS, -1, np.int32)
         self.row[used] = np.arange(len(used), dtype=np.int32)
         self.items = items
+        lengths: dict[int, list[int]] = {}
+        for number, x in enumerate(items):
+            if len(x[1]) >= LEAST_WORDS:
+                lengths.setdefault(1 << max(2, (len(x[1]) - 1).bit_length()), []).append(number)
+        self.phrases = Phrases([(number, x[1], x[5]) for number, x in enumerate(items) if len(x[1]) < LEAST_WORDS])
         self.scales = [SHORTEST]
-        while self.scales[-1] * LONGER < max(len(x[1]) for x in items):
+        while lengths and self.scales[0] >= 2 * min(len(items[k][1]) for k in lengths[min(lengths)]):
+            self.scales[0] //= 2
+        while self.scales[-1] < max(len(x[1]) for x in items):
             self.scales.append(self.scales[-1] * LONGER)
         latent = np.array([x[4] @ basis[self.row[x[3]]] for x in items], np.float32).reshape(len(items), basis.shape[1])
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.maximum(norms, 1e-9)
-        lengths: dict[int, list[int]] = {}
-        for number, x in enumerate(items):
-            lengths.setdefault(1 << max(2, (len(x[1]) - 1).bit_length()), []).append(number)
         self.overlaps = [Overlap(length, numbers, items, idf) for length, numbers in sorted(lengths.items())]
         self.counts = [np.unique(x[1], return_counts=True) for x in items]
 
@@ -371,7 +417,8 @@ class Index:
         """(item_id, cosine, subsequence share, answer share) of the passages that the text leaks."""
         words = word_buckets(text, known)
         found = ((number, self.checked(number, words, regions)) for number, regions in self.candidates(words).items()) if len(words) else ()
-        return [(self.items[number][0], *leak) for number, leak in found if leak]
+        out = [(self.items[number][0], *leak) for number, leak in found if leak]
+        return out + [(self.items[number][0], 1.0, 1.0, 1.0) for number in self.phrases.found(text, words)]
 
 
 LEAK_SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_share double"
@@ -390,7 +437,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
     out = None
     for block in range(blocks):
         of = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
-        items = [(i, *(np.array(x) for x in rest)) for i, *rest in zip(*[c.to_pylist() for c in of.columns], strict=True)]
+        if not of.num_rows:
+            continue
+        items = [(i, *(np.array(x, np.int64) for x in (words, answer, cols)), np.array(vals, float), phrase) for i, words, answer, cols, vals, phrase in zip(*[c.to_pylist() for c in of.columns], strict=True)]
         shared = spark.sparkContext.broadcast(Index(idf, used, basis, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
