@@ -11,6 +11,11 @@ def words(rng, n, vocabulary=4000):
     return [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
+def items_of(rows):
+    """The rows of a table of passages as the index takes them."""
+    return [(i, words, answer, np.array(cols, int), np.array(vals, float)) for i, words, answer, cols, vals in zip(*[c.to_pylist() for c in rows.toArrow().columns], strict=True)]
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = random.Random(11)
@@ -51,13 +56,13 @@ def test_candidates_recall_against_exact_cosines(spark, planted):
     idf = d.inverse_frequencies(docs)
     rows = d.passages(benchmark, spark.sparkContext.broadcast(idf))
     used, basis = d.latent_basis(rows)
-    items = [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()]
+    items = items_of(rows)
     index, found, wanted = d.Index(idf, used, basis, items), 0, 0
     dense = np.zeros((len(items), d.BUCKETS), np.float32)
     for n, x in enumerate(items):
         dense[n, x[3]] = x[4]
     for r in docs.limit(150).collect():
-        w = d.word_buckets(r["text"], {}.__class__ and d._Bucket())
+        w = d.word_buckets(r["text"])
         near = set()
         for scale in index.scales:
             for at in range(0, max(len(w) - scale, 0) + scale // 4, scale // 4):
@@ -142,15 +147,15 @@ def test_paraphrases_of_the_likely_range_are_found(spark):
         docs.append((i, " ".join(zipf(rng, 200) + own + zipf(rng, 250)), " ".join(own)))
     table = spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string")
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    idf, known = d.inverse_frequencies(table), d._Bucket()
-    cut = lambda text: d.word_buckets(text, known)
+    idf = d.inverse_frequencies(table)
+    cut = d.word_buckets
     share = {i: d.weighted_lcs(cut(text), cut(own), idf) / idf[cut(text)].sum() for (i, text), (_, _, own) in zip(items, docs, strict=True)}
     want = {(i, i) for i, x in share.items() if x >= d.LIKELY}
     assert sum(x < d.SURE for i, x in share.items() if (i, i) in want) > 100
     assert want <= {(r["doc_id"], r["item_id"]) for r in d.find_leaks(table, benchmark).collect()}
     rows = d.passages(benchmark, spark.sparkContext.broadcast(idf))
-    index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
-    near = {index.items[n][0] for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.items[n][0] == i}
+    index = d.Index(idf, *d.latent_basis(rows), items_of(rows))
+    near = {index.ids[n] for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.ids[n] == i}
     assert len(near) >= 0.4 * len(want)  # by cosine alone; 0.22 at a limit of 0.6 and windows of ratio 3
 
 
@@ -172,14 +177,14 @@ def test_cosines_are_of_unit_rows(spark):
     items = [(i, " ".join(zipf(rng, 30))) for i in range(20)]
     docs = [(i, " ".join(zipf(rng, 300))) for i in range(200)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
-    idf, known = d.inverse_frequencies(table), d._Bucket()
+    idf = d.inverse_frequencies(table)
     rows = d.passages(spark.createDataFrame(items, "item_id bigint, text string"), spark.sparkContext.broadcast(idf))
-    index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
-    at = next(n for n, x in enumerate(index.items) if x[0] == 7)
+    index = d.Index(idf, *d.latent_basis(rows), items_of(rows))
+    at = index.ids.index(7)
     own = items[7][1].split()
-    run = d.word_buckets(" ".join([max(own, key=lambda x: int(x[1:]))] * 24 + zipf(rng, 60)), known)
+    run = d.word_buckets(" ".join([max(own, key=lambda x: int(x[1:]))] * 24 + zipf(rng, 60)))
     assert at not in index.latent_windows(run)
-    twice = d.word_buckets(" ".join(own + zipf(rng, 300) + own), known)
+    twice = d.word_buckets(" ".join(own + zipf(rng, 300) + own))
     starts = sorted(first for _, first, _ in index.latent_windows(twice)[at])
     assert starts[0] < 30 and starts[-1] > 300
 
@@ -196,12 +201,12 @@ def test_short_and_long_passages(spark, length):
         docs.append((i, " ".join(zipf(rng, 150) + own + zipf(rng, 150)), " ".join(own)))
     table, benchmark = spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(table, benchmark).collect()}
-    idf, known = d.inverse_frequencies(table), d._Bucket()
+    idf = d.inverse_frequencies(table)
     rows = d.passages(benchmark, spark.sparkContext.broadcast(idf))
-    index = d.Index(idf, *d.latent_basis(rows), [(r["item_id"], *(np.array(r[c]) for c in ("words", "answer", "cols", "vals"))) for r in rows.collect()])
-    cut = lambda text: d.word_buckets(text, known)
+    index = d.Index(idf, *d.latent_basis(rows), items_of(rows))
+    cut = d.word_buckets
     sure = {i for i, _, own in docs if d.weighted_lcs(cut(items[i][1]), cut(own), idf) >= d.SURE * idf[cut(items[i][1])].sum()}
-    near = {i for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.items[n][0] == i}
+    near = {i for i, text, _ in docs for n in index.latent_windows(cut(text)) if index.ids[n] == i}
     assert {(i, i) for i in sure} <= got and len(sure) >= 60 and len(near & sure) >= 0.9 * len(sure)
 
 
@@ -212,3 +217,16 @@ def test_passages_of_few_words_are_found_in_a_row_only(spark):
     assert leaks_of(spark, docs, items) == want
     long = (7, "a passage of more than a few words is beside them")
     assert leaks_of(spark, [*docs, (9, "here " + long[1])], [*items, long]) == want | {(9, 7)}
+
+
+def test_words_that_share_a_bucket_do_not_confirm_each_other(spark):
+    """Candidates come from buckets of words, a leak needs the words themselves."""
+    seen, pairs, n = {}, [], 0
+    while len(pairs) < 8:
+        word = f"q{n}"
+        other = seen.setdefault(int(d.word_buckets(word)[0]), word)
+        if other != word:
+            pairs.append((other, word))
+        n += 1
+    docs = [(1, " ".join(b for _, b in pairs)), (2, " ".join(a for a, _ in pairs)), (3, "some other text of no account at all")]
+    assert leaks_of(spark, docs, [(7, " ".join(a for a, _ in pairs))]) == {(2, 7)}

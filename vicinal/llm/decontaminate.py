@@ -7,8 +7,9 @@
    multiplied by A'A again and again, task by task, and re-orthogonalised.
 3. All documents are cut into overlapping windows at several scales. A window
    is folded into the latent space, and its cosine with each passage decides
-   whether the pair is a candidate. The window's share of weight in words of
-   the benchmark bounds such a cosine, so most windows need no projection.
+   whether the pair is a candidate. What each word can bring to the cosine with
+   any passage is known beforehand, and the sum over a window bounds its cosine,
+   so most windows need no projection and none is lost by that.
    The basis holds only part of a passage once there are more passages than its
    rank. So every passage is looked for by its words as well: the weight of the
    words that it has in common with a window is never less than that of a common
@@ -17,13 +18,15 @@
 4. All candidates of a passage are checked on their words, windows of near
    cosine that overlap as one: the longest common subsequence of the passage
    and the document around the window, weighted by IDF, as a share of the
-   passage. The region with the largest share counts. A share of ``SURE`` or more is a leak; a lower one from
-   ``LIKELY`` on is a leak if the answer is there as well: the passage's
-   answer, or where the table has none, its last sentence.
+   passage. The region with the largest share counts. A share of ``SURE`` or
+   more is a leak; a lower one from ``LIKELY`` on is a leak if the answer is
+   there as well: the passage's answer, or where the table has none, its last
+   sentence. Candidates are found by hashed words, confirmed by the words
+   themselves.
 
-Passages go through the documents in blocks of ``BLOCK_ITEMS``, so what is
-broadcast is bounded: a block of passages, and a basis of at most
-``BUCKETS * RANK`` numbers.
+Passages go through the documents in blocks of at most about ``BLOCK_ITEMS``
+passages and ``BLOCK_WORDS`` words, so what is broadcast is bounded: a block
+of passages, and a basis of at most ``BUCKETS * RANK`` numbers.
 
 Words are lower-cased runs of characters other than white space and ASCII
 punctuation.
@@ -51,7 +54,7 @@ from vicinal.session import table
 
 BUCKETS = 2**17
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 #: The shortest window, or shorter for shorter passages, and by how much the next is longer; the longest holds the longest passage.
 SHORTEST, LONGER = 16, 2
 LEAST_COSINE = 0.5
@@ -61,42 +64,35 @@ ANSWER = 0.8
 LIGHT = 0.2
 #: A document is searched by words in stretches of so many, and so many sums of passages by windows at once.
 STRETCH, SUMS = 4096, 2**21
-WORD_CACHE = 500_000
 #: Passages of fewer words are found where all of them stand in a row, and only there.
 LEAST_WORDS = 5
 _SPACES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
-class _Bucket(dict):
-    """The bucket of a word, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        out = self[word] = crc32(word) % BUCKETS
-        return out
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A text's words, in order."""
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
 
 
-def word_buckets(text: str | None, known: dict) -> np.ndarray:
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    """The buckets of words, in order."""
+    return np.fromiter(map(crc32, words), np.int64, len(words)) & (BUCKETS - 1)
+
+
+def word_buckets(text: str | None) -> np.ndarray:
     """The buckets of a text's words, in order."""
-    words = words_of(text)
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return buckets_of(words_of(text))
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log((1 + documents) / (1 + documents with the word)) for each bucket, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, rows = _Bucket(), np.zeros(BUCKETS, np.int64), 0
+        counts, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                counts[np.unique(word_buckets(text.as_py(), known))] += 1
+                counts[np.unique(word_buckets(text.as_py()))] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([rows, *counts[at]], pa.int64())], names=["bucket", "n"])
 
@@ -109,76 +105,92 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def tf_idf(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a unit TF-IDF row.
-
-    Words of less than half the row's mean-square weight are left out: together
-    they hold a few per cent of the weight, but most of the words of any text.
-    """
+    """Buckets and values of a unit TF-IDF row."""
     cols, tf = np.unique(words, return_counts=True)
     vals = tf * weights[cols]
-    kept = vals >= 0.5 * np.sqrt((vals * vals).mean())
-    return cols[kept], vals[kept] / np.linalg.norm(vals[kept])
+    return cols, vals / np.linalg.norm(vals)
+
+
+PASSAGES = "item_id bigint, words array<binary>, answer array<binary>, cols array<bigint>, vals array<double>"
 
 
 def passages(benchmark: DataFrame, idf) -> DataFrame:
-    """item_id, words, answer, cols, vals, phrase: buckets in order and the unit TF-IDF row of each passage, as a written table.
+    """item_id, words, answer, cols, vals: words in order and the unit TF-IDF row of each passage, as a written table.
 
-    A passage of less than ``LEAST_WORDS`` words has an empty row, and its words themselves as ``phrase``.
+    A passage of less than ``LEAST_WORDS`` words has an empty row.
 
     idf: a broadcast variable.
     """
     answers = "answer" in benchmark.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = _Bucket(), idf.value
+        weights = idf.value
         for batch in batches:
             rows = []
             for i, (item, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                words = word_buckets(text, known)
-                if not len(words):
+                words = words_of(text)
+                if not words:
                     continue
-                few = len(words) < LEAST_WORDS
                 sentences = [s for s in (text or "").replace("\n", " ").split(". ") if s.strip()]
-                answer = word_buckets(batch.column(2)[i].as_py() if answers else sentences[-1], known)
-                rows.append((item, words, answer, *(([], []) if few else tf_idf(words, weights)), b" ".join(words_of(text)) if few else None))
+                answer = words_of(batch.column(2)[i].as_py() if answers else sentences[-1])
+                rows.append((item, words, answer, *(([], []) if len(words) < LEAST_WORDS else tf_idf(buckets_of(words), weights))))
             if rows:
-                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.float64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "words", "answer", "cols", "vals", "phrase"])
+                kinds = [pa.int64(), *[pa.list_(pa.binary())] * 2, pa.list_(pa.int64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "words", "answer", "cols", "vals"])
 
     columns = ["item_id", "text", *(["answer"] if answers else [])]
     out = benchmark.filter(F.col("item_id").isNotNull()).select(*columns)
-    return written(out.mapInArrow(run, "item_id bigint, words array<bigint>, answer array<bigint>, cols array<bigint>, vals array<double>, phrase binary"), "passages")
+    return written(out.mapInArrow(run, PASSAGES), "passages")
 
 
 def gram_product(rows: DataFrame, used: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """A'A times a block of vectors, where A has the TF-IDF rows and the columns ``used``."""
+    """A'A times a block of vectors, where A has the TF-IDF rows and the columns ``used``.
+
+    A task sends the rows of the product that its passages touch; they are
+    added up by row, dealt over all tasks.
+    """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((used, block.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((used, block))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, block = shared.value
-        out = np.zeros(block.shape, np.float32)
+        out, touched = np.zeros(block.shape, np.float32), np.zeros(len(used), bool)
         for batch in batches:
             for cols, vals in zip(batch.column(0), batch.column(1), strict=True):
                 at, x = np.searchsorted(used, cols.values.to_numpy()), vals.values.to_numpy().astype(np.float32)
                 out[at] += np.outer(x, x @ block[at])
-        for at in range(0, len(used), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, min(at + 1024, len(used)))), pa.array(list(out[at : at + 1024]), pa.list_(pa.float32()))], names=["row", "vector"])
+                touched[at] = True
+        touched = np.flatnonzero(touched)
+        for at in range(0, len(touched), 1024):
+            own = touched[at : at + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(out[own]), pa.list_(pa.float32()))], names=["row", "vector"])
 
     def add(_, group):
-        total: dict[int, np.ndarray] = {}
-        for row, vector in zip(group.column("row").to_pylist(), group.column("vector"), strict=True):
-            total[row] = total.get(row, 0) + vector.values.to_numpy().astype(np.float64)
-        return pa.table({"row": pa.array(list(total), pa.int64()), "vector": pa.array(list(total.values()), pa.list_(pa.float64()))})
-
-    parts = rows.select("cols", "vals").mapInArrow(multiply, "row bigint, vector array<float>")
-    found = parts.groupBy((F.col("row") % 64).alias("part")).applyInArrow(add, "row bigint, vector array<double>").toArrow()
+        row, vectors = group.column("row").to_numpy(), group.column("vector").combine_chunks().flatten().to_numpy()
+        found, place = np.unique(row, return_inverse=True)
+        total = np.zeros((len(found), len(vectors) // len(row)))
+        np.add.at(total, place, vectors.reshape(len(row), -1))
+        return pa.table({"row": pa.array(found, pa.int64()), "vector": pa.array(list(total.astype(np.float32)), pa.list_(pa.float32()))})
+
+    parts = rows.filter("size(cols) > 0").select("cols", "vals").mapInArrow(multiply, "row bigint, vector array<float>")
+    found = parts.groupBy(F.floor(F.col("row") / 256).alias("part")).applyInArrow(add, "row bigint, vector array<float>").toArrow()
     shared.unpersist()
-    out = np.zeros(block.shape)
-    out[found.column("row").to_numpy()] = np.stack(found.column("vector").to_numpy()) if found.num_rows else 0
+    out = np.zeros(block.shape, np.float32)
+    if found.num_rows:
+        out[found.column("row").to_numpy()] = found.column("vector").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
     return out
 
 
+def orthonormal(block: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns' space, by the eigenvectors of their small Gram matrix, taken twice for accuracy."""
+    for _ in range(2):
+        gram = sum((part.T @ part for part in (block[at : at + 8192].astype(np.float64) for at in range(0, len(block), 8192))), np.zeros((block.shape[1],) * 2))
+        values, turn = np.linalg.eigh(gram)
+        kept = values > 1e-10 * values.max()
+        block = block @ (turn[:, kept] / np.sqrt(values[kept])).astype(np.float32)
+    return block
+
+
 def latent_basis(rows: DataFrame, rank: int = RANK, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets used and, for each, its row of the right singular vectors."""
     used = np.sort(rows.select(F.explode("cols").alias("c")).distinct().toArrow().column("c").to_numpy())
@@ -186,17 +198,17 @@ def latent_basis(rows: DataFrame, rank: int = RANK, iterations: int = ITERATIONS
     if not count:
         return used, np.zeros((0, 0), np.float32)
     width = min(rank + OVERSAMPLE, len(used))
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(used), width)))[0]
+    q = orthonormal(np.random.default_rng(7).standard_normal((len(used), width), np.float32))
     for _ in range(iterations):
-        q = np.linalg.qr(gram_product(rows, used, q))[0]
-    values, turn = np.linalg.eigh(q.T @ gram_product(rows, used, q))
+        q = orthonormal(gram_product(rows, used, q))
+    values, turn = np.linalg.eigh(q.T.astype(np.float64) @ gram_product(rows, used, q))
     order = np.argsort(-values)[: min(rank, count)]
     order = order[values[order] > 1e-9 * values.max()]
-    return used, (q @ turn[:, order]).astype(np.float32)
+    return used, q @ turn[:, order].astype(np.float32)
 
 
 def weighted_lcs(item: np.ndarray, region: np.ndarray, weights: np.ndarray) -> float:
-    """The largest weight of a common subsequence of two bucket sequences."""
+    """The largest weight of a common subsequence of two sequences of word numbers."""
     best = np.zeros(len(region) + 1)
     for word in item:
         same = region == word
@@ -209,13 +221,14 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weights: np.ndarray) -> f
 class Phrases:
     """Passages too short for a cosine, found word by word in a row."""
 
-    def __init__(self, passages: list[tuple[int, np.ndarray, bytes]]) -> None:
+    def __init__(self, passages: list[tuple[int, list[bytes]]]) -> None:
         self.phrases: dict[int, tuple[np.ndarray, dict[bytes, list[int]]]] = {}
-        for n in sorted({len(x[1]) for x in passages}):
+        for n in sorted({len(words) for _, words in passages}):
             of: dict[bytes, list[int]] = {}
-            for number, _, phrase in (x for x in passages if len(x[1]) == n):
-                of.setdefault(phrase, []).append(number)
-            self.phrases[n] = np.unique(self.keys(np.concatenate([x[1] for x in passages if len(x[1]) == n]), n)[::n]), of
+            for number, words in passages:
+                if len(words) == n:
+                    of.setdefault(b" ".join(words), []).append(number)
+            self.phrases[n] = np.unique(np.concatenate([self.keys(buckets_of(x.split()), n) for x in of])), of
 
     @staticmethod
     def keys(words: np.ndarray, n: int) -> np.ndarray:
@@ -225,13 +238,11 @@ class Phrases:
             out = out * np.uint64(BUCKETS + 29) + words[k : len(words) - n + 1 + k].astype(np.uint64)
         return out
 
-    def found(self, text: str, words: np.ndarray) -> Iterator[int]:
-        """The numbers of the passages that the text holds."""
-        said = None
+    def found(self, said: list[bytes], words: np.ndarray) -> Iterator[int]:
+        """The numbers of the passages that a text's words hold."""
         for n, (keys, of) in self.phrases.items():
             at = np.flatnonzero(np.isin(self.keys(words, n), keys)) if len(words) >= n else ()
             if len(at):
-                said = said or words_of(text)
                 for phrase in {b" ".join(said[k : k + n]) for k in at.tolist()} & of.keys():
                     yield from of[phrase]
 
@@ -244,11 +255,11 @@ class Overlap:
     again, so the sums are upper bounds of the weight in common.
     """
 
-    def __init__(self, length: int, numbers: list[int], items: list[tuple], idf: np.ndarray) -> None:
+    def __init__(self, length: int, numbers: list[int], buckets: list[np.ndarray], idf: np.ndarray) -> None:
         self.length, self.numbers = length, np.array(numbers)
         words, of, gains = [], [], []
         for k, number in enumerate(numbers):
-            found, times = np.unique(items[number][1], return_counts=True)
+            found, times = np.unique(buckets[number], return_counts=True)
             order = np.argsort(idf[found], kind="stable")
             held = np.cumsum((times * idf[found].astype(np.float64))[order])
             first = int(np.searchsorted(held, LIGHT * held[-1], side="right"))
@@ -294,18 +305,26 @@ class Overlap:
 
 
 class Index:
-    """A block of passages in latent space and by words, with what a task needs to search a document."""
+    """A block of passages in latent space and by words, with what a task needs to search a document.
+
+    items: item_id, words, answer, cols, vals of each passage.
+    """
 
     def __init__(self, idf: np.ndarray, used: np.ndarray, basis: np.ndarray, items: list[tuple]) -> None:
         self.idf, self.squared, self.basis = idf, idf.astype(np.float64) ** 2, basis
         self.row = np.full(BUCKETS, -1, np.int32)
         self.row[used] = np.arange(len(used), dtype=np.int32)
-        self.items = items
+        self.ids, self.rows = [x[0] for x in items], [x[3:5] for x in items]
+        self.buckets = [buckets_of(x[1]) for x in items]
+        #: The passages' words by number, to confirm what the buckets suggest.
+        self.number = {word: i for i, word in enumerate(dict.fromkeys(word for x in items for word in (*x[1], *x[2])))}
+        self.weights = idf[buckets_of(list(self.number))]
+        self.words, self.answers = ([np.array([self.number[word] for word in x[k]], np.int64) for x in items] for k in (1, 2))
         lengths: dict[int, list[int]] = {}
         for number, x in enumerate(items):
             if len(x[1]) >= LEAST_WORDS:
                 lengths.setdefault(1 << max(2, (len(x[1]) - 1).bit_length()), []).append(number)
-        self.phrases = Phrases([(number, x[1], x[5]) for number, x in enumerate(items) if len(x[1]) < LEAST_WORDS])
+        self.phrases = Phrases([(number, x[1]) for number, x in enumerate(items) if len(x[1]) < LEAST_WORDS])
         self.scales = [SHORTEST]
         while lengths and self.scales[0] >= 2 * min(len(items[k][1]) for k in lengths[min(lengths)]):
             self.scales[0] //= 2
@@ -314,8 +333,13 @@ class Index:
         latent = np.array([x[4] @ basis[self.row[x[3]]] for x in items], np.float32).reshape(len(items), basis.shape[1])
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.maximum(norms, 1e-9)
-        self.overlaps = [Overlap(length, numbers, items, idf) for length, numbers in sorted(lengths.items())]
-        self.counts = [np.unique(x[1], return_counts=True) for x in items]
+        #: The most that one occurrence of a bucket's word adds to the dot product with any passage.
+        self.gain = np.zeros(BUCKETS)
+        for at in range(0, len(used) if basis.size else 0, 1024):
+            own = used[at : at + 1024]
+            self.gain[own] = idf[own] * np.maximum((basis[at : at + 1024] @ self.latent.T).max(axis=1), 0)
+        self.overlaps = [Overlap(length, numbers, self.buckets, idf) for length, numbers in sorted(lengths.items())]
+        self.counts = [np.unique(x, return_counts=True) for x in self.buckets]
 
     def fold(self, weight: np.ndarray, row: np.ndarray, near: np.ndarray, step: int) -> np.ndarray:
         """The latent vectors of windows of four steps, the first of which are ``near``.
@@ -336,7 +360,7 @@ class Index:
         """Passage number -> (cosine, first, end word) of the regions that may hold it; no cosine where words alone found it."""
         out: dict[int, list[tuple[float | None, int, int]]] = {}
         for number, windows in self.latent_windows(words).items():
-            reach, at = len(self.items[number][1]), 0
+            reach, at = len(self.buckets[number]), 0
             regions = out.setdefault(number, [])
             for cosine, first, end in sorted(windows, key=lambda x: x[1]):
                 if regions and first < at:
@@ -352,18 +376,18 @@ class Index:
 
     def latent_windows(self, words: np.ndarray) -> dict[int, list[tuple[float, int, int]]]:
         """Passage number -> (cosine, first, end word) of every window near it."""
-        weight, squared, row = self.idf[words], self.squared[words], self.row[words]
-        mass, inside = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-        np.cumsum(squared, out=mass[1:])
-        np.cumsum(squared * (row >= 0), out=inside[1:])
+        weight, row = self.idf[words], self.row[words]
+        mass, gain = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+        np.cumsum(self.squared[words], out=mass[1:])
+        np.cumsum(self.gain[words], out=gain[1:])
         out: dict[int, list[tuple[float, int, int]]] = {}
         for scale in self.scales:
             first = np.arange(0, max(len(words) - scale, 0) + scale // 4, scale // 4)
             first = first[first < len(words)]
             end = np.minimum(first + scale, len(words))
             total = mass[end] - mass[first]
-            # The share of weight in the benchmark's words bounds the squared cosine, where words do not repeat.
-            near = np.flatnonzero(inside[end] - inside[first] >= LEAST_COSINE**2 * total)
+            # No dot product is above the sum of what its words can bring.
+            near = np.flatnonzero(gain[end] - gain[first] >= 0.999 * LEAST_COSINE * np.sqrt(total))
             if not len(near):
                 if scale >= len(words):
                     break
@@ -386,8 +410,9 @@ class Index:
         """The TF-IDF cosine of a window and a passage."""
         found, times = np.unique(window, return_counts=True)
         vals = times * self.idf[found].astype(np.float64)
-        _, a, b = np.intersect1d(found, self.items[number][3], assume_unique=True, return_indices=True)
-        return float(vals[a] @ self.items[number][4][b] / np.linalg.norm(vals))
+        cols, row = self.rows[number]
+        _, a, b = np.intersect1d(found, cols, assume_unique=True, return_indices=True)
+        return float(vals[a] @ row[b] / np.linalg.norm(vals))
 
     def common(self, number: int, region: np.ndarray) -> float:
         """The weight of the words in common, each as often as both have it: no common subsequence weighs more."""
@@ -395,30 +420,33 @@ class Index:
         at = np.minimum(np.searchsorted(found, region), len(found) - 1)
         return float(np.minimum(np.bincount(at[found[at] == region], minlength=len(found)), times) @ self.idf[found])
 
-    def checked(self, number: int, words: np.ndarray, regions: list[tuple[float | None, int, int]]) -> tuple[float, float, float] | None:
+    def checked(self, number: int, said: list[bytes], words: np.ndarray, regions: list[tuple[float | None, int, int]]) -> tuple[float, float, float] | None:
         """Cosine, subsequence share and answer share of the region that leaks most of a passage; None if none leaks."""
-        item, answer = self.items[number][1:3]
-        weight, best = float(self.idf[item].sum()), None
+        item, answer = self.words[number], self.answers[number]
+        weight, best = float(self.weights[item].sum()), None
         bounds = [self.common(number, words[first:end]) / weight for _, first, end in regions]
         for k in np.argsort(-np.array(bounds), kind="stable"):
             if bounds[k] < LIKELY - 1e-6 or (best and best[1] >= bounds[k] - 1e-6):
                 break
             cosine, first, end = regions[k]
-            region = words[first:end]
-            share = weighted_lcs(item, region[np.isin(region, item)], self.idf) / weight
+            region = np.fromiter((self.number.get(word, -1) for word in said[first:end]), np.int64, end - first)
+            share = weighted_lcs(item, region[np.isin(region, item)], self.weights) / weight
             if share < LIKELY or (best and share <= best[1]):
                 continue
-            found = weighted_lcs(answer, region, self.idf) / float(self.idf[answer].sum()) if len(answer) else 1.0
+            found = weighted_lcs(answer, region, self.weights) / float(self.weights[answer].sum()) if len(answer) else 1.0
             if share >= SURE or found >= ANSWER:
-                best = self.cosine(number, region) if cosine is None else cosine, share, found
+                best = self.cosine(number, words[first:end]) if cosine is None else cosine, share, found
         return best
 
-    def leaks(self, text: str | None, known: dict) -> list[tuple[int, float, float, float]]:
+    def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, cosine, subsequence share, answer share) of the passages that the text leaks."""
-        words = word_buckets(text, known)
-        found = ((number, self.checked(number, words, regions)) for number, regions in self.candidates(words).items()) if len(words) else ()
-        out = [(self.items[number][0], *leak) for number, leak in found if leak]
-        return out + [(self.items[number][0], 1.0, 1.0, 1.0) for number in self.phrases.found(text, words)]
+        said = words_of(text)
+        if not said:
+            return []
+        words = buckets_of(said)
+        found = ((number, self.checked(number, said, words, regions)) for number, regions in self.candidates(words).items())
+        out = [(self.ids[number], *leak) for number, leak in found if leak]
+        return out + [(self.ids[number], 1.0, 1.0, 1.0) for number in self.phrases.found(said, words)]
 
 
 LEAK_SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_share double"
@@ -429,23 +457,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
     spark = docs.sparkSession
     idf = inverse_frequencies(docs)
     rows = passages(benchmark, spark.sparkContext.broadcast(idf))
-    count = rows.count()
+    count, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     if not count:
         return spark.createDataFrame([], LEAK_SCHEMA)
     used, basis = latent_basis(rows, rank)
-    blocks = -(-count // BLOCK_ITEMS)
+    blocks = max(-(-count // BLOCK_ITEMS), -(-words // BLOCK_WORDS))
     out = None
     for block in range(blocks):
         of = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
         if not of.num_rows:
             continue
-        items = [(i, *(np.array(x, np.int64) for x in (words, answer, cols)), np.array(vals, float), phrase) for i, words, answer, cols, vals, phrase in zip(*[c.to_pylist() for c in of.columns], strict=True)]
+        items = [(i, words, answer, np.array(cols, np.int64), np.array(vals, float)) for i, words, answer, cols, vals in zip(*[c.to_pylist() for c in of.columns], strict=True)]
         shared = spark.sparkContext.broadcast(Index(idf, used, basis, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, known = shared.value, _Bucket()
+            index = shared.value
             for batch in batches:
-                found = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in index.leaks(text.as_py(), known)]
+                found = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in index.leaks(text.as_py())]
                 if found:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
