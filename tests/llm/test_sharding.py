@@ -1,5 +1,10 @@
+import math
+import struct
 from collections import Counter
 
+import pytest
+import xxhash
+
 from vicinal.llm import sharding
 
 
@@ -56,3 +61,43 @@ def test_query_digests(spark):
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(k, len(t) + 1, zlib.crc32(t)) for k, t in texts.items()}
     assert all(r["grown_shard"] in (r["shard"], 16) for r in rows)
+
+
+def chained(*values):
+    """Spark's xxhash64 of longs, ints in a list of one, and strings; unsigned."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, list) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def descend(key, tree):
+    """A shard by the definition: at each level the child with the smallest -ln(u) / weight."""
+    at, part = "", tree
+    for level in range(3):
+        children = {}
+        for leaf in part:
+            children.setdefault(f"{at}/{leaf[level]}", []).append(leaf)
+        draw = lambda k: -math.log(((chained(key, k) >> 11) + 0.5) * 2.0**-53) / sum(x[3] for x in children[k])  # noqa: E731, B023
+        at = min(sorted(children), key=draw)
+        part = children[at]
+    return part[0][2]
+
+
+@pytest.mark.parametrize("parts", ["2", "13"])
+def test_query_against_recomputed_draws(spark, parts):
+    """Shards from the draws, slots from the order of chunk, key and hash, whatever the number of partitions."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = sharding.op8_hash_tree_sharding(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    tree, chunks, by = sharding.even_tree(16), math.isqrt(len(rows)), {}
+    for r in rows:
+        assert r["shard"] == descend(r["doc_id"], tree) and r["grown_shard"] == descend(r["doc_id"], sharding.grown_tree(tree))
+        key = chained(r["doc_id"], r["size"], r["text_crc32"])
+        key -= 2**64 * (key >= 2**63)
+        by.setdefault(r["shard"], []).append((key % chunks, r["doc_id"], key, r["slot"]))
+    assert all([x[3] for x in sorted(own)] == list(range(len(own))) for own in by.values())

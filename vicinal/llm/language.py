@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import broadcast_if_small, held_out
+from vicinal.llm.common import broadcast_if_small, held_out, written
 from vicinal.session import table
 
 ORDER = 3
@@ -93,7 +93,7 @@ def fitting_rows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
     share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11).cast("double") * F.lit(2.0**-53)
-    return labelled.join(broadcast_if_small(sizes), "lang").filter(share * F.col("_rows") < fit_rows).select("lang", "text")
+    return labelled.join(broadcast_if_small(written(sizes, "languages")), "lang").filter(share * F.col("_rows") < fit_rows).select("lang", "text")
 
 
 class Model:

@@ -8,8 +8,8 @@ leaves that changed. A shard that joins as a region of its own adds one draw
 at the root: rows move into it and nowhere else.
 
 Defined cases: a null key draws as one fixed key; rows that repeat a key share
-its shard and take adjacent slots in an order given by all their columns; an
-empty table gives an empty result; other columns are carried along unless
+its shard and take slots in an order given by a hash of all their columns but
+maps; an empty table gives an empty result; other columns are carried along unless
 they have the name of an output, which replaces them.
 """
 
@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import broadcast_if_small, partitions
+from vicinal.llm.common import broadcast_if_small, chunk_count, hashed, written
 from vicinal.session import table
 
 #: A tree is a list of leaves: (region, rack, shard, weight).
@@ -73,27 +73,27 @@ def shard_of(key: Column, tree: list[Leaf]) -> Column:
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, shard, row: a struct) with ``slot``: a number without gaps, from 0, in each shard.
+    """``rows`` (key, shard, hash, row: a struct) with ``slot``: a number without gaps, from 0, in each shard.
 
-    A shard is cut into chunks by a hash of its rows, so that many tasks number
-    one shard. The chunks' first slots come from a table of (shard, chunk)
-    counts with one row for each pair, whose size the tree bounds.
+    A shard is cut into chunks by the hash of its rows, so that many tasks
+    number one shard: about as many chunks as rows in one, whatever the number
+    of partitions, so reruns agree. The chunks' first slots come from a table of
+    (shard, chunk) counts.
     """
-    chunks = partitions(rows.sparkSession)
-    rows = rows.withColumn("hash", F.xxhash64("key", "row"))
+    chunks = chunk_count(rows)
     rows = rows.withColumn("chunk", F.pmod("hash", F.lit(chunks)).cast("int"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("key", "hash"))
-    numbered = rows.withColumn("within", within).join(broadcast_if_small(first), ["shard", "chunk"])
-    return numbered.withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("hash", "chunk", "within", "first")
+    numbered = rows.withColumn("within", within).join(broadcast_if_small(written(first, "slots")), ["shard", "chunk"])
+    return numbered.withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("chunk", "within", "first")
 
 
 def shard_documents(docs: DataFrame, tree: list[Leaf], key: str = "doc_id") -> DataFrame:
     """``docs`` with the columns shard, slot and grown_shard (the shard with one more leaf)."""
     carried = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
     # The row travels as one struct, so its names cannot clash with those used here.
-    rows = docs.select(F.col(key).alias("key"), F.struct(*carried).alias("row"))
+    rows = docs.select(F.col(key).alias("key"), hashed(docs).alias("hash"), F.struct(*carried).alias("row"))
     rows = rows.withColumn("shard", shard_of(F.col("key"), tree)).withColumn("grown_shard", shard_of(F.col("key"), grown_tree(tree)))
     return with_slots(rows).select("row.*", "shard", "slot", "grown_shard")
 
