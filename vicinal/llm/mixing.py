@@ -4,41 +4,60 @@ The words of a source form one stream: its documents in an order given by a
 hash of the seed and the id. The stream is cut into blocks of equal length, so
 a quota of words is an exact quota of blocks (the last one in part). A target
 of e whole passes and a remainder takes every block e times and, once more,
-the first blocks of a permutation of the stream up to the remainder.
+as many blocks as the remainder asks for.
 
-Output shards get their share by a splitting tree: a node with its quotas of
-all sources gives each child, by one multivariate hypergeometric draw, as many
-blocks of each source as would come from dealing its blocks at random. At the
-leaves, each shard has an exact quota of each source, which names a run of the
-source's permuted blocks; runs of different shards are disjoint. Inside a
-shard, pieces are ordered by a hash, which Spark sorts by shard.
+Which blocks those are is decided by a splitting tree over the output shards.
+A drawn permutation of a source's blocks deals them to the shards' pools, and
+every node of the tree splits its quota of the source between its children by
+a hypergeometric draw from their pools; so a source's quotas by shard are one
+multivariate hypergeometric draw, and their sum is the exact quota. A shard
+takes the first of its pool, in the permuted order, up to its quota: blocks of
+different shards are disjoint. Whole passes go round the shards, so that copies
+of a block lie in different ones. Inside a shard, pieces are ordered by a hash,
+which Spark sorts by shard.
 
-Only numbers of sources reach the driver: words by source, one row each.
+The permutation is a swap-or-not network (Hoang, Morris, Rogaway 2012): each
+block's place is computed from its number alone, so no list of blocks is made.
+
+Sources may be as many as there are rows: their sizes, targets and quotas are
+a table, never collected. The level to which targets are filled up takes a few
+rounds, each of which brings two numbers a weight to the driver.
 
 Defined cases: a null text has no words; a null source is a source of its own,
 last in order; an empty source has target 0; rows that repeat an id are placed
-one after the other in the stream, in the order of their sizes and texts;
-other columns are carried along. Reruns agree: everything follows from the
-seed, the ids and the sizes.
+one after the other in the stream, in the order of their sizes and of a hash of
+their other columns (maps left out); other columns are carried along, unless
+they have the name of an output, which replaces them. Reruns agree: everything
+follows from the seed, the ids, the sizes and their number, and not from how
+many partitions there are.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import broadcast_if_small, partitions, written
+from vicinal.llm.common import broadcast_if_small, chunk_count, hashed, written
 from vicinal.session import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20240607
+SHARDS = 16
+WEIGHTS = (3, 1, 2)
 #: A source's stream is cut into at least about so many blocks, of at most BLOCK_WORDS words...
 LEAST_BLOCKS, BLOCK_WORDS = 256, 2048
-#: ...and all streams into about so many at most, which the hypergeometric sampler and 64-bit arithmetic take.
-MOST_BLOCKS = 2**28
+#: ...and into so many at most, which the hypergeometric sampler takes; beyond 2**40 words a source, blocks grow.
+MOST_BLOCKS = 2**29
+#: Rounds of the swap-or-not network.
+ROUNDS = 24
+#: Plans of up to so many sources are broadcast (about 400 bytes each).
+BROADCAST_SOURCES = 50_000
+#: Pieces that are ordered together inside a shard.
+LOCAL_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -47,146 +66,200 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marked, " \t\n\x0b\f\r", "")).cast("long")
 
 
-def source_weights(sources: list, weights: tuple[float, ...] = (3, 1, 2)) -> dict:
-    """Weights in turn over the sources by code point, null last."""
-    ordered = sorted(sources, key=lambda s: (s is None, s or ""))
-    return {s: float(weights[i % len(weights)]) for i, s in enumerate(ordered)}
+def sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """source, words, turn, weight of each source of ``docs`` (source, size), as a written table.
+
+    Weights go in turn over the sources by code point, null last. Ranges of
+    names are numbered apart, after the sources of all ranges before.
+    """
+    sizes = docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"))
+    ranged = written(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    placed = ranged.withColumn("inside", inside).join(broadcast_if_small(written(starts, "starts")), "range")
+    turn = F.pmod(F.col("start") + F.col("inside") - 1, F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)
+    return written(placed.select("source", "words", turn.alias("turn"), weight.alias("weight")), "sources")
+
 
+def over_the_cap(level: float, cap: float) -> Column:
+    """Whether a source's share of the level is more than it may give."""
+    return F.lit(level) * F.col("weight") > F.lit(cap) * F.col("words")
 
-def targets(sizes: dict, weights: dict, share: float = 1.5, cap: float = 2.0) -> dict:
-    """Words of each source: shares of ``share`` times all sizes by weight, none above ``cap`` times its size."""
-    out, left = {}, share * sum(sizes.values())
-    free = {s for s in sizes if sizes[s] > 0}
-    out = dict.fromkeys(sizes, 0.0)
-    while free:
-        total = sum(weights[s] for s in free)
-        over = {s for s in free if left * weights[s] / total > cap * sizes[s]}
-        if not over:
-            out |= {s: left * weights[s] / total for s in free}
-            break
-        out |= {s: cap * float(sizes[s]) for s in over}
-        left -= sum(cap * sizes[s] for s in over)
-        free -= over
-    return out
 
+def fill_level(named: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> float:
+    """Words a unit of weight at which the targets add up to ``share`` of all words, none above ``cap`` times its source.
 
-def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """shards x sources: exact quotas of each shard, by recursive hypergeometric splits."""
+    A source over its cap leaves its excess to the others, which raises the
+    level; it settles when no more sources are over.
+    """
+    level = 0.0
+    while True:
+        over = over_the_cap(level, cap)
+        found = named.filter("words > 0").groupBy("turn").agg(F.count_if(~over).alias("free"), F.sum("words").alias("words"), F.coalesce(F.sum(F.when(over, F.col("words"))), F.lit(0)).alias("capped")).collect()
+        total = sum(weights[r["turn"]] * r["free"] for r in sorted(found, key=lambda r: r["turn"]))
+        if not total:
+            return float("inf")
+        after = (share * sum(r["words"] for r in found) - cap * sum(r["capped"] for r in found)) / total
+        if after <= level:
+            return level
+        level = after
+
+
+def split_tree(blocks: int, quota: int, shards: int, rng: np.random.Generator) -> tuple[list[int], list[int]]:
+    """Blocks in each shard's pool, and how many of them are drawn: ``quota`` of all ``blocks`` without putting back.
+
+    A node cuts its pool between its children and draws how much of its quota falls to the first.
+    """
     if shards == 1:
-        return quotas[None, :]
+        return [blocks], [quota]
     left = shards // 2
-    taken = int(quotas.sum()) * left // shards
-    drawn = rng.multivariate_hypergeometric(quotas, taken, method="marginals").astype(np.int64)
-    return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
-
-
-def plan(sizes: dict, shards: int = 16, seed: int = SEED, weights: dict | None = None, share: float = 1.5, cap: float = 2.0) -> list[dict]:
-    """One row a source: target, block length, whole passes, remainder, the permutation, each shard's runs."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    wanted = targets(sizes, weights or source_weights(names), share, cap)
-    rows, quotas, least = [], [], -(-sum(sizes.values()) // MOST_BLOCKS)
-    for name in names:
-        words, target = sizes[name], wanted[name]
-        block = max(1, min(BLOCK_WORDS, words // LEAST_BLOCKS), least)
-        blocks = max(1, -(-words // block))
-        whole = min(int(target // words), int(cap)) if words else 0
-        rest = max(0, min(words, round(target) - whole * words)) if words else 0
-        factor = next(a for a in range(max(1, round(blocks * 0.6180339887498949)), blocks + 2) if math.gcd(a, blocks) == 1) if blocks > 1 else 1
-        shift = int(np.random.default_rng([seed, len(rows)]).integers(0, max(blocks, 1)))
-        rows.append({"source": name, "source_size": words, "target": target, "block": block, "blocks": blocks, "whole": whole, "rest": rest, "factor": factor, "shift": shift})
-        quotas.append(whole * blocks + -(-rest // block))
-    dealt = split_tree(np.array(quotas, np.int64), shards, np.random.default_rng(seed)) if quotas else np.zeros((shards, 0), np.int64)
-    for row, counts in zip(rows, dealt.T, strict=True):
-        row["runs"] = [0, *np.cumsum(counts).tolist()]
-    return rows
-
-
-PLAN_SCHEMA = "source string, source_size bigint, target double, block bigint, blocks bigint, whole int, rest bigint, factor bigint, shift bigint, runs array<bigint>"
+    pool = blocks * left // shards
+    drawn = int(rng.hypergeometric(pool, blocks - pool, quota)) if quota else 0
+    first, second = split_tree(pool, drawn, left, rng), split_tree(blocks - pool, quota - drawn, shards - left, rng)
+    return first[0] + second[0], first[1] + second[1]
+
+
+def plan(named: DataFrame, level: float, shards: int = SHARDS, seed: int = SEED, cap: float = 2.0) -> DataFrame:
+    """source, source_size, target, the blocks, the shards' pools (their first places) and quotas of each source, as a written table."""
+    words = F.col("words")
+    target = F.when(words == 0, 0.0).when(over_the_cap(level, cap), F.lit(cap) * words).otherwise(F.lit(min(level, 1e300)) * F.col("weight"))
+    rows = named.select("source", words.alias("source_size"), target.alias("target"), F.xxhash64("source", F.col("source").isNull(), F.lit(seed)).alias("key"))
+    size = F.col("source_size")
+    rows = rows.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(size / LEAST_BLOCKS)), F.ceil(size / MOST_BLOCKS)).cast("bigint"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.expr("(source_size + block - 1) div block")))
+    rows = rows.withColumn("whole", F.when(size == 0, 0).otherwise(F.least(F.floor(F.col("target") / F.greatest(size, F.lit(1))), F.lit(int(cap)))).cast("int"))
+    rows = rows.withColumn("rest", F.greatest(F.lit(0), F.least(size, F.round("target").cast("bigint") - F.col("whole") * size)))
+    rows = rows.withColumn("quota", F.expr("(rest + block - 1) div block"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            pools, quotas = [], []
+            for key, blocks, quota in zip(*(batch.column(c).to_pylist() for c in ("key", "blocks", "quota")), strict=True):
+                pool, drawn = split_tree(blocks, quota, shards, np.random.default_rng([seed, key % 2**64]))
+                pools.append([0, *np.cumsum(pool).tolist()])
+                quotas.append(drawn)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pools, kind), pa.array(quotas, kind)], names=[*batch.schema.names, "pools", "drawn"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return written(rows.mapInArrow(draw, f"{schema}, pools array<bigint>, drawn array<bigint>"), "plan")
 
 
 def with_starts(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Each document's first word in its source's stream, as ``start`` (columns source, doc_id, size needed).
+    """Each document's first word in its source's stream, as ``start`` (columns source, doc_id, size, tie; others are carried along).
 
     A prefix sum in two levels: inside chunks of a source, which a hash of the
     id spreads over all tasks, and over the chunks' totals, of which there is
-    one for each source and chunk and which are joined back, broadcast if few.
+    one for each source and chunk and which are joined back. There are about as
+    many chunks as rows in a chunk.
     """
-    chunks = 4 * partitions(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("source", "doc_id", "size")]
-    at = F.xxhash64("doc_id", F.lit(seed))
-    docs = docs.withColumn("_at", at).withColumn("_chunk", F.pmod("_at", F.lit(chunks)).cast("int")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    chunks = chunk_count(docs)
+    docs = docs.withColumn("_at", F.xxhash64("doc_id", F.lit(seed))).withColumn("_chunk", F.pmod("_at", F.lit(chunks)).cast("int"))
+    docs = docs.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     totals = docs.groupBy("_source", "_chunk").agg(F.sum("size").alias("_words"))
     before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    totals = written(totals.select("_source", "_chunk", F.coalesce(before, F.lit(0)).alias("_before")), "totals")
-    inside = Window.partitionBy("_source", "_chunk").orderBy("_at", "doc_id", "size", *rest).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_source", "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_source", "_chunk").orderBy("_at", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return docs.join(broadcast_if_small(totals), ["_source", "_chunk"]).withColumn("start", F.col("_before") + F.col("_inside")).drop("_at", "_chunk", "_source", "_before", "_inside")
+    return docs.join(broadcast_if_small(written(totals, "totals")), ["_source", "_chunk"]).withColumn("start", F.col("_before") + F.col("_inside")).drop("_at", "_chunk", "_source", "_before", "_inside")
+
 
+def permuted(block: Column, blocks: Column, key: Column) -> Column:
+    """The block's place in its source's permutation of 0 .. blocks - 1.
 
-def source_sizes(docs: DataFrame) -> dict:
-    """Words by source."""
-    return {r["source"]: int(r["words"] or 0) for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    In each round a block may change places with its mirror image about a
+    random point; a hash of the pair decides whether both do.
+    """
+
+    def swap(x: Column, turn: Column) -> Column:
+        mirror = F.pmod(F.xxhash64(key, turn) % blocks - x, blocks)
+        swapped = F.xxhash64(F.greatest(x, mirror), turn, key).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.when(swapped, mirror).otherwise(x)
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), block, swap)
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = SEED, weights: dict | None = None, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` (doc_id, source, size, ...) with source_size, target, start and ``pieces``.
 
-    ``pieces`` lists what the mix takes of the document: structs of the output
+    ``pieces`` lists what the shards take of the document: structs of the
     shard, the pass, and the first and end word in the document.
     """
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([tuple(r.values()) for r in plan(source_sizes(docs), shards, seed, weights, share, cap)], PLAN_SCHEMA)
-    rows = rows.withColumnRenamed("source", "_name")
-    out = with_starts(docs, seed).join(F.broadcast(rows), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    first, last = F.expr("start div block"), F.expr("(start + size - 1) div block")
-
-    def piece(block: Column, turn: Column) -> Column:
-        """The document's words in a block that is taken in a pass, whose words beyond the last quota are cut."""
-        rank = F.pmod(block * F.col("factor") + F.col("shift"), F.col("blocks"))
-        room = F.when(turn < F.col("whole"), F.col("block")).otherwise(F.col("rest") - rank * F.col("block"))
-        # The permuted place of the last, shorter block is counted in full, so the remainder is off by less than a block.
-        begin = F.greatest(F.col("start"), block * F.col("block")) - F.col("start")
-        end = F.least(F.col("start") + F.col("size"), block * F.col("block") + F.least(room, F.col("block"))) - F.col("start")
-        place = turn * F.col("blocks") + rank
-        shard = F.size(F.filter("runs", lambda upto: upto <= place)) - 1
-        return F.struct(shard.alias("shard"), turn.cast("int").alias("pass"), begin.alias("first"), end.alias("end"))
-
-    passes = F.sequence(F.lit(0), F.col("whole"))
-    pieces = F.flatten(F.transform(passes, lambda turn: F.transform(F.sequence(first, last), lambda block: piece(block, turn))))
-    out = out.withColumn("pieces", F.filter(pieces, lambda p: p["first"] < p["end"]))
-    return out.drop("block", "blocks", "whole", "rest", "factor", "shift", "runs")
+    named = sources(docs, weights)
+    plans = plan(named, fill_level(named, weights, share, cap), shards, seed, cap)
+    plans = broadcast_if_small(plans.select(F.col("source").alias("_name"), F.struct(*[c for c in plans.columns if c != "source"]).alias("_plan")), BROADCAST_SOURCES)
+    carried = [c for c in docs.columns if c not in ("source_size", "target", "start", "pieces")]
+    # The row travels as one struct, so its names cannot clash with those used here.
+    rows = docs.select("doc_id", "source", "size", hashed(docs).alias("tie"), F.struct(*carried).alias("_row"))
+    rows = with_starts(rows, seed).join(plans, F.col("source").eqNullSafe(F.col("_name")))
+    p = lambda name: F.col(f"_plan.{name}")
+    first, last = F.expr("start div _plan.block"), F.expr("(start + size - 1) div _plan.block")
+    spots = F.transform(F.sequence(first, last), lambda b: F.struct(b.alias("block"), permuted(b, p("blocks"), p("key")).alias("place")))
+    spots = F.transform(spots, lambda s: F.struct(s["block"].alias("block"), s["place"].alias("place"), (F.size(F.filter(p("pools"), lambda upto: upto <= s["place"])) - 1).alias("pool")))
+    last_pool = F.array_max(F.transform(p("drawn"), lambda n, i: F.when(n > 0, i)))
+
+    def pieces_of(s: Column) -> Column:
+        """What is taken of the document's words in a block, pass by pass."""
+        rank, quota = s["place"] - F.get(p("pools"), s["pool"]), F.get(p("drawn"), s["pool"])
+        # Of the quotas' last block only what is left of the remainder is taken.
+        cut = F.when((s["pool"] == F.col("_last_pool")) & (rank == quota - 1), p("rest") - (p("quota") - 1) * p("block")).otherwise(p("block"))
+
+        def piece(turn: Column) -> Column:
+            room = F.when(turn < p("whole"), p("block")).when(rank < quota, cut).otherwise(F.lit(0))
+            begin = F.greatest(F.col("start"), s["block"] * p("block")) - F.col("start")
+            end = F.least(F.col("start") + F.col("size"), s["block"] * p("block") + room) - F.col("start")
+            return F.struct(F.pmod(s["pool"] + turn, F.lit(shards)).cast("int").alias("shard"), turn.cast("int").alias("pass"), begin.alias("first"), end.alias("end"))
+
+        return F.transform(F.sequence(F.lit(0), p("whole")), piece)
+
+    rows = rows.withColumn("_last_pool", last_pool)
+    taken = F.filter(F.flatten(F.transform(spots, pieces_of)), lambda x: x["first"] < x["end"])
+    made = F.struct(p("source_size").alias("source_size"), p("target").alias("target"), "start", taken.alias("pieces"))
+    return rows.select("_row", made.alias("_made")).select("_row.*", "_made.*")
 
 
 def taken_words(pieces: Column) -> Column:
     return F.coalesce(F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["first"]), F.lit(0).cast("long"))
 
 
+def shuffled(rows: DataFrame, count: int, *key: str, seed: int = SEED) -> DataFrame:
+    """Rows with a ``shard``, in random order inside each shard, of about ``count`` rows in all.
+
+    A shard is ordered in parts of about ``LOCAL_ROWS`` rows, chosen by the same hash.
+    """
+    order = F.xxhash64(*key, F.lit(seed + 1))
+    parts = max(1, count // (LOCAL_ROWS * SHARDS))
+    return rows.withColumn("_order", order).withColumn("_part", F.pmod("_order", F.lit(parts))).repartition("shard", "_part").sortWithinPartitions("shard", "_part", "_order").drop("_order", "_part")
+
+
 def shuffled_pieces(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: shard, doc_id, pass, first and end word, in random order inside each shard."""
     rows = mixed.select("doc_id", F.explode("pieces").alias("p")).select("p.shard", "doc_id", "p.pass", "p.first", "p.end")
-    order = F.xxhash64("doc_id", "pass", "first", F.lit(seed + 1))
-    return rows.withColumn("_order", order).repartition("shard", F.pmod("_order", F.lit(partitions(mixed.sparkSession)))).sortWithinPartitions("shard", "_order").drop("_order")
+    return shuffled(rows, 2 * mixed.count(), "doc_id", "pass", "first", seed=seed)
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """Whole documents by the mix: each as often as the mix takes it, rounded by where its middle word falls.
+def mixed_documents(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
+    """Whole documents by the mix: each once for every piece that has its middle word, in the piece's shard.
 
-    A document is repeated once for each whole pass and once more if the mix
-    takes its middle word in the last pass, so texts are never cut.
+    So a document is repeated once for each whole pass and once more if its
+    block is drawn again, and texts are never cut. The documents of a shard
+    come together, in random order.
     """
-    columns = docs.columns
-    # The row itself travels as one struct, so its names cannot clash with those of the mix.
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*columns).alias("_row"))
+    carried = docs.columns
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*carried).alias("_whole"))
     middle = F.floor(F.col("size") / 2)
-    copies = F.size(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle)))
-    picked = mix(rows, **settings).withColumn("_copies", copies).filter("_copies > 0")
-    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    picked = mix(rows, seed=seed, **settings).select("_whole", "doc_id", F.explode(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle))).alias("p"))
+    picked = picked.select("_whole", "doc_id", "p.shard", F.col("p.pass").alias("_pass"))
+    return shuffled(picked, 2 * docs.count(), "doc_id", "_pass", seed=seed).select("_whole.*")
 
 
 def op10_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a mix of 150 % of all words takes of every document."""
+    """What a mix of 150 % of all words takes of every document, and by which shards (``dealt``: shard:words, comma-joined)."""
     docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return mix(docs).select("doc_id", "size", "source_size", "target", taken_words(F.col("pieces")).alias("taken"))
+    by = F.transform(F.array_sort("pieces"), lambda p: F.concat_ws(":", p["shard"].cast("string"), (p["end"] - p["first"]).cast("string")))
+    return mix(docs).select("doc_id", "size", "source_size", "target", taken_words(F.col("pieces")).alias("taken"), F.array_join(by, ",").alias("dealt"))
 
 
 QUERIES = {"op10_splitting_tree_mix": op10_splitting_tree_mix}
