@@ -86,9 +86,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, None, 3, 5, 7, 8, 9, 10]))
 
 
-def test_a_repeated_id_with_other_texts_does_not_fail(spark):
-    docs = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "q r s t u v w x"), (3, "a b c d e f g h")]
-    assert len(neardup.near_duplicates(frame(spark, docs), 4).collect()) == 4
+def test_of_a_repeated_id_one_text_speaks(spark):
+    """The text with the smallest digest links the id; the order of rows does not matter."""
+    texts = ["a b c d e f g h", "q r s t u v w x"]
+    h = neardup._WordHash()
+    first = min(texts, key=lambda t: neardup.xxhash.xxh3_128_digest(neardup.shingle_set(t, 4, h).tobytes()))
+    docs = [(1, texts[0]), (1, texts[1]), (1, ""), (2, texts[1]), (3, texts[0]), (1, texts[0])]
+    with_first = 3 if first == texts[0] else 2
+    for rows in (docs, docs[::-1]):
+        found = neardup.near_duplicates(frame(spark, rows), 4).collect()
+        assert len(found) == 6
+        assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (with_first, 1), (5 - with_first, 5 - with_first)}
+        kept = neardup.one_of_each(frame(spark, rows), 4).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, texts[0]), (1, texts[1]), (1, ""), (5 - with_first, texts[1] if with_first == 3 else texts[0])])
+
+
+def test_copies_with_other_columns_are_chosen_by_hash(spark):
+    rows = [(1, "a b c d e f", str(i)) for i in range(20)]
+    pick = lambda x: [tuple(r) for r in neardup.one_of_each(spark.createDataFrame(x, "doc_id bigint, text string, component string").repartition(3)).collect()]
+    assert len(pick(rows)) == 1 and pick(rows) == pick(rows[::-1])
 
 
 def test_case_and_white_space():

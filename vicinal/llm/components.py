@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.common import written
 
-MOST_ROUNDS = 64
-
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``links`` (a, b).
@@ -21,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round is a written table, so lineage stays short.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    for _ in range(MOST_ROUNDS):
+    same = False
+    while not same:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -30,9 +29,5 @@ def components(links: DataFrame) -> DataFrame:
         after = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
         same = edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
         edges = after
-        if same:
-            break
-    else:
-        raise RuntimeError(f"the components did not settle in {MOST_ROUNDS} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

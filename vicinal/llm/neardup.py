@@ -5,7 +5,9 @@
 2. Documents with equal sets form a class, and only one of a class goes on.
 3. Documents that share a band key are candidates. Inside a bucket of equal
    keys not all pairs are made: first every member is paired with the bucket's
-   smallest id (a star), which joins groups of near copies by few links.
+   smallest id (a star), which joins groups of near copies by few links. What
+   that leaves apart is paired with another member, drawn by a hash, and so on
+   for ``STARS`` rounds.
 4. Candidates are compared by batches of signature values. After each batch
    the posterior of the similarity (a Beta distribution from a uniform prior)
    bounds how likely the pair still is to reach the threshold; below the
@@ -21,8 +23,9 @@ probability (1 - 0.8**6) ** 42 = 3e-6.
 
 Defined cases: a null or wordless text has an empty set, is linked with
 nothing and stays; a null id stays outside all links; repeated rows are copies
-of one another. Rows that share an id and differ in text are taken as one
-document that has the links of both. Of a component the smallest id stays.
+of one another. Of rows that share an id and differ in text, the one with the
+smallest digest speaks for the id, and all of them have its component. Of a
+component the smallest id stays.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import broadcast_if_small, written
+from vicinal.llm.common import broadcast_if_small, hashed, written
 from vicinal.llm.components import components
 from vicinal.session import table
 
@@ -50,6 +53,8 @@ BLOCK = 512
 #: ... or fewer, so that a block has about so many shingles (8 bytes each) at most.
 BLOCK_SHINGLES = 2_000_000
 WORD_CACHE = 200_000
+#: Rounds of stars before the members of a bucket meet in blocks.
+STARS = 2
 
 
 class _WordHash(dict):
@@ -172,7 +177,7 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def restrict(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose ``column`` is (or, as an anti-join, is not) the ``id`` of a table of distinct ids."""
+    """Rows whose ``column`` is (or, as an anti-join, is not) the ``id`` of a written table of distinct ids."""
     ids = ids.select(F.col("id").alias("_id_of_restrict"))
     return rows.join(broadcast_if_small(ids), F.col(column) == F.col("_id_of_restrict"), how)
 
@@ -183,8 +188,11 @@ def endpoints(pairs: DataFrame) -> DataFrame:
 
 
 def survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that the sequential test does not prune."""
-    sigs = restrict(reps.select("doc_id", "n_shingles", "sig"), "doc_id", endpoints(pairs)).dropDuplicates(["doc_id"])
+    """Pairs (a, b) that the sequential test does not prune.
+
+    Both sides of either join are tables, so Spark may split the pairs of a hub.
+    """
+    sigs = written(restrict(reps.select("doc_id", "n_shingles", "sig"), "doc_id", endpoints(pairs)), "signatures")
     side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9))
 
@@ -198,25 +206,46 @@ def survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+class Ids:
+    """Repeated ids: which row of an id speaks for it."""
+
+    def __init__(self, named: DataFrame) -> None:
+        again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("_digest")).filter("n > 1")
+        self.again = written(again.select(F.col("doc_id").alias("_id"), "_digest"), "again")
+        self.repeated = not self.again.isEmpty()
+
+    def with_digest(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (doc_id, digest, ...) with the id's digest as ``digest`` and the row's own as ``own``."""
+        if not self.repeated:
+            return rows.withColumn("own", F.col("digest"))
+        both = rows.join(broadcast_if_small(self.again), F.col("doc_id") == F.col("_id"), "left")
+        return both.withColumn("own", F.col("digest")).withColumn("digest", F.coalesce("_digest", "digest")).drop("_id", "_digest")
+
+    def single(self, rows: DataFrame) -> DataFrame:
+        """One row (doc_id, digest, ...) an id."""
+        return self.with_digest(rows).filter("own = digest").drop("own").dropDuplicates(["doc_id"]) if self.repeated else rows
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, known: Ids) -> DataFrame:
     """doc_id, shingles (sorted hashes) of the documents with the given ids, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
-            sets = [np.sort(shingle_set(x.as_py(), words, hashes).view(np.int64)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(x.as_py(), words, hashes) for x in batch.column(1)]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([np.sort(x.view(np.int64)) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "shingles"])
 
     texts = restrict(docs.select("doc_id", "text"), "doc_id", ids)
-    return written(texts.mapInArrow(run, "doc_id bigint, shingles array<bigint>"), "sets")
+    return written(known.single(texts.mapInArrow(run, "doc_id bigint, digest binary, shingles array<bigint>")).drop("digest"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, known: Ids) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity."""
-    sets = shingle_sets(docs, endpoints(pairs), words)
+    sets = shingle_sets(docs, endpoints(pairs), words, known)
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b").distinct()
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
 
 def blocks(open_rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -265,7 +294,7 @@ class BlockPairs:
         self.comps[self.comps == self.comps[y]] = self.comps[x]
 
 
-def cross_links(open_rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def cross_links(open_rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, known: Ids) -> DataFrame:
     """Links (a, b) between members of one bucket in different components, confirmed on the full sets.
 
     Comparisons stay inside tasks: the first pass returns the documents that
@@ -275,7 +304,7 @@ def cross_links(open_rows: DataFrame, reps: DataFrame, docs: DataFrame, words: i
     """
     threshold = percent / 100
     ids = written(open_rows.select(F.col("doc_id").alias("id")).distinct(), "ids")
-    facts = restrict(reps.select("doc_id", "n_shingles", "sig", "bands"), "doc_id", ids).dropDuplicates(["doc_id"])
+    facts = restrict(reps.select("doc_id", "n_shingles", "sig", "bands"), "doc_id", ids)
 
     def find(_, group):
         pairs, hit = BlockPairs(group, threshold), np.zeros(group.num_rows, bool)
@@ -285,7 +314,7 @@ def cross_links(open_rows: DataFrame, reps: DataFrame, docs: DataFrame, words: i
         return pa.table({"id": pa.array(pairs.ids[hit])})
 
     near = written(blocks(open_rows, facts).applyInArrow(find, "id bigint").distinct(), "near")
-    sets = shingle_sets(docs, near, words).dropDuplicates(["doc_id"])
+    sets = shingle_sets(docs, near, words, known)
     with_sets = restrict(facts, "doc_id", near).join(sets, "doc_id")
 
     def confirm(_, group):
@@ -310,40 +339,72 @@ def cross_links(open_rows: DataFrame, reps: DataFrame, docs: DataFrame, words: i
     return blocks(again, with_sets).applyInArrow(confirm, "a bigint, b bigint").distinct()
 
 
+def placed_in(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, doc_id, component of the members of buckets that are still in more than one component, as a written table."""
+    placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
+    return written(placed.join(written(split, "keys"), "key", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     threshold = percent / 100
     sketches = sketch(docs, words)
     named = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    known = Ids(named)
+    named = written(known.single(named), "named") if known.repeated else named
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    copies = named.select("doc_id", "digest").join(classes.filter("n > 1"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("id")).distinct()
+    copies = named.select("doc_id", "digest").join(written(classes.filter("n > 1"), "repeated"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("id"))
     reps = restrict(named, "doc_id", written(copies, "copies"), "left_anti")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("_last")).filter("center < _last").select("key", "center")
     members = written(keys.join(buckets, "key"), "members")
-    stars = written(members.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = written(confirmed(written(survivors(stars, reps, threshold), "pairs"), docs, words, percent), "links")
-    found = written(components(links), "components")
-
-    placed = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
-    open_rows = written(placed.join(split, "key", "left_semi"), "open")
-    more = written(cross_links(open_rows, reps, docs, words, percent), "links")
+    links = None
+
+    def grown(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links with those of the stars (center, doc_id), and the components that they make."""
+        pairs = stars.select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
+        pairs = written(survivors(written(pairs, "pairs"), reps, threshold), "pairs")
+        new = written(confirmed(pairs, docs, words, percent, known), "links")
+        every = new if links is None else links.union(new)
+        return every, written(components(every), "components")
+
+    links, found = grown(members.filter("doc_id <> center").select("center", "doc_id"))
+    members = members.select("key", "doc_id")
+    open_rows = placed_in(members, found)
+    for turn in range(1, STARS):
+        if open_rows.isEmpty():
+            break
+        draw = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")
+        centers = open_rows.groupBy("key").agg(F.min(draw).alias("c")).select("key", F.col("c.doc_id").alias("center"), F.col("c.component").alias("_own"))
+        links, found = grown(open_rows.join(written(centers, "centers"), "key").filter("component <> _own").select("center", "doc_id"))
+        open_rows = placed_in(open_rows.select("key", "doc_id"), found)
+
+    more = written(cross_links(open_rows, reps, docs, words, percent, known), "links")
     if not more.isEmpty():
-        links = links.union(more)
-        found = written(components(links), "components")
-
-    named_classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(named_classes, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"))
+        found = written(components(links.union(more)), "components")
+
+    linked = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", "n", "rep", F.coalesce("component", "rep").alias("class_id"))
+    # A class of one that is linked with nothing is its own component, so it need not be joined.
+    linked = written(linked.filter("n > 1 or class_id <> rep").select("digest", "class_id"), "classes")
+    rows = sketches.select("doc_id", "n_shingles", "digest")
+    alone = F.col("digest").isNull() | F.col("doc_id").isNull()
+    out = known.with_digest(rows.filter(~alone)).join(linked, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
+    if known.repeated:
+        # A wordless row may share the id of one with words.
+        ids = written(known.again.select("_id", "_digest").join(linked, F.col("_digest") == F.col("digest"), "left").select("_id", "class_id"), "again")
+        rest = rows.filter(alone).join(broadcast_if_small(ids), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
+    else:
+        rest = rows.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.union(rest)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all columns, without all but one of each group of near-duplicates.
 
-    Only the ids that go are joined, and broadcast if few. Rows that repeat an
-    id and its text are made one where there are any.
+    Only the ids that go are joined, and broadcast if few. Of rows that repeat
+    an id and its text the one whose columns have the smallest hash stays.
     """
     found = written(near_duplicates(docs, words, percent), "components")
     gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
@@ -351,7 +412,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     out = restrict(docs, "doc_id", gone, "left_anti")
     if again.isEmpty():
         return out
-    return restrict(out, "doc_id", again, "left_anti").union(restrict(out, "doc_id", again).dropDuplicates(["doc_id", "text"]))
+    same = restrict(out, "doc_id", again).select("doc_id", "text", hashed(docs).alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    same = same.groupBy("doc_id", "text").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
+    return restrict(out, "doc_id", again, "left_anti").union(same)
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
