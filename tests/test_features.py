@@ -75,3 +75,26 @@ def test_one_pass_without_shuffle(spark):
     rows = spark.range(10).select(F.lit(json.dumps(G0)).alias("value"))
     plan = features.vectorize(rows)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Python" not in plan
+
+
+def test_texts_are_parsed_once(spark):
+    """However many features are used, the optimized plan holds one from_json."""
+    from vicinal.plans import table_queries
+
+    for name in ("payload_vectorize_14", "payload_validation"):
+        df = table_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1, name
+
+
+def test_strict_mode(spark):
+    """The golden payload as a rigid parser takes it, and texts that only the relaxed mode takes."""
+    text = json.dumps(G1)
+    relaxed_only = [
+        text.replace('"amount": 384.88', '"amount": 3.8488e2'), text.replace('"id": "M1"', '"id": "M\\u0031"'), json.dumps(dict(reversed(G1.items()))),
+        json.dumps({k: v for k, v in G1.items() if k != "last_transaction"}), json.dumps(G1 | {"more": 1}),
+    ]
+    both = [text, json.dumps(G0), json.dumps(G1, indent=3), text + " trailing", text.replace('"id": "b"', '"name": "b"').replace('"name": "b"', '"id": "b"')]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*both, *relaxed_only])], "i int, value string")
+    strict = [r["reason"] for r in features.vectorize(rows, strict=True).orderBy("i").collect()]
+    assert strict == [None] * len(both) + ["not_strict"] * len(relaxed_only)
+    assert {r["reason"] for r in features.vectorize(rows).collect()} == {None}

@@ -42,11 +42,46 @@ def log2_histogram(rows: DataFrame, group: list[str], bucket: Column) -> DataFra
 
 
 def histogram_quantile(histogram: DataFrame, group: list[str], shares: dict[str, float]) -> DataFrame:
-    """2 ** b of the first bucket at which max(1, floor(p * n)) observations are reached, by group."""
+    """2 ** b (0 for bucket 0) of the first bucket b at which max(1, floor(p * n)) observations are reached, by group."""
     upto = histogram.withColumn("_upto", F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))).withColumn("_all", F.sum("n").over(Window.partitionBy(*group)))
     wanted = lambda p: F.greatest(F.lit(1), F.floor(F.lit(p) * F.col("_all")))
     first = upto.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") >= wanted(p), F.col("bucket"))).alias(name) for name, p in shares.items()))
-    return first.select(*group, *(F.pow(F.lit(2.0), F.col(name)).cast("bigint").alias(name) for name in shares))
+    return first.select(*group, *(F.when(F.col(name) == 0, 0).otherwise(F.pow(F.lit(2.0), F.col(name))).cast("bigint").alias(name) for name in shares))
+
+
+def window_histogram(snapshots: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, order, bucket, n: what each snapshot's cumulative buckets (by, order, bucket, n) have more than those before."""
+    before = F.lag("n", 1, 0).over(Window.partitionBy(*by, "bucket").orderBy(order))
+    return snapshots.select(*by, order, "bucket", (F.col("n") - before).alias("n")).filter("n > 0")
+
+
+def bucket_summary(rows: DataFrame, name: Column, value: Column, bucket: Column) -> DataFrame:
+    """name, n, mean (integer), p50, p90, p99, p999 (from log2 buckets), max of each name."""
+    each = rows.select(name.alias("name"), value.alias("v"), bucket.alias("bucket"))
+    whole = each.groupBy("name").agg(F.count("v").alias("n"), F.floor(F.sum("v") / F.greatest(F.count("v"), F.lit(1))).cast("bigint").alias("mean"), F.max("v").alias("max"))
+    shares = histogram_quantile(log2_histogram(each, ["name"], F.col("bucket")), ["name"], {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999})
+    return whole.join(shares, "name")
+
+
+def run_stats(runs: DataFrame, label: str, order: str) -> DataFrame:
+    """label, runs, cold_ns, min_ns, median_ns, mib_per_s, records_per_s of timed runs (label, order, ns, bytes, records).
+
+    The first run is the cold one and counts apart; the median is the sorted
+    warm runs' entry n div 2; throughput is that of the fastest. Equal times
+    are counted first, so what is sorted is a row a distinct time.
+    """
+    first = runs.groupBy(label).agg(F.min(F.struct(order, "ns")).alias("_f"))
+    runs = runs.join(first, label).filter(F.col(order) > F.col(f"_f.{order}"))
+    counts = runs.groupBy(label, "ns").agg(F.count(F.lit(1)).alias("_n"), F.max("bytes").alias("bytes"), F.max("records").alias("records"))
+    upto, every = F.sum("_n").over(Window.partitionBy(label).orderBy("ns")), F.sum("_n").over(Window.partitionBy(label))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", every)
+    best = F.min(F.struct("ns", "bytes", "records"))
+    out = placed.groupBy(label).agg(F.max("_all").alias("runs"), best.alias("_b"), F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("ns"))).alias("median_ns"))
+    seconds = F.col("_b.ns") / 1e9
+    return out.join(first, label).select(
+        label, "runs", F.col("_f.ns").alias("cold_ns"), F.col("_b.ns").alias("min_ns"), "median_ns",
+        (F.col("_b.bytes") / (1024 * 1024) / seconds).alias("mib_per_s"), (F.col("_b.records") / seconds).alias("records_per_s"),
+    )
 
 
 def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -59,3 +94,18 @@ def deltas(snapshots: DataFrame, by: list[str], order: str, counters: list[str])
     """Each counter minus its value in the snapshot before, of the same instance; null for the first."""
     before = Window.partitionBy(*by).orderBy(order)
     return snapshots.select(*by, order, *((F.col(c) - F.lag(c).over(before)).alias(f"{c}_delta") for c in counters))
+
+
+def rates(snapshots: DataFrame, by: list[str], order: str, total: str, parts: list[str]) -> DataFrame:
+    """by, order, the deltas of ``total`` and ``parts``, per_second of total, and each part's ratio to total.
+
+    ``order`` is in seconds. An instance's first snapshot has no delta; a window
+    without any of ``total`` has ratios of 0.
+    """
+    before = Window.partitionBy(*by).orderBy(order)
+    delta = lambda c: F.col(c) - F.lag(c).over(before)
+    rows = snapshots.select(*by, order, delta(order).alias("_dt"), *(delta(c).alias(f"{c}_delta") for c in (total, *parts)))
+    each = F.col(f"{total}_delta")
+    ratio = lambda c: F.when(each > 0, F.col(f"{c}_delta") / F.greatest(each, F.lit(1))).when(each.isNotNull(), 0.0)
+    speed = F.when(F.col("_dt") > 0, each / F.greatest("_dt", F.lit(1))).when(each.isNotNull(), 0.0)
+    return rows.select(*by, order, *(f"{c}_delta" for c in (total, *parts)), speed.alias("per_second"), *(ratio(c).alias(f"{c}_per_{total}") for c in parts))

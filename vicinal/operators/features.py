@@ -5,6 +5,11 @@ come in any order, unknown ones are ignored, numbers may have exponents,
 strings may have escapes, and an absent ``last_transaction`` counts as null.
 Timestamps of the last transaction must be valid; the request's own day of the
 month may lie beyond the month's end (up to 31) and runs on into the next.
+What follows the object's end is ignored, as there.
+
+Strict mode takes only what such a parser takes: the members in their fixed
+order and no others, numbers without exponent or plus sign, strings without
+escapes, ``last_transaction`` present; the first member's name is not looked at.
 """
 
 from __future__ import annotations
@@ -38,9 +43,30 @@ U32 = 4294967295
 _STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 
 
+def strict_pattern() -> str:
+    """The text of a payload for a strict parser, as a regular expression."""
+    text, number, whole, flag = r'"[^"\\]*"', r"-?[0-9]+(?:\.[0-9]+)?", r"[0-9]+", r"(?:true|false)"
+    gap = r"[ \t\r\n]*"
+    members = lambda *pairs: rf"\{{{gap}" + rf"{gap},{gap}".join(f"{name}{gap}:{gap}{value}" for name, value in pairs) + rf"{gap}\}}"
+    names = rf"\[{gap}(?:{text}(?:{gap},{gap}{text})*)?{gap}\]"
+    return f"^{gap}" + members(
+        (text, text),
+        ('"transaction"', members(('"amount"', number), ('"installments"', whole), ('"requested_at"', text))),
+        ('"customer"', members(('"avg_amount"', number), ('"tx_count_24h"', whole), ('"known_merchants"', names))),
+        ('"merchant"', members(('"id"', text), ('"mcc"', text), ('"avg_amount"', number))),
+        ('"terminal"', members(('"is_online"', flag), ('"card_present"', flag), ('"km_from_home"', number))),
+        ('"last_transaction"', "(?:null|" + members(('"timestamp"', text), ('"km_from_current"', number)) + ")"),
+    )
+
+
 def parse(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """``payloads`` with the parsed request as ``p``."""
-    return payloads.withColumn("p", F.from_json(column, PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    """``payloads`` with the parsed request as ``p``.
+
+    It passes through an array of one element, which keeps the optimizer from
+    parsing once for each field that is used later.
+    """
+    request = F.from_json(column, PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return payloads.select("*", F.explode(F.array(request)).alias("p"))
 
 
 def mcc_risks(spark: SparkSession) -> DataFrame:
@@ -111,9 +137,12 @@ def feature_vector(p: str = "p", risk: str = "risk") -> Column:
     )
 
 
-def vectorize(payloads: DataFrame, column: str = "value") -> DataFrame:
+def vectorize(payloads: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
     """``payloads`` with ``reason`` (null: valid) and ``features`` (null: rejected)."""
-    parsed = parse(payloads, column).withColumn("reason", rejection())
+    reason = rejection()
+    if strict:
+        reason = F.coalesce(F.when(F.col(column).isNull() | ~F.col(column).rlike(strict_pattern()), "not_strict"), reason)
+    parsed = parse(payloads, column).withColumn("reason", reason)
     risks = F.broadcast(mcc_risks(payloads.sparkSession))  # ten fixed rows
     joined = parsed.join(risks, F.col("p.merchant.mcc") == F.col("mcc"), "left")
     return joined.withColumn("features", F.when(F.col("reason").isNull(), feature_vector())).drop("p", "mcc", "risk")

@@ -77,9 +77,12 @@ def build(refs: DataFrame, k: int, vector: str = "v", sample: int = 0, iteration
 
 def write(refs: DataFrame, path: str, k: int, **settings) -> None:
     """Cluster, quantize and write the index, replacing what is there."""
-    spark = refs.sparkSession
-    rows, centroids = build(refs, k, **settings)
-    dims = centroids.shape[1]
+    save(*build(refs, k, **settings), path, k)
+
+
+def save(rows: DataFrame, centroids: np.ndarray, path: str, k: int) -> None:
+    """Write the index of rows (ref_id, q, is_fraud, cluster_id), replacing what is there."""
+    spark, dims = rows.sparkSession, centroids.shape[1]
     # A large cluster is written by several tasks, each sorted by id inside.
     rows.repartition("cluster_id", F.pmod(F.xxhash64("ref_id"), F.lit(8))).sortWithinPartitions("cluster_id", "ref_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
     stored = spark.read.parquet(f"{path}/refs")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from vicinal.functions import vectors
 from vicinal.operators.index import Index
 from vicinal.operators.knn import K, matrix, top_k
+from vicinal.session import written
 
 CAP = 8
 MODES = ("exact", "capped")
@@ -93,31 +94,43 @@ def selections(seeded: DataFrame, clusters: Clusters, mode: str, cap: int = CAP)
     return seeded.select("q_id", "v", "probed", "worst").mapInArrow(run, "q_id bigint, v array<int>, cluster_id int")
 
 
-def scan(selected: DataFrame, refs: DataFrame) -> DataFrame:
+def within(refs: DataFrame, selected: DataFrame) -> DataFrame:
+    """The references of the clusters that ``selected`` (a written table) names: the others' files are not read.
+
+    There are at most as many ids as clusters, which an index bounds.
+    """
+    ids = [r["cluster_id"] for r in selected.select("cluster_id").distinct().collect()]
+    return refs.filter(F.col("cluster_id").isin(ids))
+
+
+def scan(selected: DataFrame, refs: DataFrame, dims: int) -> DataFrame:
     """q_id, ref_id, d, is_fraud of every reference in the selected clusters but the query itself."""
-    pairs = selected.join(refs, "cluster_id").filter("q_id <> ref_id")
-    return pairs.select("q_id", "ref_id", vectors.l2_sq(F.col("v"), F.col("q")).alias("d"), "is_fraud")
+    pairs = selected.join(within(refs, selected), "cluster_id").filter("q_id <> ref_id")
+    return pairs.select("q_id", "ref_id", vectors.l2_sq_fixed(F.col("v"), F.col("q"), dims).alias("d"), "is_fraud")
+
+
+class Search:
+    """The steps of a search; seed and selection are written tables, as each is used twice."""
+
+    def __init__(self, queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> None:
+        if mode not in MODES:
+            raise ValueError(f"mode is one of {MODES}")
+        clusters = Clusters(index)
+        self.probe = written(probes(queries, clusters), "probes")
+        self.seed = written(top_k(scan(self.probe, index.refs, index.dims), k).drop("rank"), "seeds")
+        worst = self.seed.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("worst"))
+        seeded = self.probe.withColumnRenamed("cluster_id", "probed").join(worst, "q_id", "left")
+        self.selected = written(selections(seeded, clusters, mode, cap), "selected")
 
 
 def search(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> DataFrame:
     """q_id, ref_id, d, is_fraud, rank for each of ``queries`` (q_id, v integers)."""
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {MODES}")
-    clusters = Clusters(index)
-    probe = probes(queries, clusters)
-    seed = top_k(scan(probe, index.refs), k)
-    worst = seed.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("worst"))
-    seeded = probe.withColumnRenamed("cluster_id", "probed").join(worst, "q_id", "left")
-    more = scan(selections(seeded, clusters, mode, cap), index.refs)
-    return top_k(seed.drop("rank").unionByName(more), k)
+    s = Search(queries, index, mode, k, cap)
+    return top_k(s.seed.unionByName(scan(s.selected, index.refs, index.dims)), k)
 
 
 def search_cost(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> DataFrame:
     """q_id and the number of clusters refined with: how well the boxes prune."""
-    clusters = Clusters(index)
-    probe = probes(queries, clusters)
-    seed = top_k(scan(probe, index.refs), k)
-    worst = seed.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("worst"))
-    seeded = probe.withColumnRenamed("cluster_id", "probed").join(worst, "q_id", "left")
-    chosen = selections(seeded, clusters, mode, cap).groupBy("q_id").agg(F.count(F.lit(1)).alias("refined"))
-    return probe.select("q_id").join(chosen, "q_id", "left").select("q_id", F.coalesce("refined", F.lit(0)).alias("refined"))
+    s = Search(queries, index, mode, k, cap)
+    chosen = s.selected.groupBy("q_id").agg(F.count(F.lit(1)).alias("refined"))
+    return s.probe.select("q_id").join(chosen, "q_id", "left").select("q_id", F.coalesce("refined", F.lit(0)).alias("refined"))

@@ -19,6 +19,8 @@ from vicinal.operators.sampling import stride_sample
 
 MOST_CLUSTERS = 65_536
 ITERATIONS = 40
+#: Rounds in which the candidates of k-means++ are drawn.
+ROUNDS = 5
 
 
 def _closest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,9 @@ def step(rows: DataFrame, centroids: np.ndarray, vector: str = "v") -> tuple[np.
             for start in range(0, batch.num_rows, 4096):
                 x = matrix(batch.column(0).slice(start, 4096))
                 best, _ = _closest(x, c)
-                np.add.at(sums, best, x)
+                order = np.argsort(best, kind="stable")
+                found, first = np.unique(best[order], return_index=True)
+                sums[found] += np.add.reduceat(x[order], first, axis=0)
                 counts += np.bincount(best, minlength=len(c))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["c", "n", "s"])
@@ -109,34 +113,59 @@ def kmeans_fast(rows: DataFrame, k: int, key: str = "ref_id", vector: str = "v",
     return centroids
 
 
-def kmeans_plus_plus(rows: DataFrame, k: int, key: str = "ref_id", vector: str = "v", seed: int = 42, iterations: int = ITERATIONS) -> np.ndarray:
-    """Centroids from k-means++ starts: each start is drawn with probability in proportion to the squared distance to those before.
+def _u(key: str, *salt: int):
+    """A number in (0, 1) from a hash of the row's key."""
+    return (F.shiftrightunsigned(F.xxhash64(F.col(key), *map(F.lit, salt)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
-    A draw takes the row with the smallest -ln(u) / weight, with u from a
-    seeded hash of the row's key, so it needs no running sum over all rows and
-    reruns agree. An empty cluster starts again at a row drawn in the same way.
-    """
-    def draw(number: int, weight) -> np.ndarray | None:
-        u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed), F.lit(number)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-        row = weighed.filter(weight > 0).agg(F.min_by(vector, F.struct(-F.log(u) / weight, F.col(key))).alias("v")).first()["v"]
-        return None if row is None else np.array(row, np.float64)
 
-    weighed = rows
-    first = draw(0, F.lit(1.0))
+def _drawn(rows: DataFrame, key: str, vector: str, *salt: int) -> np.ndarray | None:
+    """The vector of the row with the smallest hash."""
+    row = rows.agg(F.min_by(vector, F.struct(_u(key, *salt), F.col(key))).alias("v")).first()["v"]
+    return None if row is None else np.array(row, np.float64)
+
+
+def _weighted_starts(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ among a few weighted candidates."""
+    rng, left = np.random.default_rng(seed), np.full(len(candidates), np.inf)
+    chosen = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
+    while len(chosen) < k:
+        left = np.minimum(left, ((candidates - candidates[chosen[-1]]) ** 2).sum(axis=1))
+        mass = left * weights
+        if not mass.sum():
+            break  # all candidates are chosen
+        chosen.append(int(rng.choice(len(candidates), p=mass / mass.sum())))
+    return candidates[chosen]
+
+
+def kmeans_plus_plus(rows: DataFrame, k: int, key: str = "ref_id", vector: str = "v", seed: int = 42, iterations: int = ITERATIONS) -> np.ndarray:
+    """Centroids from k-means++ starts, drawn in rounds (k-means||, Bahmani et al. 2012).
+
+    Each of ``ROUNDS`` rounds takes every row by itself with a probability in
+    proportion to its squared distance to the candidates so far, about 2k rows
+    a round; the candidates, weighted by the rows that are closest to them, are
+    then few enough for k-means++ on the driver. So starts take ROUNDS passes
+    over the rows, not k. Draws use a seeded hash of the row's key, so reruns
+    agree. An empty cluster starts again at a row drawn in the same way.
+    """
+    first = _drawn(rows, key, vector, seed, 0)
     if first is None:
         return np.zeros((0, 0))
-    centroids = first[None, :]
-    while len(centroids) < k:
-        weighed = assign(rows, centroids, vector)
-        more = draw(len(centroids), F.col("dist_sq"))
-        if more is None:
-            break  # every row is a centroid
-        centroids = np.vstack([centroids, more])
+    candidates = first[None, :]
+    for turn in range(1, ROUNDS + 1):
+        weighed = assign(rows.select(key, vector), candidates, vector)
+        total = weighed.agg(F.sum("dist_sq")).first()[0]
+        if not total:
+            break  # every row is a candidate
+        picked = weighed.filter(_u(key, seed, turn) * F.lit(total) < F.lit(2.0 * k) * F.col("dist_sq"))
+        more = _vectors(picked, key, vector)
+        if len(more):
+            candidates = np.unique(np.vstack([candidates, more]), axis=0)
+    _, weights = step(rows, candidates, vector)
+    centroids = _weighted_starts(candidates, weights.astype(float), k, seed)
     for turn in range(iterations):
         after, counts = step(rows, centroids, vector)
         for empty in np.flatnonzero(counts == 0):
-            weighed = rows
-            after[empty] = draw(k + turn * k + int(empty), F.lit(1.0))
+            after[empty] = _drawn(rows, key, vector, seed, turn + 1, int(empty) + 1)
         if np.array_equal(after, centroids):
             break
         centroids = after
@@ -149,22 +178,24 @@ def min_distances(rows: DataFrame, chosen: DataFrame, vector: str = "v") -> Data
     return found.select("ref_id", F.col("dist_sq").alias("min_d2"))
 
 
-def inverse_cdf_pick(weighted: DataFrame, share: float, ranges: int = 256) -> DataFrame:
+def inverse_cdf_pick(weighted: DataFrame, share: float, ranges: int = 256, few: int = 100_000) -> DataFrame:
     """The first row by ref_id at which the running sum of min_d2 reaches ``share`` of the total, with that sum.
 
-    The running sum is taken over ranges of ids first; only the range where it
-    crosses the mark is sorted.
+    Sums over ranges of ids tell in which range the mark is crossed; that range
+    is cut again until it has few ids, and only then its rows are sorted.
     """
     seen = weighted.agg(F.sum("min_d2").alias("t"), F.min("ref_id").alias("lo"), F.max("ref_id").alias("hi")).first()
     if seen["t"] is None:
         return weighted.withColumn("running", F.lit(0).cast("bigint")).limit(0)
-    mark, width = share * seen["t"], (seen["hi"] - seen["lo"]) // ranges + 1
-    at = F.floor((F.col("ref_id") - seen["lo"]) / width)
-    sums = weighted.groupBy(at.alias("r")).agg(F.sum("min_d2").alias("s")).orderBy("r").collect()
-    before = 0
-    for row in sums:
-        if before + row["s"] >= mark:
-            break
-        before += row["s"]
-    own = weighted.filter(at == row["r"]).withColumn("running", F.sum("min_d2").over(Window.orderBy("ref_id").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before))
+    mark, lo, hi, before = share * seen["t"], seen["lo"], seen["hi"], 0
+    while hi - lo >= few:
+        width = (hi - lo) // ranges + 1
+        at = F.floor((F.col("ref_id") - lo) / width)
+        sums = weighted.filter(F.col("ref_id").between(lo, hi)).groupBy(at.alias("r")).agg(F.sum("min_d2").alias("s")).orderBy("r").collect()
+        for row in sums:
+            if before + row["s"] >= mark or row is sums[-1]:
+                break
+            before += row["s"]
+        lo, hi = lo + row["r"] * width, min(hi, lo + (row["r"] + 1) * width - 1)
+    own = weighted.filter(F.col("ref_id").between(lo, hi)).withColumn("running", F.sum("min_d2").over(Window.orderBy("ref_id").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before))
     return own.filter(F.col("running") >= F.lit(mark)).orderBy("ref_id").limit(1)

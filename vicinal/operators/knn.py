@@ -34,13 +34,27 @@ def top_k(candidates: DataFrame, k: int = K, distance: str = "d") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _best(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For a row of distances, the places of the k smallest by (distance, id)."""
-    if len(distances) > k:
-        near = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1])
-    else:
-        near = np.arange(len(distances))
-    return near[np.lexsort((ids[near], distances[near]))[:k]]
+def _nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray, exact: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query place, row place and squared distance of all rows that may be among the k nearest of a query.
+
+    own marks pairs that are no neighbours. Products of matrices sort out, with
+    room for their rounding; distances of what is left are sums of squares.
+    """
+    norms, others = (q * q).sum(axis=1)[:, None], (r * r).sum(axis=1)[None, :]
+    d = norms + others - 2 * q @ r.T
+    d[own] = np.inf
+    bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(q), 1), np.inf)
+    room = 0 if exact else 1e-9 * (norms + others.max(initial=0))
+    i, j = np.nonzero((d <= bound + room) & ~own)
+    gap = q[i] - r[j]
+    return i, j, (gap * gap).sum(axis=1)
+
+
+def _kept(i: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the first k of each query by (distance, id)."""
+    order = np.lexsort((ids, d, i))
+    first = np.searchsorted(i[order], i[order])
+    return order[np.arange(len(order)) - first < k]
 
 
 def brute_force(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True) -> DataFrame:
@@ -61,26 +75,19 @@ def brute_force(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: boo
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))] * len(q_ids)
-            q_norm = (q * q).sum(axis=1)
+            held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)]
             for batch in batches:
-                for at in range(0, batch.num_rows if len(q_ids) else 0, 4096):
-                    piece = batch.slice(at, 4096)
+                for at in range(0, batch.num_rows if len(q_ids) else 0, 2048):
+                    piece = batch.slice(at, 2048)
                     ids, r, fraud = piece.column(0).to_numpy(), matrix(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False)
-                    d = np.maximum(q_norm[:, None] + (r * r).sum(axis=1)[None, :] - 2 * q @ r.T, 0)
-                    for i, row in enumerate(d):
-                        other = np.flatnonzero(ids != q_ids[i])
-                        near = other[_best(row[other], ids[other], k)]
-                        dd, ii, ff = (np.concatenate(x) for x in zip(best[i], (row[near], ids[near], fraud[near]), strict=True))
-                        keep = _best(dd, ii, k)
-                        best[i] = dd[keep], ii[keep], ff[keep]
-            sizes = [len(b[0]) for b in best]
-            if sum(sizes):
-                d = np.concatenate([b[0] for b in best])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.rint(d).astype(np.int64) if exact_ints else d), pa.array(np.concatenate([b[2] for b in best]).astype(bool))],
-                    names=["q_id", "ref_id", "d", "is_fraud"],
-                )
+                    for first in range(0, len(q_ids), 512):
+                        i, j, d = _nearest(q[first : first + 512], r, q_ids[first : first + 512, None] == ids[None, :], exact_ints, k)
+                        held = [np.concatenate(x) for x in zip(held, (i + first, d, ids[j], fraud[j]), strict=True)]
+                    keep = _kept(held[0], held[1], held[2], k)
+                    held = [x[keep] for x in held]
+            if len(held[0]):
+                d = np.rint(held[1]).astype(np.int64) if exact_ints else held[1]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[held[0]]), pa.array(held[2]), pa.array(d), pa.array(held[3].astype(bool))], names=["q_id", "ref_id", "d", "is_fraud"])
 
         parts.append(refs.select("ref_id", "v", "is_fraud").mapInArrow(nearest, NEIGHBOURS.format(kind=kind)))
     out = parts[0]

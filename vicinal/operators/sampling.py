@@ -5,39 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of keys that are numbered apart; their counts are one small table.
-RANGES = 256
+from vicinal.session import written
 
 
-def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """``df`` with each row's place (from 0) in the order of a numeric key, without a global sort.
+def positions(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """The keys of ``df`` with each one's place (from 0) in their order.
 
-    Keys are cut at quantiles; rows are numbered inside a range, after the rows
-    of all ranges before. The table of ranges has at most ``RANGES`` rows.
+    Spark cuts the keys into ranges, as many as there are partitions; the keys
+    of a range are numbered after those of all ranges before. Only keys move.
+    The table of ranges has a row a partition.
     """
-    cuts = df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))] or [F.lit(0)]), lambda c: c <= F.col(key)))
-    df = df.withColumn("_range", at)
-    counts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(df.select(key).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return df.withColumn("_inside", inside).join(F.broadcast(counts), "_range").withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("bigint")).drop("_range", "_inside", "_before")
+    return ranged.withColumn("_inside", inside).join(F.broadcast(counts), "_range").select(key, (F.col("_before") + F.col("_inside") - 1).cast("bigint").alias(name))
+
+
+def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """``df``, whose keys are distinct, with each row's place (from 0) in the order of the key, without a global sort."""
+    return df.join(positions(df, key, name), key)
 
 
 def stride_sample(df: DataFrame, key: str, size: int) -> DataFrame:
-    """The rows at the places (i * n) div size for i = 0 .. size - 1, numbered by ``sample``.
+    """The rows at the places (i * n) div size for i = 0 .. size - 1, numbered by ``sample``; keys are distinct.
 
     Place p is picked as number i if i is the least with i * n >= p * size and
-    (i * n) div size = p, so each row decides by itself; no list of places is made.
+    (i * n) div size = p, so each key decides by itself; no list of places is made.
     """
     n = df.count()
     size = min(size, n)
     if not size:
-        return df.withColumn("sample", F.lit(0).cast("bigint")).limit(0)
+        return df.withColumn("position", F.lit(0).cast("bigint")).withColumn("sample", F.lit(0).cast("bigint")).limit(0)
     number = F.floor((F.col("position") * size + (n - 1)) / F.lit(n)).cast("bigint")
     picked = (number < size) & (F.floor(number * n / F.lit(size)).cast("bigint") == F.col("position"))
-    return with_position(df, key).filter(picked).withColumn("sample", number)
+    return df.join(written(positions(df, key).filter(picked).withColumn("sample", number), "places"), key)
 
 
 def hash_sample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from vicinal.functions import vectors
 from vicinal.operators import evaluate, index, ivf, kmeans, knn, sampling
 from vicinal.session import new_path, table
+from vicinal.sources import references
 from vicinal.streaming import score
 
 CLUSTERS = 16
+#: Clusters that the capped searches refine with. These vectors have no clusters to speak of, so a recall of 0.9 takes most of them.
+CAPPED = 13
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +41,14 @@ def assigned(rows: DataFrame) -> DataFrame:
 
 
 def start_index(rows: DataFrame) -> index.Index:
-    """An index over the stride clusters, in memory."""
-    own = starts(rows)
-    centroids = np.array([r["centroid"] for r in own.orderBy("cluster_id").collect()], float)
-    q = kmeans.assign_sql(rows, own).select("ref_id", F.col("v").alias("q"), "is_fraud", "cluster_id")
-    dims = centroids.shape[1]
-    return index.Index(q, index.cluster_meta(q, len(centroids), dims), centroids / vectors.SCALE, dims)
+    """An index over the stride clusters, written and loaded."""
+    centroids = np.array([r["centroid"] for r in starts(rows).orderBy("cluster_id").collect()], float)
+    if not len(centroids):
+        return index.Index(rows.select("ref_id", F.col("v").alias("q"), "is_fraud", F.lit(0).alias("cluster_id")), rows.sparkSession.createDataFrame([], "cluster_id int, row_count bigint, lo array<int>, hi array<int>"), centroids.reshape(0, 1), 1)
+    path = new_path(rows.sparkSession, "index")
+    q = kmeans.assign(rows, centroids).select("ref_id", F.col("v").cast("array<smallint>").alias("q"), "is_fraud", "cluster_id")
+    index.save(q, centroids / vectors.SCALE, path, len(centroids))
+    return index.load(rows.sparkSession, path)
 
 
 def quantize_vectors(spark, sf_dir):
@@ -62,7 +67,7 @@ def knn_brute_i16(spark, sf_dir):
 
 def knn_brute_f32(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("v"), (F.col("label") >= 5).alias("is_fraud"))
-    return knn.brute_force(queries_of(e), e, exact_ints=False).select("q_id", "rank", F.round("d", 6).alias("d"))
+    return knn.brute_force(queries_of(e), e, exact_ints=False).select("q_id", "rank", "ref_id", F.round("d", 6).alias("d"))
 
 
 def knn_vote_score(spark, sf_dir):
@@ -127,7 +132,7 @@ def ivf_exact_topk(spark, sf_dir):
 
 def ivf_capped_topk(spark, sf_dir):
     rows = refs(spark, sf_dir)
-    return ivf.search(queries_of(rows), start_index(rows), "capped", cap=2).select("q_id", "rank", "ref_id", "d")
+    return ivf.search(queries_of(rows), start_index(rows), "capped", cap=CAPPED).select("q_id", "rank", "ref_id", "d")
 
 
 def ivf_pruning(spark, sf_dir):
@@ -138,7 +143,7 @@ def ivf_pruning(spark, sf_dir):
 def index_write_load(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("v"), (F.col("label") >= 5).alias("is_fraud"))
     path = new_path(spark, "index")
-    index.write(e, path, CLUSTERS, iterations=5)
+    index.write(e, path, CLUSTERS)
     back = index.dequantized(index.load(spark, path, CLUSTERS))
     return back.select("ref_id", "is_fraud", F.posexplode("v").alias("dim", "x")).select("ref_id", "is_fraud", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
@@ -149,13 +154,13 @@ def kmeans_lloyd_step(spark, sf_dir):
 
 def kmeans_fast(spark, sf_dir):
     rows = refs(spark, sf_dir)
-    centroids = kmeans.kmeans_fast(rows, CLUSTERS, iterations=10)
+    centroids = kmeans.kmeans_fast(rows, CLUSTERS)
     return kmeans.assign(rows, centroids).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist_sq"), 0).alias("inertia"))
 
 
 def kmeans_plus_plus(spark, sf_dir):
     rows = refs(spark, sf_dir)
-    centroids = kmeans.kmeans_plus_plus(rows, 8, iterations=5)
+    centroids = kmeans.kmeans_plus_plus(rows, 8)
     return kmeans.assign(rows, centroids).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist_sq"), 0).alias("inertia"))
 
 
@@ -189,7 +194,7 @@ def confusion_counts(spark, sf_dir):
 def recall_at_5(spark, sf_dir):
     rows = refs(spark, sf_dir)
     own = queries_of(rows)
-    return evaluate.recall(ivf.search(own, start_index(rows), "capped", cap=2), knn.brute_force(own, rows)).withColumn("recall", F.round("recall", 6))
+    return evaluate.recall(ivf.search(own, start_index(rows), "capped", cap=CAPPED), knn.brute_force(own, rows)).withColumn("recall", F.round("recall", 6))
 
 
 def stride_sample(spark, sf_dir):
@@ -200,6 +205,18 @@ def hash_sample(spark, sf_dir):
     return sampling.hash_sample(table(spark, sf_dir, "orders"), "o_orderkey", 100).select("o_orderkey")
 
 
+def reference_files(spark, sf_dir):
+    """What is read back from the embeddings as reference records, plain and gzipped."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v"), (F.col("label") >= 5).alias("is_fraud"))
+    out = []
+    for kind in (None, "gzip"):
+        path = new_path(spark, "references")
+        references.write_references(e, path, kind)
+        out.append(references.read_references(spark, path, 64).withColumn("kind", F.lit(kind or "plain")))
+    rows = out[0].union(out[1]).select("kind", "is_fraud", F.posexplode("v").alias("dim", "x"))
+    return rows.groupBy("kind", "is_fraud", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 4).alias("total"))
+
+
 def stream_score(spark, sf_dir):
     """The votes of ``knn_vote_score``, by a stream of the embeddings."""
     rows = refs(spark, sf_dir)
@@ -217,7 +234,7 @@ QUERIES = {
         quantize_vectors, dequantize_vectors, knn_brute_i16, knn_brute_f32, knn_vote_score, knn_response_json, nearest_centroid_assign, half_norm_scores,
         cluster_counts_starts, cluster_block_starts, cluster_bbox, bbox_lower_bound, probe_nearest_cluster, repair_top8_clusters, ivf_exact_topk,
         ivf_capped_topk, ivf_pruning, index_write_load, kmeans_lloyd_step, kmeans_fast, kmeans_plus_plus, kmeanspp_min_d2, inverse_cdf_pick,
-        label_bitset_pack, label_bitset_get, confusion_counts, recall_at_5, stride_sample, hash_sample, stream_score,
+        label_bitset_pack, label_bitset_get, confusion_counts, recall_at_5, stride_sample, hash_sample, reference_files, stream_score,
     )
 }
 
@@ -261,7 +278,7 @@ _B = f"""{_C}, x AS (
     FROM b JOIN probe USING (q_id) WHERE b.cluster_id <> probe.cluster_id
 )"""
 _CAPPED = f"""{_B}, cand AS (
-    SELECT q_id, cluster_id FROM probe UNION ALL SELECT q_id, cluster_id FROM repair WHERE rank <= 2
+    SELECT q_id, cluster_id FROM probe UNION ALL SELECT q_id, cluster_id FROM repair WHERE rank <= {CAPPED}
 ), cp AS (
     SELECT q.q_id, a.ref_id, {_D.format(a="q.v", b="a.v")} AS d FROM cand JOIN q USING (q_id) JOIN a USING (cluster_id) WHERE a.ref_id <> q.q_id
 ), ct AS (
@@ -278,7 +295,7 @@ ORACLE_SQL = {
     "knn_brute_f32": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (
         SELECT a.vec_id AS q_id, b.vec_id AS ref_id, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS d
         FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
-        SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY d, ref_id) AS INTEGER) AS rank, round(d, 6) AS d FROM p QUALIFY rank <= 5""",
+        SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY d, ref_id) AS INTEGER) AS rank, ref_id, round(d, 6) AS d FROM p QUALIFY rank <= 5""",
     "knn_vote_score": f"WITH {_VOTE} SELECT * FROM s",
     "knn_response_json": f"""WITH {_VOTE} SELECT q_id, '{{"approved":' || approved || ',"fraud_score":' || fraud_score || '}}' AS response FROM s""",
     "nearest_centroid_assign": f"WITH {_C} SELECT ref_id, cluster_id, d FROM a",
@@ -314,5 +331,7 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY q.q_id ORDER BY d, e.ref_id) <= 5)
         SELECT count(ct.ref_id) AS hits, count(*) AS wanted, round(count(ct.ref_id) / count(*), 6) AS recall FROM p LEFT JOIN ct ON ct.q_id = p.q_id AND ct.ref_id = p.ref_id""",
     "stride_sample": "WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS position, count(*) OVER () AS n FROM embeddings) SELECT r.i AS sample, vec_id FROM range(100) r(i) JOIN p ON p.position = (r.i * p.n) // 100",
+    "reference_files": """WITH k(kind) AS (VALUES ('plain'), ('gzip'))
+        SELECT kind, label >= 5 AS is_fraud, CAST(d - 1 AS INTEGER) AS dim, count(*) AS n, round(sum(CAST(embedding[d] AS DOUBLE)), 4) AS total FROM embeddings, range(1, 65) r(d), k GROUP BY ALL""",
     "stream_score": f"WITH {_VOTE} SELECT * FROM s",
 }

@@ -33,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as on
-    one machine, a folder of the machine's own is set once.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    folder of the machine's own is set once, but only if all of Spark runs on
+    that machine.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="vicinal-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -48,6 +51,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/vicinal/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table of the shared folder: it cuts lineage and outlives lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Remove every table and bundle that this library has put below the shared folder.
+
+    To be called when the results that were asked for are stored elsewhere:
+    results that have not been written read these tables.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/vicinal")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, once a Spark context.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,17 @@ def summary_lines(summaries: DataFrame) -> DataFrame:
     return summaries.select(F.format_string("hist_%s_ns count=%d mean=%d p50=%d p90=%d p99=%d p999=%d max=%d", "name", "n", "mean", "p50", "p90", "p99", "p999", "max").alias("value"))
 
 
+def write_timeline(snapshots: DataFrame, path: str) -> None:
+    """Add snapshots (label, sample, dt_s, counters and buckets as maps of text) to a timeline of JSON lines."""
+    snapshots.write.mode("append").json(path)
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshots of a timeline."""
+    kinds = "label string, sample bigint, dt_s double, counters map<string, bigint>, buckets map<string, map<string, bigint>>"
+    return spark.read.schema(kinds).json(path)
+
+
 def bucket_lines(histogram: DataFrame) -> DataFrame:
     """value: a line for each name with its buckets (name, bucket, n), in order."""
     each = F.array_sort(F.collect_list(F.struct("bucket", "n")))

@@ -22,13 +22,24 @@ def read_payload_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """value, expected_approved, expected_fraud_score: the entries of a labelled test corpus."""
-    schema = "references_checksum_sha256 string, entries array<struct<request: string, expected_approved: boolean, expected_fraud_score: double>>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("c"))
-    return whole.select(F.explode("c.entries").alias("e")).select(F.col("e.request").alias("value"), "e.expected_approved", "e.expected_fraud_score")
+ENTRY = "request string, expected_approved boolean, expected_fraud_score double"
+
+
+def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """value, expected_approved, expected_fraud_score: the entries of a labelled test corpus.
+
+    The corpus is one object a file with its ``entries``, or with ``lines`` an
+    entry a line, which many tasks can read.
+    """
+    if lines:
+        found = spark.read.text(path).select(F.explode(F.array(F.from_json("value", ENTRY))).alias("e"))
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"references_checksum_sha256 string, entries array<struct<{ENTRY}>>").alias("c"))
+        found = whole.select(F.explode("c.entries").alias("e"))
+    return found.select(F.col("e.request").alias("value"), "e.expected_approved", "e.expected_fraud_score")
 
 
 def write_corpus(entries: DataFrame, path: str) -> None:
-    """Entries as JSON lines."""
-    entries.write.mode("overwrite").json(path)
+    """Entries (value, expected_approved, expected_fraud_score) as JSON lines; ``value`` may be called ``request`` already."""
+    names = {"value": "request"} if "request" not in entries.columns else {}
+    entries.withColumnsRenamed(names).write.mode("overwrite").json(path)

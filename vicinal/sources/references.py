@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "vector array<float>, label string, _corrupt_record string"
+SCHEMA = "vector array<float>, label string"
 
 
-def read_references(spark: SparkSession, path: str, dims: int | None = 14) -> DataFrame:
+def read_references(spark: SparkSession, path: str, dims: int | None = 14, keep_bad: bool = False) -> DataFrame:
     """ref_id, v, is_fraud of each well-formed record; ref_id rises in file order.
 
     A label that begins with f is fraud. Records without a vector, with one of
-    another length (unless ``dims`` is None) or with nulls in it are left out.
+    another length (unless ``dims`` is None) or with nulls in it are left out,
+    or with ``keep_bad`` marked by a false ``good``. Files may be arrays or
+    lines. Records are flat, so a closing brace ends one, and Spark splits a
+    file at them: a large array is read by many tasks (a gzipped one by one).
     """
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+    texts = spark.read.option("lineSep", "}").text(path).select(F.regexp_replace("value", r"^[\s,\[\]]+", "").alias("t")).filter("t <> ''")
+    raw = texts.select(F.explode(F.array(F.from_json(F.concat("t", F.lit("}")), SCHEMA))).alias("r")).select("r.*")
     good = F.col("vector").isNotNull() & F.col("label").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
     if dims is not None:
         good = good & (F.size("vector") == dims)
-    return raw.withColumn("ref_id", F.monotonically_increasing_id()).filter(good).select("ref_id", F.col("vector").alias("v"), F.startswith("label", F.lit("f")).alias("is_fraud"))
+    rows = raw.withColumn("ref_id", F.monotonically_increasing_id())
+    out = rows if keep_bad else rows.filter(good)
+    return out.select("ref_id", F.col("vector").alias("v"), F.startswith("label", F.lit("f")).alias("is_fraud"), *([F.coalesce(good, F.lit(False)).alias("good")] if keep_bad else []))
+
+
+def write_references(refs: DataFrame, path: str, compression: str | None = None) -> None:
+    """Rows (v, is_fraud) as JSON lines of records, plain or compressed (``gzip``)."""
+    label = F.when(F.col("is_fraud"), "fraud").otherwise("legit")
+    refs.select(F.col("v").alias("vector"), label.alias("label")).write.mode("overwrite").json(path, compression=compression)
 
 
 def count_records(texts: DataFrame, column: str = "value") -> DataFrame:
