@@ -51,7 +51,7 @@ def test_entropy_spans_and_allow_list():
     scanner = secrets.Scanner()
     found = lambda t: scanner.entropy(t, scanner.base(t))
     assert [(s, e) for s, _, e in found(f"see {GOOD} here")] == [(4, 4 + len(GOOD))]
-    for calm in ("123e4567-e89b-12d3-a456-426614174000", "Donaudampfschifffahrtsgesellschaft", "20240101-000000-123456789", "usr/lib/python/site/packages/x", "a" * 50, f"token={GOOD}"):
+    for calm in ("123e4567-e89b-12d3-a456-426614174000", "Donaudampfschifffahrtsgesellschaft", "20240101-000000-123456789", "usr/lib/python/site/packages/x", "getElementsByTagNameNS", "Rechtsschutzversicherungen-2024", "https/www/example/news/article", "a" * 50, f"token={GOOD}"):
         assert found(calm) == [], calm
     assert secrets.Scanner(allowed=(".*",)).entropy(GOOD, []) == []
 
@@ -68,3 +68,24 @@ def test_rows(spark, odd_docs, no_docs):
     assert one["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert one["spans"].split(",")[0] == base.split(",")[0] and "entropy:16:" in one["spans"]
     assert secrets.scan_secrets(no_docs).count() == 0
+
+
+def test_keys_are_no_names_or_paths():
+    """Keys with slashes, and random letters, do not read like words; words and paths do."""
+    scanner, rng = secrets.Scanner(), random.Random(3)
+    assert scanner.entropy("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE", []) and scanner.entropy("Ab3/xK9pQ2v7Lm/Zt5Rw8Yc1Nd/4Hs6Jf0Gk", [])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mixed, lower = (["".join(rng.choices(a, k=28)) for _ in range(500)] for a in (letters + letters.upper(), letters))
+    assert sum(bool(scanner.entropy(x, [])) for x in mixed) >= 490
+    assert sum(bool(scanner.entropy(x, [])) for x in lower) >= 425
+
+
+def test_many_secrets_in_one_text():
+    """Entropy spans are those that touch no base span, as comparing all pairs gives."""
+    rng = random.Random(4)
+    pieces = [GOOD, "token=abcdefgh", "AKIA" + "ABCD1234" * 2, "deadbeef" * 4, "plain words", f"token={GOOD}", f"x{GOOD}/{GOOD[::-1]}"]
+    text = " ".join(rng.choice(pieces) for _ in range(3000))
+    scanner = secrets.Scanner()
+    base = scanner.base(text)
+    free = [x for x in scanner.entropy(text, []) if not any(s < x[2] and x[0] < e for s, _, e in base)]
+    assert scanner.entropy(text, base) == free and len(free) > 300

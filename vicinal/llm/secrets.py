@@ -11,9 +11,11 @@ by adding the character that enters and taking away the one that leaves, and
 with them the sum of c*log2(c), from which the Shannon entropy of the window
 follows at once. Windows at or above the class's threshold are merged into
 spans. An allow-list suppresses runs that look random and are not secret:
-identifiers in UUID form, plain words and numbers, paths and host names,
-markup entities, and any caller-given pattern. Runs inside a base span are
-left to that span.
+identifiers in UUID form, numbers, dates and rules, and any caller-given
+pattern; and names and paths all of whose parts read like words. A part does if
+its letters come in few pieces of one case each and, where they are many, pass
+between vowels and consonants about as often as words do and random letters
+do not, and are seldom rare ones. Runs inside a base span are left to that span.
 
 Defined cases: a null text counts as empty; offsets are code points with an
 exclusive end; texts are scanned whole; rows are independent of one another,
@@ -37,9 +39,8 @@ ASSIGN = re.compile(
     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: An assignment needs one of these in the text's lower case.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
@@ -51,10 +52,16 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
-    r"[A-Za-z]+(?:[-_/+=][A-Za-z]*)*",  # words, joined or not
     r"[-+_=/0-9]+",  # numbers, dates, rules
-    r"/?(?:[A-Za-z0-9_-]{1,16}/)+[A-Za-z0-9_=-]{0,16}",  # paths
 )
+#: A part of a name: a word, capitals or a number.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_JOINTS = re.compile(r"[-_/+=]+")
+#: Letters to a piece at least, letters from which a name is long, and of a long one the least share of vowels and of changes between vowel and consonant.
+PIECE_LETTERS, LONG_NAME, LEAST_VOWELS, LEAST_CHANGES = 3.5, 12, 0.25, 0.46
+#: The most that letters which words seldom have may make up of a long name.
+MOST_RARE = 0.2
+_VOWELS, _RARE = frozenset("aeiouy"), frozenset("jkqvwxz")
 
 _C_LOG_C = [0.0, *(c * math.log2(c) for c in range(1, 4097))]
 
@@ -66,6 +73,23 @@ def char_class(run: str) -> str:
     return "alnum" if run.isalnum() else "base64"
 
 
+def reads_like_words(run: str) -> bool:
+    """Whether all parts of a run are words or numbers, of few pieces, with the vowels of a language."""
+    parts = [p for p in _JOINTS.split(run) if p]
+    for part in parts:
+        pieces = _PIECE.findall(part)
+        letters = sum(map(str.isalpha, part))
+        words = sum(map(str.isalpha, pieces))
+        if sum(map(len, pieces)) < len(part) or len(pieces) - words > 1 or words > max(1, letters // PIECE_LETTERS):
+            return False
+    words = [p.lower() for part in parts for p in _PIECE.findall(part) if p.isalpha()]
+    vowels = sum(c in _VOWELS for w in words for c in w)
+    letters, pairs = sum(map(len, words)), sum(len(w) - 1 for w in words)
+    changes = sum((a in _VOWELS) != (b in _VOWELS) for w in words for a, b in zip(w, w[1:], strict=False))
+    rare = sum(c in _RARE for w in words for c in w)
+    return letters < LONG_NAME or vowels >= LEAST_VOWELS * letters and changes >= LEAST_CHANGES * pairs and rare <= MOST_RARE * letters
+
+
 def window_spans(run: str, window: int, threshold: float) -> list[tuple[int, int]]:
     """Merged windows of the run with at least ``threshold`` bits a character."""
     counts: dict[str, int] = {}
@@ -91,12 +115,13 @@ def window_spans(run: str, window: int, threshold: float) -> list[tuple[int, int
 class Scanner:
     """Finds the spans of a text; made once a task."""
 
-    def __init__(self, window: int = WINDOW, thresholds: dict[str, float] | None = None, allowed: tuple[str, ...] = ALLOWED) -> None:
+    def __init__(self, window: int = WINDOW, thresholds: dict[str, float] | None = None, allowed: tuple[str, ...] = ALLOWED, words: bool = True) -> None:
         if not 2 <= window < len(_C_LOG_C) - 1:
             raise ValueError("the window must have 2 to 4095 characters")
         self.window, self.thresholds = window, thresholds or THRESHOLDS
         self.candidate = CANDIDATE if window == WINDOW else re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % window)
         self.allowed = re.compile("|".join(f"(?:{p})" for p in allowed)) if allowed else None
+        self.words = words
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the base kinds, in order."""
@@ -111,13 +136,17 @@ class Scanner:
 
     def entropy(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of high entropy outside the base spans and the allow-list."""
-        out = []
+        out, k, reach = [], 0, -1
         for m in self.candidate.finditer(text):
             run, at = m[0], m.start()
-            if self.allowed and self.allowed.fullmatch(run):
+            if self.allowed and self.allowed.fullmatch(run) or self.words and reads_like_words(run):
                 continue
             for start, end in window_spans(run, self.window, self.thresholds[char_class(run)]):
-                if not any(s < at + end and at + start < e for s, _, e in base):
+                # Both sorts of spans come in order of their starts: one sweep over the base spans.
+                while k < len(base) and base[k][0] < at + end:
+                    reach = max(reach, base[k][2])
+                    k += 1
+                if reach <= at + start:
                     out.append((at + start, 3, at + end))
         return out
 
