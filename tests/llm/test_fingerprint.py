@@ -55,6 +55,8 @@ def check(rows, docs):
         row, own, changed = rows[doc], slow_sketch(text), slow_sketch(edited)
         assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert row["fingerprint"] == hexed(own) and row["edited_fingerprint"] == hexed(changed), doc
+        places = set(slow_anchors(edited))
+        assert (row["edited_anchors"], row["aligned_anchors"]) == (len(places), len(places & set(slow_anchors(text)))), doc
         assert row["near_edited"] == pytest.approx(slow_likeness(own, changed)) and row["near_next"] == pytest.approx(slow_likeness(own, slow_sketch(after)))
 
 
@@ -93,3 +95,19 @@ def test_few_and_repeated_rows(spark, odd_docs, no_docs):
     rows = fp.compare_edited(odd_docs).collect()
     assert len(rows) == odd_docs.count() and sum(r["doc_id"] == 9 for r in rows) == 2
     assert {r["fingerprint"] for r in rows if r["doc_id"] in (3, 4)} == {hexed(slow_sketch("the same words in the same order make a copy"))}
+
+
+@pytest.mark.parametrize("bucket", [2, 1000])
+def test_many_rows_without_an_id(spark, monkeypatch, bucket):
+    """They come last, in the order of their texts' hashes, over any number of ranges."""
+    monkeypatch.setattr(fp, "BUCKET_ROWS", bucket)
+    docs = [(None, f"{i} words of a text that has no number of its own {i * i}") for i in range(30)] + [(i, f"text {i} with a number and some words") for i in range(5)]
+    rows = fp.compare_edited(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), string_hash(d[1]) if d[0] is None else 0))
+    want = {}
+    for i, (_, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        want[hashlib.sha256(edited.encode()).hexdigest()] = hexed(slow_sketch(edited))
+    assert {r["edited_sha256"]: r["edited_fingerprint"] for r in rows} == want and len(rows) == 35

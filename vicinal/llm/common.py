@@ -7,20 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.session import new_path
+from vicinal.session import written
+
+__all__ = ["broadcast_if_small", "chunk_count", "hashed", "held_out", "partitions", "written"]
 
 #: Rows with this remainder are held out from learning labels.
 HELD_OUT_MOD = 5
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table of the shared folder: it cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

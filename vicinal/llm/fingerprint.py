@@ -15,16 +15,19 @@ sketch of the set of anchor hashes: the ``SIZE`` smallest, in hexadecimal. The
 likeness of two fingerprints is the bottom-m estimate of the Jaccard
 similarity of the anchor sets, which is exact for sets of up to SIZE anchors.
 
-For positional matching, ``anchors`` gives the places and hashes themselves.
+Anchors also match by position: ``anchors`` gives their places and hashes, and
+of an edited text those are counted that the text itself has at the same place.
 
 Neighbours in descending order of ids are found without a global sort: ids are
 cut into ranges of about ``BUCKET_ROWS`` rows, and the first row of every range
-is also sent to the range before it. Texts are shuffled once.
+is also sent to the range before it. Texts are shuffled once. Rows without an id
+are cut into ranges by a hash of their texts.
 
 Defined cases: a null text counts as empty; a text shorter than K has one
 anchor, the whole text, and an empty text none; two empty fingerprints have
-likeness 1, an empty and another 0; null ids come last; rows that repeat an id
-are ordered by their texts; the only document is its own next one; other
+likeness 1, an empty and another 0; null ids come last, in the order of their
+texts' hashes; rows that repeat an id are ordered by that hash and their texts,
+and lie in one range; the only document is its own next one; other
 columns are ignored.
 """
 
@@ -33,15 +36,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinal.llm.common import broadcast_if_small, written
 from vicinal.session import table
 
 K, S = 15, 8
 #: Inner substrings begin so often in a chunk and in a part of it.
 CHUNK, PART = 4096, 64
 SIZE = 64
-BUCKET_ROWS = 1000
-#: Ranges of ids at most; their first ids are broadcast (16 bytes each).
-MOST_BUCKETS = 1 << 17
+BUCKET_ROWS = 100
+#: Ranges of ids at most: beyond some 100 million rows, ranges grow.
+MOST_BUCKETS = 1 << 20
 #: Ids are cut at so many quantiles, and evenly between two quantiles.
 QUANTILES = 128
 #: The places of inner substrings in a k-mer; first and last must cover it.
@@ -103,11 +107,11 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def id_ranges(docs: DataFrame) -> tuple[Column, DataFrame]:
-    """The number of the range of a row's ``doc_id``, and for the first (largest) id of each range the range before it.
+    """The number of the range of a row (doc_id, hash), and for the first (largest) id of each range the range before it.
 
-    Ranges are numbered by descending id. One light pass reads ids only.
+    Ranges are numbered by descending id. One light pass reads ids, and the hashes of rows without one.
     """
-    seen = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    seen = docs.agg(F.count(F.lit(1)).alias("every"), F.count("doc_id").alias("n"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     per = max(1, min(-(-(seen["n"] or 0) // (QUANTILES * BUCKET_ROWS)), MOST_BUCKETS // QUANTILES))
     cuts = sorted({*(seen["q"] or [0]), *([seen["lo"]] if seen["n"] else [])})
     widths = [max(1, -(-(b - a) // per)) for a, b in zip(cuts, [*cuts[1:], (seen["hi"] or 0) + 1], strict=True)]
@@ -115,25 +119,31 @@ def id_ranges(docs: DataFrame) -> tuple[Column, DataFrame]:
     start = F.element_at(F.array(*[F.lit(c).cast("long") for c in cuts]), cut + 1)
     width = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), cut + 1)
     inner = F.least((F.col("doc_id") - start) / width, F.lit(per - 1)).cast("long")
-    # Descending: the largest ids are range 0. Null ids are a range after all others.
-    number = F.coalesce(F.lit(len(cuts) * per) - (cut * per + inner), F.lit(len(cuts) * per + 1).cast("long"))
-    firsts = docs.select(number.alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("first"))
+    # Descending: the largest ids are range 0. Null ids are ranges after all others, by the upper bits of their hash.
+    nulls = max(1, min(-(-(seen["every"] - (seen["n"] or 0)) // BUCKET_ROWS), MOST_BUCKETS))
+    after = F.lit(len(cuts) * per + 1) + F.floor((F.shiftright(F.col("hash"), 32) + F.lit(2**31)) * F.lit(nulls) / F.lit(2**32))
+    number = F.coalesce(F.lit(len(cuts) * per) - (cut * per + inner), after.cast("long"))
+    # Of null ids all have the same, so the hash tells which is first.
+    rank = F.struct(F.col("doc_id"), F.when(F.col("doc_id").isNull(), -F.col("hash").cast("decimal(20,0)")).alias("h"))
+    firsts = docs.select(number.alias("range"), "doc_id", "hash").groupBy("range").agg(F.max(rank).alias("first"))
     around = Window.orderBy("range")
     firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(around), F.max("range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return number, firsts.select(F.col("range").alias("_range"), F.col("first").alias("_first"), F.col("before").alias("_before"))
+    return number, firsts.select(F.col("range").alias("_range"), F.col("first.doc_id").alias("_first"), (-F.col("first.h")).cast("long").alias("_hash"), F.col("before").alias("_before"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its text with the later half replaced from the next document."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.when(F.col("doc_id").isNull(), F.xxhash64(text)).alias("hash"))
     number, firsts = id_ranges(docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), number.alias("range"))
+    rows = docs.select("doc_id", "text", "hash", number.alias("range"))
     # The first rows of a range are sent to the range before as well, where they come last.
-    same = (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    same = (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_first")) & F.col("hash").eqNullSafe(F.col("_hash"))
     places = F.array(F.struct("range", F.lit(0).alias("guest")), F.struct(F.col("_before").alias("range"), F.lit(1).alias("guest")))
-    rows = rows.join(F.broadcast(firsts), same, "left").select("doc_id", "text", F.explode(F.when(F.col("_before").isNull(), F.slice(places, 1, 1)).otherwise(places)).alias("p"))
-    rows = rows.select("doc_id", "text", "p.range", "p.guest").repartition("range")
+    rows = rows.join(broadcast_if_small(written(firsts, "ranges")), same, "left").select("doc_id", "text", "hash", F.explode(F.when(F.col("_before").isNull(), F.slice(places, 1, 1)).otherwise(places)).alias("p"))
+    rows = rows.select("doc_id", "text", F.col("hash").alias("order"), "p.range", "p.guest").repartition("range")
     rows = with_anchors(rows, "text", "at", "hash").withColumn("own", sketch(F.col("hash")))
-    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
+    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "order", "text")
     after = lambda c: F.lead(c).over(order).alias(f"next_{c}")
     rows = rows.select("*", *(after(c) for c in ("text", "at", "hash", "own"))).filter("guest = 0")
 
@@ -150,10 +160,19 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     # The seam of a text of fewer than K characters is the whole text, so is its one anchor.
     long = F.col("keep") + F.col("fill") >= K
     rows = rows.withColumn("changed", sketch(F.when(long, F.when(F.length("_seam") >= K, whole).otherwise(F.slice(whole, F.lit(1), F.size(whole) - F.size("_seam_hash")))).otherwise(F.col("_seam_hash"))))
+    # Anchors that the text and its edited text have at one place: all that lie in the kept part, and what the filled part happens to repeat.
+    placed = lambda at, hashes: F.zip_with(at, hashes, lambda p, h: F.xxhash64(p, h))
+    moved = F.transform(within("next_at", F.col("next_at"), F.col("fill")), lambda p: p + F.col("keep"))
+    over = F.transform(F.col("_seam_at"), lambda p: p + seam)
+    whole_at = F.concat(within("at", F.col("at"), F.col("keep")), moved, over)
+    rows = rows.withColumn("_places", F.when(long & (F.length("_seam") < K), F.slice(whole_at, F.lit(1), F.size(whole_at) - F.size("_seam_at"))).when(long, whole_at).otherwise(F.col("_seam_at")))
+    rows = rows.withColumn("_hashes", F.when(long & (F.length("_seam") < K), F.slice(whole, F.lit(1), F.size(whole) - F.size("_seam_hash"))).when(long, whole).otherwise(F.col("_seam_hash")))
+    aligned = F.size(F.array_intersect(placed(F.col("at"), F.col("hash")), placed(F.col("_places"), F.col("_hashes"))))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        F.size("_hashes").cast("long").alias("edited_anchors"), aligned.cast("long").alias("aligned_anchors"),
     )
 
 
