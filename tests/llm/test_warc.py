@@ -53,3 +53,17 @@ def test_one_record_is_read_from_its_frame(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     index = warc.write_bundles(frame(spark).limit(0), str(tmp_path))
     assert index.count() == 0 and warc.read_bundles(spark, index, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_have_identifiers_of_their_own(spark, tmp_path):
+    page = (7, "http://x.example/", "<p>" + "again " * 40)
+    pages = spark.createDataFrame([page] * 4 + [(8, None, page[2]), (9, "u", "short"), (9, "u", "short"), (None, None, None), (None, None, None)], "page_id bigint, url string, html string")
+    index = warc.write_bundles(pages, str(tmp_path))
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(set(ids)) == len(ids) == 9
+    back = warc.read_bundles(spark, index, str(tmp_path)).collect()
+    assert sorted(r["record_id"] for r in back) == sorted(ids)
+    for wanted in ids[:3]:
+        found = warc.fetch(spark, index, str(tmp_path), index.filter(index["record_id"] == wanted)).collect()
+        assert [r["record_id"] for r in found] == [wanted]
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in back)[2:7] == [(7, "response")] * 4 + [(8, "revisit")]

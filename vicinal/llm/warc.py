@@ -11,6 +11,9 @@ Payloads that repeat are stored once: of equal payloads of at least
 ``REVISIT_BYTES`` the one with the smallest page_id is a response record and
 the others are revisit records that refer to it.
 
+Record identifiers are the page's and its digest's, and where several rows have
+both, a number more each, so an identifier has one offset.
+
 Defined cases: a null payload counts as empty; rows that repeat the smallest
 page_id of a payload are all responses; a null page_id never becomes the
 response of others unless no row of that payload has an id; a null URL leaves
@@ -31,10 +34,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import partitions, written
+from vicinal.llm.common import broadcast_if_small, partitions, written
 from vicinal.session import new_path, table
 
 REVISIT_BYTES = 100
@@ -48,21 +51,21 @@ RECORD_SCHEMA = "bundle string, frame int, record_at bigint, record_id string, p
 
 
 def open_fs(path: str):
-    """The pyarrow file system of a path or URI, and the path in it."""
+    """The pyarrow file system of a path or URI, and the path in it; the names that Hadoop has for object stores are taken as well."""
     from pyarrow import fs
 
     if re.match(r"\w+:", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)))
     return fs.LocalFileSystem(), path
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}:{digest[:32]}"
+def record_id(page_id: int | None, digest: str, number: int | None = None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{digest[:32]}" + ("" if number is None else f":{number}")
 
 
-def record_bytes(page_id, url, payload: bytes, length: int, digest: str, kind: str, refers_to) -> bytes:
+def record_bytes(page_id, url, payload: bytes, length: int, digest: str, kind: str, refers_to, number: int | None = None) -> bytes:
     """One WARC/1.1 record. The payload of a revisit is not stored; its length and digest are."""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {WARC_DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id, digest, number)}>", f"WARC-Date: {WARC_DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
@@ -147,14 +150,17 @@ def seek_table(file, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of each page.
 
     Only digests that repeat are joined, so the other side of the join has one
     row a repeated payload; the join may split a payload that many pages share.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = pages.select("page_id", "url", _payload().alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     again = (
         rows.filter(F.col("payload_bytes") >= REVISIT_BYTES)
@@ -172,6 +178,15 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record for each page into bundles below ``folder``; returns the index as a written table."""
+    rows = revisits(pages)
+    same = ["page_id", "payload_digest"]
+    again = pages.select("page_id", F.sha2(_payload(), 256).alias("payload_digest")).groupBy(*same).count().filter("count > 1")
+    again = written(again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")), "again")
+    number = F.lit(None).cast("bigint")
+    if not again.isEmpty():
+        rows = rows.join(broadcast_if_small(again), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+        number = F.when(F.col("_digest").isNotNull(), F.monotonically_increasing_id())
+    rows = rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", number.alias("number"))
     names = INDEX_SCHEMA.replace(" string", "").replace(" bigint", "").replace(" int", "").split(", ")
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     schema = pa.schema(list(zip(names, types, strict=True)))
@@ -184,11 +199,11 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
         bundle = None
         for batch in batches:
             found = []
-            for page, url, payload, length, digest, kind, to in zip(*[batch.column(i) for i in range(7)], strict=True):
+            for page, url, payload, length, digest, kind, to, number in zip(*[batch.column(i) for i in range(8)], strict=True):
                 bundle = bundle or BundleWriter(folder, frame_bytes)
-                page, digest, kind = page.as_py(), digest.as_py(), kind.as_py()
-                data = record_bytes(page, url.as_py(), payload.as_py(), length.as_py(), digest, kind, to.as_py())
-                found += bundle.add((record_id(page, digest), page, kind), data)
+                page, digest, kind, number = page.as_py(), digest.as_py(), kind.as_py(), number.as_py()
+                data = record_bytes(page, url.as_py(), payload.as_py(), length.as_py(), digest, kind, to.as_py(), number)
+                found += bundle.add((record_id(page, digest, number), page, kind), data)
                 if bundle.at >= bundle_bytes:
                     found += bundle.close()
                     bundle = None
@@ -197,7 +212,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
         if bundle and (found := bundle.close()):
             yield rows_out(found)
 
-    return written(revisits(pages).mapInArrow(write, INDEX_SCHEMA), "warc-index")
+    return written(rows.mapInArrow(write, INDEX_SCHEMA), "warc-index")
 
 
 def frames_of(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
