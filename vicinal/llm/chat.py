@@ -1,12 +1,14 @@
-"""Chat formatting after cumulative-snapshot collapse, in DataFrame expressions only.
+r"""Chat formatting after cumulative-snapshot collapse, in DataFrame expressions only.
 
 Chat logs often hold a conversation again and again, each time a few turns
 longer. A prefix hash rolls over the turns of every conversation: each turn
 adds two 64-bit hashes of its place, role and text, kept as sums of 32-bit
 halves that do not overflow, so the hash of a prefix is a running sum. A
-conversation whose whole hash is the hash of a proper prefix of another one is
-an earlier snapshot; an anti-join removes it. Of equal conversations the
-smallest conv_id stays. What remains is rendered.
+conversation whose whole hash is the hash of a proper prefix of another one, with
+the same role and text digest in the prefix's last turn, is an earlier snapshot;
+an anti-join removes it. Of equal conversations the smallest conv_id stays.
+What remains is rendered. Marks of turns inside roles and texts are escaped
+(``<|`` becomes ``<\|``, and ``<\`` becomes ``<\\``), so no text can pass for a turn.
 
 Running sums are taken in two levels, inside chunks of ``CHUNK`` turns and over
 the chunks' totals, so a conversation with a third of all turns is spread over
@@ -71,15 +73,20 @@ def turn_prefixes(conversations: DataFrame) -> DataFrame:
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies of the conversations that are no snapshot of a longer one."""
-    key = ["place", *_SUMS]
+    key = ["place", *_SUMS, "role", "digest"]
     whole = prefixes.filter("place = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     inner = prefixes.filter("place < n_turns").select(*key).distinct()
     return whole.join(inner, key, "left_anti").select("conv_id", F.col("place").alias("n_turns"), "copies")
 
 
+def escaped(text: Column) -> Column:
+    """The text with its own marks of turns made plain."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def render(turns: Column) -> Column:
     """The text of an ordered array of turns (structs with role and text)."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n"))), "")
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), escaped(t["role"]), F.lit("|>\n"), escaped(t["text"]), F.lit("<|end|>\n"))), "")
 
 
 def collapsed_chats(conversations: DataFrame) -> DataFrame:
@@ -116,7 +123,7 @@ ORACLE_SQL = {
         WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n_turns AND p.place = w.place AND p.prefix = w.prefix)
     )
     SELECT p.conv_id, p.n_turns, k.copies, CAST((p.place - 1) // 64 AS INTEGER) AS segment,
-        string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+        string_agg('<|' || replace(replace(role, '<\\', '<\\\\'), '<|', '<\\|') || '|>' || chr(10) || replace(replace(text, '<\\', '<\\\\'), '<|', '<\\|') || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
     FROM p JOIN kept k USING (conv_id) GROUP BY ALL
     """
 }
