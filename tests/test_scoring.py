@@ -51,7 +51,7 @@ def test_only_the_selected_clusters_files_are_read(spark, built):
     own, _, _ = built
     rows = spark.createDataFrame([(1, [0] * 14)], "q_id bigint, v array<int>")
     found = ivf.Search(rows, own)
-    plan = ivf.scan(found.probe, own.refs, 14)._jdf.queryExecution().executedPlan().toString()
+    plan = ivf.scan(found.probe, own.refs)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cluster_id" in plan or "PartitionFilters: [(cluster_id" in plan or "cluster_id#" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
 
 

@@ -38,17 +38,6 @@ def l2_sq(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: (x.cast("bigint") - y) * (x.cast("bigint") - y)), "bigint")
 
 
-def l2_sq_fixed(a: Column, b: Column, dims: int) -> Column:
-    """As ``l2_sq``, for vectors of a known, moderate length: one arithmetic expression, which Spark compiles."""
-    if dims > 256:
-        return l2_sq(a, b)
-    terms = [(F.get(a, F.lit(i)).cast("bigint") - F.get(b, F.lit(i))) for i in range(dims)]
-    out = F.lit(0).cast("bigint")
-    for t in terms:
-        out = out + t * t
-    return out
-
-
 def l2_sq_float(a: Column, b: Column) -> Column:
     """Squared Euclidean distance in double precision."""
     return _total(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), "double")

@@ -7,15 +7,22 @@ row lie beside them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions import scalars, vectors
 from vicinal.operators import kmeans
+from vicinal.operators.knn import matrix
+from vicinal.session import written
 
 MAGIC, VERSION = "VICINAL", 1
 ROWS_PER_BLOCK = 8
+#: A cluster's files: one for about so many rows of the whole index, and at most so many.
+FILE_ROWS, MOST_FILES = 2_000_000, 256
 EMPTY_LO, EMPTY_HI = vectors.LARGEST, vectors.SMALLEST
 
 
@@ -55,9 +62,28 @@ def cluster_counts(assigned: DataFrame, k: int) -> DataFrame:
 
 
 def cluster_boxes(assigned: DataFrame, dims: int, vector: str = "q") -> DataFrame:
-    """cluster_id, lo, hi: the bounding box of each cluster that has rows; one aggregation with map-side combining."""
-    ends = assigned.groupBy("cluster_id").agg(*(f(F.col(vector)[i]).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(dims)))
-    return ends.select("cluster_id", *(F.array(*(F.col(f"{name}{i}") for i in range(dims))).alias(name) for name in ("lo", "hi")))
+    """cluster_id, lo, hi: the bounding box of each cluster that has rows.
+
+    Each task has the boxes of its own rows first, so what is shuffled is a few
+    numbers a task and cluster.
+    """
+    kind = dict(assigned.dtypes)[vector]
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            x, cluster = matrix(batch.column(1), None), batch.column(0).to_numpy()
+            for c in np.unique(cluster):
+                part = x[cluster == c]
+                lo, hi = part.min(axis=0), part.max(axis=0)
+                own[c] = (np.minimum(lo, own[c][0]), np.maximum(hi, own[c][1])) if c in own else (lo, hi)
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), *(pa.array([list(v[i]) for v in own.values()], batch.schema.field(1).type) for i in (0, 1))], names=["cluster_id", "lo", "hi"])
+
+    parts = assigned.select(F.col("cluster_id").cast("int"), vector).mapInArrow(boxes, f"cluster_id int, lo {kind}, hi {kind}")
+    ends = parts.select("cluster_id", F.posexplode(F.arrays_zip("lo", "hi")).alias("dim", "b")).groupBy("cluster_id", "dim").agg(F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi"))
+    whole = ends.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "hi"))).alias("b"))
+    return whole.select("cluster_id", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
 
 
 def cluster_meta(assigned: DataFrame, k: int, dims: int, vector: str = "q") -> DataFrame:
@@ -83,8 +109,10 @@ def write(refs: DataFrame, path: str, k: int, **settings) -> None:
 def save(rows: DataFrame, centroids: np.ndarray, path: str, k: int) -> None:
     """Write the index of rows (ref_id, q, is_fraud, cluster_id), replacing what is there."""
     spark, dims = rows.sparkSession, centroids.shape[1]
-    # A large cluster is written by several tasks, each sorted by id inside.
-    rows.repartition("cluster_id", F.pmod(F.xxhash64("ref_id"), F.lit(8))).sortWithinPartitions("cluster_id", "ref_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
+    rows = written(rows, "assigned")
+    # Large clusters are written by several tasks, each sorted by id inside.
+    parts = max(1, min(MOST_FILES, -(-rows.count() // FILE_ROWS)))
+    rows.repartition("cluster_id", F.pmod(F.xxhash64("ref_id"), F.lit(parts))).sortWithinPartitions("cluster_id", "ref_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
     stored = spark.read.parquet(f"{path}/refs")
     cluster_meta(stored, k, dims).coalesce(1).write.mode("overwrite").parquet(f"{path}/cluster_meta")
     table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")

@@ -10,8 +10,10 @@ distance, so the result, ties by ref_id included, is that of brute force. Mode
 ``capped`` refines with at most ``CAP`` clusters, those of the smallest bound,
 whatever their number; it may miss neighbours.
 
-Clusters' statistics go to all tasks (K is bounded); references are joined on
-cluster_id, where a large cluster may be split.
+Clusters' statistics go to all tasks (K is bounded), and so do the queries, in
+blocks of bounded size, with the clusters that each looks into. References are
+not shuffled: the files of clusters that no query selected are not read, and
+every task compares its rows with the queries of their clusters.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import vectors
 from vicinal.operators.index import Index
-from vicinal.operators.knn import K, matrix, top_k
+from vicinal.operators.knn import K, matrix, nearest, top_k
 from vicinal.session import written
 
 CAP = 8
@@ -103,10 +105,9 @@ def within(refs: DataFrame, selected: DataFrame) -> DataFrame:
     return refs.filter(F.col("cluster_id").isin(ids))
 
 
-def scan(selected: DataFrame, refs: DataFrame, dims: int) -> DataFrame:
-    """q_id, ref_id, d, is_fraud of every reference in the selected clusters but the query itself."""
-    pairs = selected.join(within(refs, selected), "cluster_id").filter("q_id <> ref_id")
-    return pairs.select("q_id", "ref_id", vectors.l2_sq_fixed(F.col("v"), F.col("q"), dims).alias("d"), "is_fraud")
+def scan(selected: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
+    """q_id, ref_id, d, is_fraud: each task's k nearest of each query in its selected clusters, but for the query itself."""
+    return nearest(selected, within(refs, selected).withColumnRenamed("q", "v"), k)
 
 
 class Search:
@@ -117,7 +118,7 @@ class Search:
             raise ValueError(f"mode is one of {MODES}")
         clusters = Clusters(index)
         self.probe = written(probes(queries, clusters), "probes")
-        self.seed = written(top_k(scan(self.probe, index.refs, index.dims), k).drop("rank"), "seeds")
+        self.seed = written(top_k(scan(self.probe, index.refs, k), k).drop("rank"), "seeds")
         worst = self.seed.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("worst"))
         seeded = self.probe.withColumnRenamed("cluster_id", "probed").join(worst, "q_id", "left")
         self.selected = written(selections(seeded, clusters, mode, cap), "selected")
@@ -126,7 +127,7 @@ class Search:
 def search(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> DataFrame:
     """q_id, ref_id, d, is_fraud, rank for each of ``queries`` (q_id, v integers)."""
     s = Search(queries, index, mode, k, cap)
-    return top_k(s.seed.unionByName(scan(s.selected, index.refs, index.dims)), k)
+    return top_k(s.seed.unionByName(scan(s.selected, index.refs, k)), k)
 
 
 def search_cost(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> DataFrame:

@@ -19,6 +19,8 @@ from vicinal.operators.sampling import stride_sample
 
 MOST_CLUSTERS = 65_536
 ITERATIONS = 40
+#: So many numbers of all tasks' sums may come to the driver as they are.
+FEW_SUMS = 2**21
 #: Rounds in which the candidates of k-means++ are drawn.
 ROUNDS = 5
 
@@ -63,8 +65,12 @@ def lloyd_sums(assigned: DataFrame, vector: str = "v") -> DataFrame:
     return each.groupBy("cluster_id", "dim").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def step(rows: DataFrame, centroids: np.ndarray, vector: str = "v") -> tuple[np.ndarray, np.ndarray]:
-    """The means of the rows closest to each centroid, and their numbers; an empty cluster keeps its centroid."""
+def step(rows: DataFrame, centroids: np.ndarray, vector: str = "v", tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The means of the rows closest to each centroid, and their numbers; an empty cluster keeps its centroid.
+
+    The tasks' sums are added up by Spark, or where ``tasks`` of them are few
+    numbers, where they arrive.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +89,15 @@ def step(rows: DataFrame, centroids: np.ndarray, vector: str = "v") -> tuple[np.
 
     parts = rows.select(vector).mapInArrow(run, "c int, n bigint, s array<double>")
     dims = centroids.shape[1]
-    total = parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s")).toArrow()
+    few = tasks is not None and tasks * centroids.size <= FEW_SUMS
+    total = (parts if few else parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s"))).toArrow()
     shared.unpersist()
-    out, counts = np.array(centroids, np.float64), np.zeros(len(centroids), np.int64)
-    for c, n, s in zip(*[x.to_pylist() for x in total.columns], strict=True):
-        out[c], counts[c] = np.array(s) / n, n
-    return out, counts
+    sums, counts = np.zeros(centroids.shape), np.zeros(len(centroids), np.int64)
+    # In an order of their own, so that reruns add up the same way.
+    for c, n, s in sorted(zip(*[x.to_pylist() for x in total.columns], strict=True)):
+        sums[c] += s
+        counts[c] += n
+    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids), counts
 
 
 def _vectors(picked: DataFrame, order: str, vector: str) -> np.ndarray:
@@ -105,8 +114,9 @@ def kmeans_fast(rows: DataFrame, k: int, key: str = "ref_id", vector: str = "v",
         raise ValueError(f"k must be 1 to {MOST_CLUSTERS}")
     data = stride_sample(rows, key, sample).drop("position", "sample") if sample else rows
     centroids = _vectors(stride_sample(data, key, k), "sample", vector)
+    tasks = data.rdd.getNumPartitions()
     for _ in range(iterations):
-        after, _n = step(data, centroids, vector)
+        after, _n = step(data, centroids, vector, tasks)
         if np.array_equal(after, centroids):
             break
         centroids = after
@@ -162,8 +172,9 @@ def kmeans_plus_plus(rows: DataFrame, k: int, key: str = "ref_id", vector: str =
             candidates = np.unique(np.vstack([candidates, more]), axis=0)
     _, weights = step(rows, candidates, vector)
     centroids = _weighted_starts(candidates, weights.astype(float), k, seed)
+    tasks = rows.rdd.getNumPartitions()
     for turn in range(iterations):
-        after, counts = step(rows, centroids, vector)
+        after, counts = step(rows, centroids, vector, tasks)
         for empty in np.flatnonzero(counts == 0):
             after[empty] = _drawn(rows, key, vector, seed, turn + 1, int(empty) + 1)
         if np.array_equal(after, centroids):

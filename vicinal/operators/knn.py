@@ -23,8 +23,9 @@ NEIGHBOURS = "q_id bigint, ref_id bigint, d {kind}, is_fraud boolean"
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
-    """A matrix from a column of lists of equal length."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    """A matrix from a column of lists of equal length; dtype None keeps the lists' own."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat if dtype is None else flat.astype(dtype)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -57,43 +58,73 @@ def _kept(i: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(order)) - first < k]
 
 
-def brute_force(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True) -> DataFrame:
-    """q_id, ref_id, d, is_fraud, rank: the k nearest of ``refs`` (ref_id, v, is_fraud) for each of ``queries`` (q_id, v).
+class Asked:
+    """A block of queries in a task: their ids and vectors, and which of them look into which cluster (None: all into all)."""
 
-    With integer vectors distances are exact: all terms stay below 2**53. A
-    reference with the query's own id is not its neighbour.
+    def __init__(self, rows: pa.Table) -> None:
+        ids = rows.column("q_id").to_numpy()
+        self.ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
+        self.vectors = matrix(rows.column("v").combine_chunks())[first] if len(ids) else np.zeros((0, 0))
+        self.of: dict[int, np.ndarray] | None = None
+        if "cluster_id" in rows.schema.names:
+            cluster = rows.column("cluster_id").to_numpy()
+            self.of = {int(c): place[cluster == c] for c in np.unique(cluster)}
+
+    def looked_into(self, clusters: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of queries, places of rows) that meet, of rows in the given clusters."""
+        if self.of is None or clusters is None:
+            yield np.arange(len(self.ids)), slice(None)
+            return
+        for c in np.unique(clusters).tolist():
+            if c in self.of:
+                yield self.of[c], np.flatnonzero(clusters == c)
+
+
+def nearest(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True) -> DataFrame:
+    """q_id, ref_id, d, is_fraud: of each task, the k nearest of its ``refs`` (ref_id, v, is_fraud) for each of ``queries`` (q_id, v).
+
+    If both have a cluster_id, a query meets the references of its clusters
+    only. Queries go to all tasks in blocks of about ``BLOCK_QUERIES`` rows;
+    references are read where they lie.
     """
     spark = refs.sparkSession
     kind = "bigint" if exact_ints else "double"
+    clusters = ["cluster_id"] if "cluster_id" in queries.columns else []
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    parts = []
+    out = None
     for block in range(blocks):
-        own = queries.select("q_id", "v").filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        ids = own.column("q_id").to_numpy()
-        vectors = matrix(own.column("v").combine_chunks()) if own.num_rows else np.zeros((0, 0))
-        shared = spark.sparkContext.broadcast((ids, vectors))
+        own = queries.select("q_id", "v", *clusters).filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(Asked(own.toArrow()))
 
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
             held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)]
             for batch in batches:
-                for at in range(0, batch.num_rows if len(q_ids) else 0, 2048):
+                for at in range(0, batch.num_rows if len(asked.ids) else 0, 2048):
                     piece = batch.slice(at, 2048)
                     ids, r, fraud = piece.column(0).to_numpy(), matrix(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False)
-                    for first in range(0, len(q_ids), 512):
-                        i, j, d = _nearest(q[first : first + 512], r, q_ids[first : first + 512, None] == ids[None, :], exact_ints, k)
-                        held = [np.concatenate(x) for x in zip(held, (i + first, d, ids[j], fraud[j]), strict=True)]
+                    for who, rows in asked.looked_into(piece.column(3).to_numpy() if clusters else None):
+                        for some in (who[first : first + 512] for first in range(0, len(who), 512)):
+                            i, j, d = _nearest(asked.vectors[some], r[rows], asked.ids[some, None] == ids[rows][None, :], exact_ints, k)
+                            held = [np.concatenate(x) for x in zip(held, (some[i], d, ids[rows][j], fraud[rows][j]), strict=True)]
                     keep = _kept(held[0], held[1], held[2], k)
                     held = [x[keep] for x in held]
             if len(held[0]):
                 d = np.rint(held[1]).astype(np.int64) if exact_ints else held[1]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[held[0]]), pa.array(held[2]), pa.array(d), pa.array(held[3].astype(bool))], names=["q_id", "ref_id", "d", "is_fraud"])
+                yield pa.RecordBatch.from_arrays([pa.array(asked.ids[held[0]]), pa.array(held[2]), pa.array(d), pa.array(held[3].astype(bool))], names=["q_id", "ref_id", "d", "is_fraud"])
 
-        parts.append(refs.select("ref_id", "v", "is_fraud").mapInArrow(nearest, NEIGHBOURS.format(kind=kind)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return top_k(out, k)
+        part = refs.select("ref_id", "v", "is_fraud", *clusters).mapInArrow(run, NEIGHBOURS.format(kind=kind))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def brute_force(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True) -> DataFrame:
+    """q_id, ref_id, d, is_fraud, rank: the k nearest of ``refs`` (ref_id, v, is_fraud) for each of ``queries`` (q_id, v).
+
+    With integer vectors distances are exact: all terms stay below 2**53. A
+    reference with the query's own id is not its neighbour.
+    """
+    return top_k(nearest(queries, refs, k, exact_ints), k)
 
 
 def vote(neighbours: DataFrame, k: int = K) -> DataFrame:

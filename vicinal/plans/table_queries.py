@@ -9,7 +9,7 @@ from vicinal.functions import scalars, vectors
 from vicinal.operators import evaluate, features, scoring
 from vicinal.operators.index import Index
 from vicinal.plans.vector_queries import start_index
-from vicinal.session import new_path, table, written
+from vicinal.session import new_path, spread, table, written
 from vicinal.sources import metrics_text, payloads
 from vicinal.streaming import score
 
@@ -72,7 +72,7 @@ def json_payload_extract(spark, sf_dir):
 
 def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey and a request payload made from each order and its customer, some of them defective."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf_dir, "orders")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     at = F.col("o_orderdate").cast("timestamp")
     stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
