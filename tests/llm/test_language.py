@@ -39,14 +39,7 @@ def test_tables_give_the_exact_code_lengths():
     texts = {x: ["".join(rng.choices(a, k=400)) for _ in range(4)] for x, a in (("l1", "abc d"), ("l2", "abe é"))}
     own = {x: grams(t) for x, t in texts.items()}
     model = language.Model(own)
-    # Contexts of order 3 that were seen once are left out of the tables, so of the trees to compare with as well.
     trees = {x: language.Model._tree(g) for x, g in own.items()}
-    deep = Counter()
-    for t in trees.values():
-        for c, seen in t[3].items():
-            deep[c] += sum(seen.values())
-    for t in trees.values():
-        t[3] = {c: s for c, s in t[3].items() if deep[c] > 1}
     for text in ["abc", "abe é cd", "zzz abc", "ééé", "d c b a e"]:
         data = language.normal(text)
         want = [slow_bits(trees[x], model.size, data) for x in model.langs]
@@ -55,7 +48,32 @@ def test_tables_give_the_exact_code_lengths():
 
 def test_probabilities_sum_to_at_most_one():
     model = language.Model({"x": grams(["abracadabra " * 9])})
-    assert (np.exp2(-model.lengths.reshape(-1, model.size)).sum(axis=1) <= 1 + 1e-5).all()
+    for before in (b"abr", b"rac", b"zzz", b"  a", b"zab"):
+        each = [model.groups[0].bits(np.array([int.from_bytes(before + bytes([s]))], np.uint32))[0] for s in set(b"abrcd z")]
+        assert sum(2.0 ** -b for b in each) <= 1 + 1e-5
+
+
+def test_keys_are_found():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 1000, 50_000):
+        keys = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
+        index, place = language.Keys(keys), rng.permutation(len(keys))
+        assert (index.find(keys[place]) == place).all()
+        other = np.setdiff1d(rng.integers(0, 2**32, 1000, dtype=np.uint32), keys)
+        assert (index.find(other) == -1).all()
+
+
+def test_many_languages_leave_nothing_out():
+    """Groups of languages give the exact lengths that all of them together give."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñçøłşğ"
+    own = {f"l{i:02}": grams(["".join(rng.choices(letters[i % 20 : i % 20 + 15] + "  ", k=600))]) for i in range(37)}
+    model = language.Model(own)
+    assert len(model.groups) == 3
+    for text in ("abc def ghi", "éèñ ñç zø", "qrstu vwx"):
+        data = language.normal(text)
+        want = [slow_bits(language.Model._tree(own[x]), model.size, data) for x in model.langs]
+        assert model.code_lengths(data) == pytest.approx(want, rel=1e-5)
 
 
 def test_held_out_accuracy(spark):
@@ -94,5 +112,5 @@ def test_noise_is_rejected(spark, sf_docs):
     docs = spark.createDataFrame([(10**9, noise)], "doc_id bigint, text string")
     model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     lang, _, bits = model.predict(noise)
-    assert bits > np.log2(model.size) and model.trained[lang] > language.LEAST_BYTES
+    assert bits > model.noise[lang] >= np.log2(model.size)
     assert language.accepted(docs, model).count() == 0 and language.accepted(sf_docs, model).count() == sf_docs.count()

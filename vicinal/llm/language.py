@@ -8,14 +8,15 @@ tried, down to a uniform order -1 (escape method C, no exclusions). A text's
 code length under a language is the exact sum over its bytes, and the language
 with the shortest code wins.
 
-As the statistics are frozen, the longest context that any language has seen
-and the next byte fix the code lengths under all languages. They are worked
-out once, for every context of the trees and every symbol, as a table; scoring
-a byte is then two look-ups, for all languages at once.
+As the statistics are frozen, the code lengths of every context and byte that a
+language has seen are worked out once. Languages go in groups of ``GROUP``; a
+group has a row of lengths for each context and byte that any of its languages
+saw, and one of escapes for each context, found by hashing. So tables grow with
+what was learnt, nothing is left out, and scoring a byte is most often one
+look-up for all languages of a group.
 
 The trees are learnt from a stratified sample of labelled rows: all rows of a
 language up to about ``FIT_ROWS``, chosen by a hash of the id, whole texts.
-Contexts of the highest order seen only once are left out.
 
 Scores are the winning language's share of sum(2 ** -length). Text is
 lower-cased, and every run of bytes that are neither letters nor beyond ASCII
@@ -45,9 +46,8 @@ from vicinal.session import table
 ORDER = 3
 #: About so many rows of a language are learnt from.
 FIT_ROWS = 4000
-#: At most so many entries in the table of code lengths (4 bytes each); beyond it, the rarest
-#: contexts of the highest order are left out and their bytes scored one order lower.
-TABLE_ENTRIES = 16_000_000
+#: Languages that share tables.
+GROUP = 16
 UNDETERMINED = "und"
 
 _SPACES = re.compile(rb"[^a-z\x80-\xff]+")
@@ -96,55 +96,101 @@ def fitting_rows(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return labelled.join(broadcast_if_small(written(sizes, "languages")), "lang").filter(share * F.col("_rows") < fit_rows).select("lang", "text")
 
 
+class Keys:
+    """Places of 32-bit keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        keys = keys.astype(np.uint32)
+        self.keys = np.append(keys, np.uint32(0))  # the last stands in where there is none
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint32(32 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            slots, own = np.unique(at[free], return_index=True)
+            self.slots[slots] = left[free][own]
+            rest = self.slots[at] != left
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435761)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not there."""
+        at = self._first(keys)
+        out = self.slots[at]
+        far = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(far):
+            at[far] = (at[far] + 1) & self.mask
+            out[far] = self.slots[at[far]]
+            far = far[(out[far] >= 0) & (self.keys[out[far]] != keys[far])]
+        return out
+
+
+class Tables:
+    """Code lengths under the languages of a group.
+
+    For each order: the windows (context and next byte) that any language saw,
+    with their lengths, and the contexts, with the languages' escapes, which
+    are 0 where a language never saw the context.
+    """
+
+    def __init__(self, trees: list[list[dict]], size: int) -> None:
+        n = len(trees)
+        self.orders: list[tuple[Keys, np.ndarray, Keys, np.ndarray]] = []
+        self.base = np.full((256, n), np.log2(size), np.float32)
+        below: dict[tuple, np.ndarray] = {}
+        for order in range(ORDER + 1):
+            contexts = sorted({c for t in trees for c in t[order]})
+            escapes = np.zeros((len(contexts), n), np.float32)
+            rows: dict[tuple, np.ndarray] = {}
+            for i, c in enumerate(contexts):
+                for j, tree in enumerate(trees):
+                    if seen := tree[order].get(c):
+                        escapes[i, j] = np.log2((sum(seen.values()) + len(seen)) / len(seen))
+                for symbol in {s for tree in trees for s in tree[order].get(c, ())}:
+                    # A shorter window of the same bytes was seen as well.
+                    row = (below[(*c[1:], symbol)] if order else self.base[symbol]) + escapes[i]
+                    for j, tree in enumerate(trees):
+                        if (seen := tree[order].get(c)) and symbol in seen:
+                            row[j] = np.log2((sum(seen.values()) + len(seen)) / seen[symbol])
+                    rows[(*c, symbol)] = row
+            if order:
+                code = lambda window: int.from_bytes(bytes(window))
+                windows = np.array(list(rows.values()), np.float32).reshape(-1, n)
+                self.orders.insert(0, (Keys(np.array([code(w) for w in rows], np.int64)), windows, Keys(np.array([code(c) for c in contexts], np.int64)), escapes))
+            else:
+                self.base += escapes.sum(axis=0)  # order 0 has one context, or none
+                for (symbol,), row in rows.items():
+                    self.base[symbol] = row
+            below = rows
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last bytes of 4-byte windows after the bytes before them, added up."""
+        total = np.zeros(self.base.shape[1])
+        for (windows, lengths, contexts, escapes), mask in zip(self.orders, (0xFFFFFFFF, 0xFFFFFF, 0xFFFF), strict=True):
+            codes = codes & np.uint32(mask)
+            at = windows.find(codes)
+            total += lengths[at[at >= 0]].sum(axis=0, dtype=np.float64)
+            codes = codes[at < 0]
+            if not len(codes):
+                return total
+            at = contexts.find(codes >> np.uint32(8))
+            total += escapes[at[at >= 0]].sum(axis=0, dtype=np.float64)
+        return total + self.base[codes & np.uint32(0xFF)].sum(axis=0, dtype=np.float64)
+
+
 class Model:
     """Frozen statistics of all languages as look-up tables."""
 
     def __init__(self, grams: dict[str, dict[int, int]]) -> None:
         """grams: of each language, the counts of its 4-byte windows."""
         self.langs = sorted(grams)
-        if not self.langs:
-            return
-        self.trained = {x: sum(grams[x].values()) for x in self.langs}
-        trees = [self._tree(grams[x]) for x in self.langs]
-        symbols = sorted({s for t in trees for s in t[0][()]})
-        #: Byte to symbol; bytes that no text had share the last symbol.
-        self.symbol = np.full(256, len(symbols), np.int32)
-        self.symbol[symbols] = np.arange(len(symbols))
-        size = len(symbols) + 1
-        self.size = size
-        index = {s: i for i, s in enumerate(symbols)}
-        deep = Counter()
-        for t in trees:
-            for ctx, seen in t[ORDER].items():
-                deep[ctx] += sum(seen.values())
-        short = sorted({c for t in trees for c in t[1]}), sorted({c for t in trees for c in t[2]})
-        room = max(0, TABLE_ENTRIES // (size * len(self.langs)) - 1 - len(short[0]) - len(short[1]))
-        deepest = sorted(c for c, n in sorted(deep.items(), key=lambda x: (-x[1], x[0]))[:room] if n > 1)
-        # A context's row: order 3 where it is kept, else order 2 where any language saw it, else order 1, else order 0.
-        contexts = [(), *short[0], *short[1], *deepest]
-        row = {c: i for i, c in enumerate(contexts)}
-        lengths = np.empty((len(contexts), size, len(self.langs)), np.float32)
-        for j, tree in enumerate(trees):
-            for i, c in enumerate(contexts):
-                shorter = lengths[row[c[1:]], :, j] if c else np.full(size, np.log2(size))
-                seen = tree[len(c)].get(c)
-                if not seen:
-                    lengths[i, :, j] = shorter
-                    continue
-                total, distinct = sum(seen.values()), len(seen)
-                lengths[i, :, j] = shorter + np.log2((total + distinct) / distinct)
-                for s, n in seen.items():
-                    lengths[i, index[s], j] = np.log2((total + distinct) / n)
-        self.lengths = lengths.reshape(-1, len(self.langs))
-        # Where each pair and triple of symbols leads.
-        self.two = np.zeros((size, size), np.int32)
-        for s in range(len(symbols)):
-            self.two[:, s] = row.get((symbols[s],), 0)
-        for c in (c for c in contexts if len(c) == 2):
-            self.two[index[c[0]], index[c[1]]] = row[c]
-        self.three = np.broadcast_to(self.two, (size, size, size)).copy().reshape(-1)
-        for c in (c for c in contexts if len(c) == 3):
-            self.three[(index[c[0]] * size + index[c[1]]) * size + index[c[2]]] = row[c]
+        self.size = 1 + len({code & 255 for g in grams.values() for code in g})
+        self.groups = [Tables([self._tree(grams[x]) for x in self.langs[at : at + GROUP]], self.size) for at in range(0, len(self.langs), GROUP)]
+        #: Bits a byte beyond which a text is noise: those of a code that knows nothing, and more the less a language has settled.
+        self.noise = {x: float(np.log2(self.size) * (1 + len(g) / max(1, sum(g.values())))) for x, g in grams.items()}
 
     @staticmethod
     def _tree(grams: dict[int, int]) -> list[dict[tuple, dict[int, int]]]:
@@ -159,12 +205,9 @@ class Model:
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits of the data's code under each language."""
-        s = self.symbol[np.frombuffer(b"  " + data, np.uint8)]
-        size, total = self.size, np.zeros(len(self.langs))
-        for at in range(0, len(s) - 3, 1 << 16):
-            w = s[at : at + (1 << 16) + 3]
-            ctx = self.three[(w[:-3] * size + w[1:-2]) * size + w[2:-1]]
-            total += self.lengths[ctx * size + w[3:]].sum(axis=0, dtype=np.float64)
+        codes, total = gram_codes(data), np.zeros(len(self.langs))
+        for at in range(0, len(codes), 1 << 16):
+            total += np.concatenate([g.bits(codes[at : at + (1 << 16)]) for g in self.groups])
         return total
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -205,15 +248,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(score, schema)
 
 
-#: A language learnt from fewer bytes than this does not call any text noise.
-LEAST_BYTES = 50_000
-
-
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is determined and whose text is not noise.
 
-    Noise costs more bits a byte than a code that knows nothing of the text.
-    Where nothing could be learnt, every text with a letter is accepted.
+    Noise costs more bits a byte than a code that knows nothing of the text,
+    by the share of windows that the language is still to learn: new windows
+    among those that it was learnt from. Where nothing could be learnt, every text with a letter is accepted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -222,7 +262,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         if not shared.value.langs:
             return has_letter(text)
         lang, _, bits = shared.value.predict(text)
-        return lang != UNDETERMINED and (bits <= np.log2(shared.value.size) or shared.value.trained[lang] < LEAST_BYTES)
+        return lang != UNDETERMINED and bits <= shared.value.noise[lang]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
