@@ -195,3 +195,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     whole = mixing.mixed_documents(odd_docs)
     assert whole.columns == odd_docs.columns and {r["size"] for r in whole.collect()} == {"x"}
     assert mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_repeated_rows_are_picked_one_by_one(spark):
+    """Rows that are the same in all columns come as often as their pieces say, in all."""
+    F = mixing.F
+    rows = [(i % 40, f"word {i % 40} and so on " * (i % 7 + 1), f"s{i % 3}") for i in range(120)] + [(None, "no id at all", "s1")] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text"))))
+    middle = F.floor(F.col("size") / 2)
+    want = {(r["doc_id"], r["text"]): r["n"] for r in mixed.groupBy("doc_id", "text").agg(F.sum(F.size(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle)))).alias("n")).collect()}
+    got = {(r["doc_id"], r["text"]): r["count"] for r in mixing.mixed_documents(docs).groupBy("doc_id", "text").count().collect()}
+    assert got == {k: n for k, n in want.items() if n}

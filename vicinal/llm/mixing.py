@@ -245,14 +245,23 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
 
     So a document is repeated once for each whole pass and once more if its
     block is drawn again, and texts are never cut. The documents of a shard
-    come together, in random order.
+    come together, in random order. The mix itself is of ids and sizes; texts
+    are joined to what it picked, and move when the shards are dealt out.
     """
     carried = docs.columns
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*carried).alias("_whole"))
+    rows = docs.select("doc_id", hashed(docs).alias("_tie"), F.struct(*carried).alias("_whole"))
+    narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed(docs).alias("_tie")), "sizes")
+    again = written(narrow.groupBy("doc_id", "_tie").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_same")), "again")
+    if not again.isEmpty():
+        # Rows that are the same in all columns are one here; each of them was picked for itself.
+        repeated, same = broadcast_if_small(again), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_same"))
+        single = rows.join(repeated, same, "left_semi").groupBy("doc_id", "_tie").agg(F.first("_whole").alias("_whole"))
+        rows = rows.join(repeated, same, "left_anti").union(single)
     middle = F.floor(F.col("size") / 2)
-    picked = mix(rows, seed=seed, **settings).select("_whole", "doc_id", F.explode(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle))).alias("p"))
-    picked = picked.select("_whole", "doc_id", "p.shard", F.col("p.pass").alias("_pass"))
-    return shuffled(picked, 2 * docs.count(), "doc_id", "_pass", seed=seed).select("_whole.*")
+    picked = mix(narrow, seed=seed, **settings).select("doc_id", "_tie", "start", F.explode(F.filter("pieces", lambda p: (p["first"] <= middle) & (p["end"] > middle))).alias("p"))
+    picked = written(picked.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_same"), "p.shard", F.xxhash64("doc_id", "start", "p.pass").alias("_pick")), "picked")
+    out = rows.join(broadcast_if_small(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_same")))
+    return shuffled(out.select("_whole", "shard", "_pick"), picked.count(), "_pick", seed=seed).select("_whole.*")
 
 
 def op10_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
