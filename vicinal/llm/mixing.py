@@ -56,8 +56,8 @@ MOST_BLOCKS = 2**29
 ROUNDS = 24
 #: Plans of up to so many sources are broadcast (about 400 bytes each).
 BROADCAST_SOURCES = 50_000
-#: Pieces that are ordered together inside a shard.
-LOCAL_ROWS = 50_000
+#: Rows that are ordered together inside a shard: small enough for whole texts; Spark joins small parts into partitions.
+LOCAL_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
