@@ -1,10 +1,12 @@
 """Toxicity scores from a learnt lexicon, Levenshtein automata and context windows.
 
 Lexicon. From labelled rows, terms are learnt that occur in toxic texts far
-more often than chance allows: whole words and stems (prefixes). Texts that
-share their smallest word hash count once, so copies do not vote many times.
-A term enters if the binomial tail of its toxic share, times the number of
-terms tested, is below ``SIGNIFICANCE`` and it is mostly toxic.
+more often than chance allows: whole words and stems (prefixes). Near copies
+(texts that share a band of MinHash values) with the same label count once, so
+that a group of copies does not fill the lexicon with its ordinary words. A term
+enters if the binomial tail of its toxic share, times the number of terms
+tested, is below ``SIGNIFICANCE`` and it is mostly toxic; of more than
+``MOST_TERMS`` words or stems, the most significant stay.
 
 Matching. The lexicon is a trie. A word is matched by a Levenshtein automaton
 (the set of positions and errors that are still possible) run along the
@@ -16,11 +18,14 @@ of an entry has one of the entry's k + 1 pieces unchanged, so only words with
 such a piece are looked up; pieces are found in whole texts by a multi-pattern
 search. Answers for words are remembered up to a bound.
 
-Context. A window around each hit separates quotation from abuse: a hit inside
-quotation marks, or shortly after a reporting word, is counted apart. A
-logistic regression over the hits' log-odds, quoted and unquoted, exact and
-misspelt, gives the score. Its prior holds quoted hits at half the weight of
-unquoted ones until labels say otherwise.
+Context. A window around each hit separates quotation from abuse. Its words,
+and whether the hit stands inside quotation marks, are tokens whose log-odds
+are learnt from the hits of labelled rows: a token that goes with hits in clean
+texts more than others do speaks for quotation. Their sum gives the hit's share
+of abuse, by which its weight is divided between abuse and quotation. Until
+labels say otherwise, quotation marks count against abuse and words for nothing.
+A logistic regression over the divided log-odds, exact and misspelt, gives the
+score. Its prior holds quoted hits at half the weight of others.
 
 Learning uses at most about ``FIT_ROWS`` labelled rows, chosen by a hash of the
 id; every text is scored whole.
@@ -35,21 +40,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm.common import broadcast_if_small, held_out, written
+from vicinal.llm.neardup import _multipliers, _WordHash, band_keys, minhashes, shingle_set
 from vicinal.session import table
 
 #: About so many labelled rows are learnt from.
 FIT_ROWS = 60_000
-#: At most so many lexicon entries, the most significant.
-MOST_TERMS = 5_000
+#: At most so many words and so many stems, and so many context tokens, the most significant.
+MOST_TERMS, MOST_TOKENS = 5_000, 5_000
+#: Bands of MinHash values over shingles of so many words, by which near copies among labelled texts count once.
+BANDS, ROWS, SHINGLE = 20, 4, 3
 SIGNIFICANCE = 0.01
 LEAST_PURITY = 0.8
 STEMS = (4, 5, 6, 7, 8)
@@ -58,7 +65,10 @@ WORD_CACHE = 500_000
 #: Characters looked at on each side of a hit.
 CONTEXT = 80
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "‹": "›"}
-REPORTING = ("said", "says", "called", "quote", "quoted", "wrote", "sagte", "schrieb", "nannte", "dijo", "escribió", "llamó", "dit", "disait", "écrit", "appelé")
+#: The token of a hit inside quotation marks, and the clean and toxic hits that it is taken to have had before any label.
+QUOTED, QUOTED_BEFORE = "\x22", (2.0, 0.5)
+#: Hits that any token is taken to have had, at the overall share; the most that a context may say.
+TOKEN_BEFORE, MOST_SAID = 4.0, 3.0
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -173,102 +183,156 @@ def hits(text: str, lexicon: Lexicon, searcher) -> list[tuple[int, int, float, i
     return out
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether the window around a hit reads as quotation."""
-    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    before, after = before.rpartition("\n")[2], after.partition("\n")[0]
+def quoted(before: str, after: str) -> bool:
+    """Whether a hit between the two stretches of its line stands inside quotation marks."""
     for opening, closing in QUOTES.items():
         if opening == closing:
             if before.count(opening) % 2 and closing in after:
                 return True
         elif before.rfind(opening) > before.rfind(closing) and closing in after:
             return True
-    words = _WORD.findall(before)[-4:]
-    return any(w in REPORTING for w in words)
+    return False
+
+
+def context(text: str, start: int, end: int) -> set[str]:
+    """The tokens of the window around a hit: whole words of its line, and ``QUOTED``."""
+    before, after = text[max(0, start - CONTEXT) : start].rpartition("\n")[2], text[end : end + CONTEXT].partition("\n")[0]
+    words = {*_WORD.findall(before.partition(" ")[2] if start > CONTEXT else before), *_WORD.findall(after.rpartition(" ")[0] if end + CONTEXT < len(text) else after)}
+    return words | {QUOTED} if quoted(before, after) else words
 
 
 FEATURES = ("plain", "misspelt", "in_quotes", "density")
 
 
-def features(text: str | None, lexicon: Lexicon, searcher) -> list[float]:
+def features(text: str | None, lexicon: Lexicon, tokens: dict[str, float], searcher) -> list[float]:
     """What the regression sees of a text."""
     low = (text or "").lower()
-    sums = [0.0, 0.0, 0.0]
+    plain = misspelt = aside = 0.0
     for start, end, weight, edits in hits(low, lexicon, searcher) if lexicon.pieces else []:
-        sums[2 if quoted(low, start, end) else 1 if edits else 0] += weight
-    return [*(math.log1p(x) for x in sums), 100 * sum(sums) / (len(low) + 100)]
-
-
-def tail_log(n: int, k: int, p: float) -> float:
-    """log P(Binomial(n, p) >= k), by the Chernoff bound, for k / n above p."""
+        said = sum(tokens.get(t, 0.0) for t in context(low, start, end))
+        # A context that says nothing leaves the whole weight with abuse.
+        abuse = min(1.0, 2 / (1 + math.exp(-max(-MOST_SAID, min(MOST_SAID, said)))))
+        if edits:
+            misspelt += weight * abuse
+        else:
+            plain += weight * abuse
+        aside += weight * (1 - abuse)
+    return [math.log1p(plain), math.log1p(misspelt), math.log1p(aside), 100 * (plain + misspelt + aside) / (len(low) + 100)]
+
+
+def divergence(n: Column, k: Column, p: float) -> Column:
+    """n times the Kullback-Leibler divergence of k / n from p: minus the Chernoff bound of log P(a share as far off)."""
     q = k / n
-    if q <= p:
-        return 0.0
-    return -n * (q * math.log(q / p) + (0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - p))))
+    part = lambda x, of: F.when(x == 0, 0.0).otherwise(x * F.log(x / F.lit(of)))
+    return n * (part(q, p) + part(1 - q, 1 - p))
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """kind, term, n, toxic: texts with a term and toxic ones, of rows (text, toxic) that share a smallest word hash one."""
+def one_of_near_copies(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, toxic) without those that share a band of MinHash values with a row of the same label and a smaller id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    The bands are of ``SHINGLE`` words, so that unrelated texts stay apart,
+    however many there are. At a similarity of 0.57 (a text and its copy with one
+    word in ten replaced) 89 of 100 pairs share a band, at 0.14 less than one. Of
+    400 such copies about 40 stay, of 400 texts that share a passage about all.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, factors = _WordHash(), _multipliers(BANDS * ROWS)
         for batch in batches:
-            ids, keys = [], []
-            for text in batch.column(1):
-                words = set(_WORD.findall((text.as_py() or "").lower()))
-                ids.append(min((xxhash.xxh3_64_intdigest(w) for w in words), default=0) >> 1)
-                keys.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.int64())], names=["doc_id", "text", "toxic", "least"])
-
-    one = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, text string, toxic int, least bigint")
-    one = written(one, "toxic-sample")
-    first = one.groupBy("least", "toxic").agg(F.min("doc_id").alias("_doc"))
-    one = one.join(first.select("_doc").distinct(), F.col("doc_id") == F.col("_doc"), "left_semi")
+            keys = [band_keys(minhashes(shingle_set(text.as_py(), SHINGLE, hashes), factors), BANDS, ROWS) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text", "toxic", "keys"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, str], list[int]] = {}
+    rows = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, text string, toxic int, keys array<bigint>")
+    rows = written(rows.withColumn("row", F.struct("doc_id", F.monotonically_increasing_id().alias("at"))), "toxic-sample")
+    first = rows.select(F.explode("keys").alias("key"), "toxic", "row").groupBy("key", "toxic").agg(F.min("row").alias("row"))
+    # A row that is the first of all its bands; narrow rows, as many as are learnt from at most.
+    kept = written(first.groupBy("row").count().filter(F.col("count") == BANDS).select(F.col("row.at").alias("_at")), "toxic-rows")
+    return rows.join(broadcast_if_small(kept), F.col("row.at") == F.col("_at"), "left_semi").select("text", "toxic")
+
+
+def counted(rows: DataFrame, keys_of, schema: str) -> DataFrame:
+    """n and toxic of every key (columns of ``schema``) that ``keys_of(text)`` gives of rows (text, toxic), as a written table.
+
+    Each task adds up its own rows first, in tables of bounded size.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int32() if x.split()[1] == "int" else pa.string() for x in schema.split(", ")]
 
-        def out() -> pa.RecordBatch:
-            keys, values = list(found), list(found.values())
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], names=["kind", "term", "n", "toxic"])
+    def out(found: dict[tuple, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([v[i] for v in found.values()], pa.int64()) for i in (0, 1))], names=[*names, "n", "toxic"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in _WORD.findall((text.as_py() or "").lower()) if 3 <= len(w) <= 40}
-                for key in {(0, w) for w in words} | {(k, w[:k]) for w in words for k in STEMS if len(w) > k}:
+                for key in keys_of(text.as_py()):
                     n = found.setdefault(key, [0, 0])
                     n[0] += 1
                     n[1] += toxic
-            if len(found) > 1_000_000:
-                yield out()
-                found = {}
+                if len(found) > 1_000_000:
+                    yield out(found)
+                    found = {}
         if found:
-            yield out()
+            yield out(found)
+
+    parts = rows.select("text", "toxic").mapInArrow(count, f"{schema}, n bigint, toxic bigint")
+    return written(parts.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "counts")
+
 
-    counted = one.select("text", "toxic").mapInArrow(count, "kind int, term string, n bigint, toxic bigint")
-    return counted.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), one
+def terms_of(text: str | None) -> set[tuple[int, str]]:
+    """The words (0, word) and stems (length, stem) of a text."""
+    words = {w for w in _WORD.findall((text or "").lower()) if 3 <= len(w) <= 40}
+    return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in STEMS if len(w) > k}
 
 
-def learn_lexicon(counts: DataFrame, texts: int, toxic: int) -> Lexicon:
+def learn_lexicon(counts: DataFrame, texts: int, toxic: int, most: int = MOST_TERMS) -> Lexicon:
     """Significant, mostly toxic terms; a term that a stem covers as well is left out."""
-    base = toxic / texts
-    some = counts.filter((F.col("toxic") >= 3) & (F.col("toxic") >= LEAST_PURITY * F.col("n"))).orderBy(F.desc("toxic"), "n", "kind", "term").limit(20 * MOST_TERMS)
-    rows, tested = some.collect(), max(1, counts.filter("n >= 3").count())
-    kept = {}
+    base, tested = toxic / texts, max(1, counts.filter("n >= 3").count())
+    surplus = divergence(F.col("n"), F.col("toxic"), base)
+    some = counts.filter((F.col("toxic") >= 3) & (F.col("toxic") >= LEAST_PURITY * F.col("n")) & (F.col("toxic") > F.lit(base) * F.col("n"))).withColumn("surplus", surplus)
+    # In order of significance; a word and its stems are at most six terms.
+    rows = some.filter(F.col("surplus") >= math.log(tested / SIGNIFICANCE)).orderBy(F.desc("surplus"), "kind", "term").limit(6 * most).collect()
+    weight = {(r["kind"], r["term"]): math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5) * (1 - base) / base) for r in rows}
+    # A stem that nearly always comes from one word is that word.
+    of_one: dict[str, int] = {}
     for r in rows:
-        if tail_log(r["n"], r["toxic"], base) <= math.log(SIGNIFICANCE / tested):
-            kept[r["kind"], r["term"]] = math.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5) * (1 - base) / base)
-    seen = {(r["kind"], r["term"]): r["toxic"] for r in rows}
+        if not r["kind"]:
+            for k in STEMS:
+                of_one[r["term"][:k]] = max(of_one.get(r["term"][:k], 0), r["toxic"])
     stems: dict[str, float] = {}
-    for (kind, term), weight in sorted(kept.items()):
-        # A stem that nearly always comes from one word is that word.
-        if kind and any(not k and w.startswith(term) and seen[k, w] >= 0.9 * seen[kind, term] for k, w in kept):
-            continue
-        if kind and not any(stems.get(term[:k], 0) >= weight - 1 for k in range(1, len(term))):
-            stems[term] = weight
-    words = {t: w for (kind, t), w in kept.items() if not kind and not any(stems.get(t[:k], 0) >= w - 1 for k in range(1, len(t)))}
-    return Lexicon(dict(list(words.items())[:MOST_TERMS]), dict(list(stems.items())[:MOST_TERMS]))
+    for r in sorted((r for r in rows if r["kind"] and of_one.get(r["term"], 0) < 0.9 * r["toxic"]), key=lambda r: r["kind"]):
+        if not any(stems.get(r["term"][:k], 0) >= weight[r["kind"], r["term"]] - 1 for k in range(1, r["kind"])):
+            stems[r["term"]] = weight[r["kind"], r["term"]]
+    stems = dict([(r["term"], stems[r["term"]]) for r in rows if r["kind"] and r["term"] in stems][:most])
+    words = [(r["term"], weight[0, r["term"]]) for r in rows if not r["kind"]]
+    return Lexicon(dict([x for x in words if not any(stems.get(x[0][:k], 0) >= x[1] - 1 for k in STEMS if k < len(x[0]))][:most]), stems)
+
+
+def learn_context(rows: DataFrame, lexicon: Lexicon, most: int = MOST_TOKENS) -> dict[str, float]:
+    """Log-odds of abuse of the tokens around hits, against those of all hits: of ``QUOTED`` always, of words that are significant."""
+
+    class Tokens:
+        """Made in each task: the search does not travel."""
+
+        def __init__(self) -> None:
+            self.search = None
+
+        def __call__(self, text: str | None) -> list[tuple[str]]:
+            self.search, low = self.search or lexicon.searcher(), (text or "").lower()
+            return [(t,) for start, end, _, _ in hits(low, lexicon, self.search) for t in (*context(low, start, end), "")]
+
+    if not lexicon.pieces:
+        return {}
+    counts = counted(rows, Tokens(), "token string")  # "" counts all hits
+    own = {r["token"]: (r["n"], r["toxic"]) for r in counts.filter(F.col("token").isin("", QUOTED)).collect()}
+    n, toxic = own.get("", (0, 0))
+    base = (toxic + 0.5) / (n + 1)
+    odds = lambda n, k, clean, bad: max(-MOST_SAID, min(MOST_SAID, math.log((k + bad) / (n - k + clean) * (1 - base) / base)))
+    out = {QUOTED: odds(*own.get(QUOTED, (0, 0)), *QUOTED_BEFORE)}
+    others = counts.filter(~F.col("token").isin("", QUOTED) & (F.col("n") >= 3)).withColumn("surplus", divergence(F.col("n"), F.col("toxic"), base))
+    found = others.filter(F.col("surplus") >= math.log(max(1, others.count()) / SIGNIFICANCE)).orderBy(F.desc("surplus"), "token").limit(most).collect()
+    return out | {r["token"]: odds(r["n"], r["toxic"], TOKEN_BEFORE * (1 - base), TOKEN_BEFORE * base) for r in found}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -286,15 +350,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: floa
 
 
 class Scorer:
-    """Lexicon and weights; scores texts."""
+    """Lexicon, context and weights; scores texts."""
 
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray | None) -> None:
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: Lexicon, tokens: dict[str, float], weights: np.ndarray | None) -> None:
+        self.lexicon, self.tokens, self.weights = lexicon, tokens, weights
 
     def scores(self, texts: list[str | None], searcher) -> np.ndarray:
         if self.weights is None or not texts:
             return np.zeros(len(texts))
-        x = np.array([features(t, self.lexicon, searcher) for t in texts])
+        x = np.array([features(t, self.lexicon, self.tokens, searcher) for t in texts])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -308,22 +372,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     labels = labels.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11).cast("double") * F.lit(2.0**-53)
     labels = written(labels.filter(share * F.lit(labels.count()) < fit_rows), "labels")
-    counts, rows = term_counts(docs.select("doc_id", "text").join(broadcast_if_small(labels), "doc_id"))
-    counts, rows = written(counts, "terms"), written(rows, "toxic-rows")
+    rows = one_of_near_copies(docs.select("doc_id", "text").join(broadcast_if_small(labels), "doc_id"))
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
-        return Scorer(Lexicon({}, {}), None)
-    lexicon = learn_lexicon(counts, n, toxic)
+        return Scorer(Lexicon({}, {}), {}, None)
+    lexicon = learn_lexicon(counted(rows, terms_of, "kind int, term string"), n, toxic)
+    tokens = learn_context(rows, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = lexicon.searcher() if lexicon.pieces else None
         for batch in batches:
-            x = np.array([features(t.as_py(), lexicon, searcher) for t in batch.column(0)]).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py(), lexicon, tokens, searcher) for t in batch.column(0)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*FEATURES, "toxic"])
 
-    seen = rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toArrow()
+    seen = rows.mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toArrow()
     x = np.column_stack([seen.column(f).to_numpy() for f in FEATURES])
-    return Scorer(lexicon, fit_logistic(x, seen.column("toxic").to_numpy().astype(float), PRIOR))
+    return Scorer(lexicon, tokens, fit_logistic(x, seen.column("toxic").to_numpy().astype(float), PRIOR))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
