@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vicinal.llm import chat, decontaminate, fingerprint, importance, language, mixing, neardup, secrets, sharding, toxicity, urlfilter, warc
+from vicinal.llm import chat, collocation, decontaminate, fingerprint, importance, language, mixing, neardup, secrets, sharding, toxicity, urlfilter, warc
 
-MODULES = [warc, secrets, toxicity, fingerprint, chat, neardup, decontaminate, sharding, language, mixing, importance, urlfilter]
+MODULES = [warc, secrets, toxicity, fingerprint, chat, neardup, decontaminate, sharding, language, mixing, collocation, importance, urlfilter]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
