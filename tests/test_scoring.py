@@ -46,20 +46,29 @@ def test_answers_against_brute_force(spark, built):
 
 
 def test_only_the_selected_clusters_files_are_read(spark, built):
+    """The references' files are pruned by the join with the selected clusters, when the query runs."""
     from vicinal.operators import ivf
 
     own, _, _ = built
     rows = spark.createDataFrame([(1, [0] * 14)], "q_id bigint, v array<int>")
     found = ivf.Search(rows, own)
-    plan = ivf.scan(found.probe, own.refs)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cluster_id" in plan or "PartitionFilters: [(cluster_id" in plan or "cluster_id#" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    for few in (10, 0):
+        scan = ivf.scan(found.probe, own.refs, few=few)
+        scan.collect()
+        plan = scan._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruningexpression(cluster_id" in plan.partition("PartitionFilters: [")[2], plan
+    assert ivf.within(own.refs, found.probe).count() == own.refs.filter(f"cluster_id = {found.probe.first()['cluster_id']}").count()
 
 
 def test_corpus(spark, built):
-    own, _, _ = built
+    own, refs, fraud = built
     entries = spark.createDataFrame([(i, json.dumps(G1 | {"id": str(i)}), i < 6) for i in range(10)] + [(77, "{}", True)], "q_id bigint, value string, expected_approved boolean")
-    row = scoring.evaluate_corpus(entries, own).first()
-    assert row["total"] == 11 and row["errors"] == 1 and row["approved_right"] + row["denied_wrong"] == 6 or row["approved_right"] + row["denied_wrong"] == 7
+    v = np.array(features.vectorize(spark.createDataFrame([(0, json.dumps(G1))], "q_id bigint, value string")).select(vectors.quantize("features").alias("q")).first()["q"])
+    q = np.floor(np.abs(refs * np.float32(10000)) + 0.5).astype(np.int64)
+    approved = int(fraud[np.argsort(((q - v) ** 2).sum(axis=1), kind="stable")[:5]].sum()) <= 2
+    row = scoring.evaluate_corpus(entries, own).first().asDict()
+    want = {"total": 11, "errors": 1, "approved_right": 6 * approved, "denied_right": 4 * (not approved), "approved_wrong": 4 * approved, "denied_wrong": 6 * (not approved)}
+    assert {k: row[k] for k in want} == want and row["accuracy"] == pytest.approx((6 if approved else 4) / 11)
 
 
 def test_empty_tables(spark, built):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vicinal.functions.vectors import SCALE
@@ -46,9 +47,72 @@ def test_brute_force_is_naive_with_ties_and_batches(spark, monkeypatch):
     rng = np.random.default_rng(0)
     refs = rng.integers(0, 3, (700, 4))
     queries = rng.integers(0, 3, (9, 4))
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 4)
-    found = got(knn.brute_force(asked(spark, queries), frame(spark, refs).repartition(7)))
-    assert found == {-1 - i: naive(q, refs) for i, q in enumerate(queries)}
+    monkeypatch.setattr(knn, "CELL_ROWS", 40)
+    for few in (100, 8, 0):  # sent to all tasks, or joined in cells
+        found = got(knn.brute_force(asked(spark, queries), frame(spark, refs).repartition(7), few=few))
+        assert found == {-1 - i: naive(q, refs) for i, q in enumerate(queries)}
+
+
+def test_the_join_sends_no_query_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    refs, queries = rng.integers(0, 50, (900, 6)), rng.integers(0, 50, (300, 6))
+    monkeypatch.setattr(knn, "CELL_ROWS", 100)
+    asked_, frame_ = asked(spark, queries), frame(spark, refs)
+    for name in ("toArrow", "toPandas", "collect", "toLocalIterator"):
+        monkeypatch.setattr(type(asked_), name, lambda *a: pytest.fail("rows came to the driver"))
+    joined = knn.brute_force(asked_, frame_, few=0)
+    plan = joined._jdf.queryExecution().toString()
+    monkeypatch.undo()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert got(joined) == {-1 - i: naive(q, refs) for i, q in enumerate(queries)}
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_half_of_the_dimensions_rule_out_most_pairs_and_lose_none(exact):
+    rng = np.random.default_rng(2)
+    wide = np.array([900] * 4 + [5] * 10)
+    refs, queries = (rng.integers(-1, 2, (n, 14)) * wide + rng.integers(0, 40, (n, 14)) for n in (6000, 30))
+    refs, queries = refs / (1 if exact else 7), queries / (1 if exact else 7)
+    lists = knn.Lists(np.arange(-30, 0), queries, 5, exact)
+    lists.add(np.arange(30), np.arange(6000), refs, np.zeros(6000, bool))
+    assert set(lists.order[:4].tolist()) == {0, 1, 2, 3}
+    found = {}
+    for row in pa.Table.from_batches(lists.batches()).to_pylist():
+        found.setdefault(row["q_id"], []).append((row["d"], row["ref_id"]))
+    for i, q in enumerate(queries):
+        d = ((refs - q) ** 2).sum(axis=1)
+        assert [r for _, r in sorted(found[i - 30])] == np.lexsort((np.arange(6000), d))[:5].tolist()
+    assert lists.pairs == 30 * 6000 and lists.dropped > 0.6 * lists.pairs
+
+
+def test_a_worst_distance_keeps_ties_and_leaves_out_the_rest(spark):
+    rows = spark.createDataFrame([(-1, [0, 0], 4), (-2, [0, 0], None)], "q_id bigint, v array<int>, worst bigint")
+    refs = frame(spark, np.array([[2, 0], [0, 2], [2, 1], [3, 3], [9, 9], [1, 0]]))
+    for few in (10, 0):
+        found = got(knn.top_k(knn.nearest(rows, refs, few=few)))
+        assert found == {-1: [(5, 1), (0, 4), (1, 4)], -2: [(5, 1), (0, 4), (1, 4), (2, 5), (3, 18)]}
+
+
+def test_pruned_counts(spark):
+    rng = np.random.default_rng(5)
+    refs = rng.integers(0, SCALE, (500, 8)) * np.array([1, 1, 1, 1, 0.1, 0.1, 0.1, 0.1])
+    refs = refs.astype(int)
+    queries = refs[:7] + 3
+    at = built(spark, refs, 10)
+    assert ivf.spread(at.refs).tolist() == np.lexsort((np.arange(8), -refs.var(axis=0))).tolist()
+    half = ivf.spread(at.refs)[:4]
+    s = ivf.Search(asked(spark, queries), at)
+    worst = {r["q_id"]: r["m"] for r in s.seed.groupBy("q_id").agg({"d": "max"}).withColumnRenamed("max(d)", "m").collect()}
+    chosen = {}
+    for r in s.selected.collect():
+        chosen.setdefault(r["q_id"], set()).add(r["cluster_id"])
+    cluster = {r["ref_id"]: r["cluster_id"] for r in at.refs.collect()}
+    want = {}
+    for i, q in enumerate(queries):
+        own = [j for j in range(500) if cluster[j] in chosen.get(-1 - i, ())]
+        want[-1 - i] = len(own), sum(int(((refs[j][half] - q[half]) ** 2).sum()) > worst[-1 - i] for j in own)
+    assert {r["q_id"]: (r["compared"], r["dropped"]) for r in ivf.elimination(asked(spark, queries), at).collect()} == want
+    assert sum(d for _, d in want.values()) > 0
 
 
 def test_fewer_rows_than_k_and_none(spark):
@@ -85,7 +149,8 @@ def test_exact_search_is_brute_force(spark, kind):
     }[kind]()
     queries = refs[rng.integers(0, 800, 12)] + rng.integers(-50, 50, (12, 14)) * (kind != "ties")
     at = built(spark, refs, 16)
-    assert got(ivf.search(asked(spark, queries), at)) == {-1 - i: naive(q, refs) for i, q in enumerate(queries)}
+    for few in (100, 0):
+        assert got(ivf.search(asked(spark, queries), at, few=few)) == {-1 - i: naive(q, refs) for i, q in enumerate(queries)}
 
 
 def test_capped_search_is_its_set_definition_and_may_miss(spark):

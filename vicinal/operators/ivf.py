@@ -10,10 +10,12 @@ distance, so the result, ties by ref_id included, is that of brute force. Mode
 ``capped`` refines with at most ``CAP`` clusters, those of the smallest bound,
 whatever their number; it may miss neighbours.
 
-Clusters' statistics go to all tasks (K is bounded), and so do the queries, in
-blocks of bounded size, with the clusters that each looks into. References are
-not shuffled: the files of clusters that no query selected are not read, and
-every task compares its rows with the queries of their clusters.
+Clusters' statistics go to all tasks (K is bounded). Queries meet the references
+of their clusters by the k-NN join of ``knn``: a few queries go to all tasks,
+more are dealt into cells with the references. Either way the references are
+joined with the selected clusters on the column that their files lie by, so
+Spark prunes the others' files when the query runs. In the refining step a
+query brings its worst seed distance along, beyond which nothing is kept.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import vectors
 from vicinal.operators.index import Index
-from vicinal.operators.knn import K, matrix, nearest, top_k
+from vicinal.operators.kmeans import MOST_CLUSTERS
+from vicinal.operators.knn import FEW_QUERIES, K, _asked, _numbers, in_cells, matrix, nearest, partial_distances, top_k
 from vicinal.session import written
 
 CAP = 8
@@ -44,6 +47,8 @@ class Clusters:
     """What a task needs of the clusters: ids of those with rows, centroids on the quantized scale, boxes."""
 
     def __init__(self, index: Index) -> None:
+        if index.meta.count() > MOST_CLUSTERS:
+            raise ValueError(f"an index has at most {MOST_CLUSTERS} clusters")
         rows = index.meta.filter("row_count > 0").select("cluster_id", "lo", "hi").orderBy("cluster_id").toArrow()
         self.ids = rows.column("cluster_id").to_numpy().astype(np.int32)
         self.lo, self.hi = (np.array(rows.column(c).to_pylist(), np.int64).reshape(len(self.ids), -1) for c in ("lo", "hi"))
@@ -69,7 +74,7 @@ def probes(queries: DataFrame, clusters: Clusters) -> DataFrame:
 
 
 def selections(seeded: DataFrame, clusters: Clusters, mode: str, cap: int = CAP) -> DataFrame:
-    """q_id, v, cluster_id: the clusters to refine with, from rows q_id, v, probed, worst (null: fewer than k rows seen)."""
+    """q_id, v, worst, cluster_id: the clusters to refine with, from rows q_id, v, probed, worst (null: fewer than k rows seen)."""
     shared = seeded.sparkSession.sparkContext.broadcast(clusters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,43 +96,42 @@ def selections(seeded: DataFrame, clusters: Clusters, mode: str, cap: int = CAP)
                     found.append(c.ids[others])
                 if rows:
                     taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(np.concatenate(found))], names=["q_id", "v", "cluster_id"])
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(3), pa.array(np.concatenate(found))], names=["q_id", "v", "worst", "cluster_id"])
 
-    return seeded.select("q_id", "v", "probed", "worst").mapInArrow(run, "q_id bigint, v array<int>, cluster_id int")
+    return seeded.select("q_id", "v", "probed", "worst").mapInArrow(run, "q_id bigint, v array<int>, worst bigint, cluster_id int")
 
 
 def within(refs: DataFrame, selected: DataFrame) -> DataFrame:
-    """The references of the clusters that ``selected`` (a written table) names: the others' files are not read.
+    """The references of the clusters that ``selected`` (a written table) names; the others' files are pruned when the query runs.
 
     There are at most as many ids as clusters, which an index bounds.
     """
-    ids = [r["cluster_id"] for r in selected.select("cluster_id").distinct().collect()]
-    return refs.filter(F.col("cluster_id").isin(ids))
+    return refs.join(F.broadcast(selected.filter("cluster_id >= 0").select("cluster_id").distinct()), "cluster_id", "left_semi")
 
 
-def scan(selected: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
-    """q_id, ref_id, d, is_fraud: each task's k nearest of each query in its selected clusters, but for the query itself."""
-    return nearest(selected, within(refs, selected).withColumnRenamed("q", "v"), k)
+def scan(selected: DataFrame, refs: DataFrame, k: int = K, few: int = FEW_QUERIES) -> DataFrame:
+    """q_id, ref_id, d, is_fraud: lists with the k nearest of each query in its selected clusters, but for the query itself."""
+    return nearest(selected, within(refs, selected).withColumnRenamed("q", "v"), k, few=few)
 
 
 class Search:
     """The steps of a search; seed and selection are written tables, as each is used twice."""
 
-    def __init__(self, queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> None:
+    def __init__(self, queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP, few: int = FEW_QUERIES) -> None:
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         clusters = Clusters(index)
         self.probe = written(probes(queries, clusters), "probes")
-        self.seed = written(top_k(scan(self.probe, index.refs, k), k).drop("rank"), "seeds")
+        self.seed = written(top_k(scan(self.probe, index.refs, k, few), k).drop("rank"), "seeds")
         worst = self.seed.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("worst"))
         seeded = self.probe.withColumnRenamed("cluster_id", "probed").join(worst, "q_id", "left")
         self.selected = written(selections(seeded, clusters, mode, cap), "selected")
 
 
-def search(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> DataFrame:
+def search(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP, few: int = FEW_QUERIES) -> DataFrame:
     """q_id, ref_id, d, is_fraud, rank for each of ``queries`` (q_id, v integers)."""
-    s = Search(queries, index, mode, k, cap)
-    return top_k(s.seed.unionByName(scan(s.selected, index.refs, k)), k)
+    s = Search(queries, index, mode, k, cap, few)
+    return top_k(s.seed.unionByName(scan(s.selected, index.refs, k, few)), k)
 
 
 def search_cost(queries: DataFrame, index: Index, mode: str = "exact", k: int = K, cap: int = CAP) -> DataFrame:
@@ -135,3 +139,49 @@ def search_cost(queries: DataFrame, index: Index, mode: str = "exact", k: int =
     s = Search(queries, index, mode, k, cap)
     chosen = s.selected.groupBy("q_id").agg(F.count(F.lit(1)).alias("refined"))
     return s.probe.select("q_id").join(chosen, "q_id", "left").select("q_id", F.coalesce("refined", F.lit(0)).alias("refined"))
+
+
+def spread(refs: DataFrame, vector: str = "q") -> np.ndarray:
+    """The dimensions of integer vectors, those of the largest variance first, of equals the first.
+
+    Tasks add up their own rows; n * sum of squares - square of sum is exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares = 0, 0, 0
+        for batch in batches:
+            x = matrix(batch.column(0), np.int64)
+            if len(x):
+                n, sums, squares = n + len(x), sums + x.sum(axis=0), squares + (x * x).sum(axis=0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([n] * len(sums)), pa.array(sums), pa.array(squares)], names=["dim", "n", "s", "ss"])
+
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    rows = refs.select(vector).mapInArrow(run, "dim int, n bigint, s bigint, ss bigint").groupBy("dim").agg(total("n"), total("s"), total("ss")).collect()
+    return np.array([r["dim"] for r in sorted(rows, key=lambda r: (int(r["s"]) ** 2 - int(r["n"]) * int(r["ss"]), r["dim"]))], np.int64)
+
+
+def elimination(queries: DataFrame, index: Index, k: int = K) -> DataFrame:
+    """q_id, compared, dropped: the references of the refining clusters, and those whose partial distance, over the half of the dimensions that spread most, is beyond the worst seed."""
+    s = Search(queries, index, "exact", k)
+    half = spread(index.refs)[: index.dims // 2]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, vectors, worst, _ = _asked(left)
+        counts = np.zeros((2, len(ids)), np.int64)
+        if len(ids) and right.num_rows:
+            own, r = _numbers(right.column("ref_id")), matrix(pa.concat_arrays(right.column("v").chunks))
+            for at in range(0, len(own), 2048):
+                for first in range(0, len(ids), 512):
+                    who = slice(first, first + 512)
+                    other = ids[who, None] != own[None, at : at + 2048]
+                    part = partial_distances(vectors[who][:, half], r[at : at + 2048][:, half])
+                    counts[0, who] += other.sum(axis=1)
+                    counts[1, who] += (other & (part > worst[who, None])).sum(axis=1)
+        return pa.table({"q_id": ids, "compared": counts[0], "dropped": counts[1]})
+
+    refs = within(index.refs, s.selected).select("ref_id", F.col("q").alias("v"), "is_fraud", "cluster_id")
+    each = in_cells(s.selected, refs, run, "q_id bigint, compared bigint, dropped bigint")
+    found = each.groupBy("q_id").agg(F.sum("compared").alias("compared"), F.sum("dropped").alias("dropped"))
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return s.probe.select("q_id").join(found, "q_id", "left").select("q_id", count("compared"), count("dropped"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vicinal.functions import vectors
 from vicinal.operators.knn import matrix
 from vicinal.operators.sampling import stride_sample
+from vicinal.session import written
 
 MOST_CLUSTERS = 65_536
 ITERATIONS = 40
@@ -53,7 +54,9 @@ def assign(rows: DataFrame, centroids: np.ndarray, vector: str = "v") -> DataFra
 
 def assign_sql(rows: DataFrame, centroids: DataFrame, vector: str = "v") -> DataFrame:
     """As ``assign`` with integer vectors and a table of centroids (cluster_id, centroid), in expressions only, exact."""
-    table = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("_c")))
+    all_ = F.array_sort(F.collect_list(F.struct("cluster_id", "centroid")))
+    few = F.when(F.size(all_) <= MOST_CLUSTERS, all_).otherwise(F.raise_error(F.lit(f"more than {MOST_CLUSTERS} centroids")))
+    table = F.broadcast(centroids.agg(few.alias("_c")))
     distances = F.transform("_c", lambda c: F.struct(vectors.l2_sq(F.col(vector), c["centroid"]).alias("d"), c["cluster_id"].alias("cluster_id")))
     best = F.array_min(distances)
     return rows.join(table).withColumn("_best", best).withColumn("cluster_id", F.col("_best.cluster_id")).withColumn("dist_sq", F.col("_best.d")).drop("_c", "_best")
@@ -193,8 +196,10 @@ def inverse_cdf_pick(weighted: DataFrame, share: float, ranges: int = 256, few:
     """The first row by ref_id at which the running sum of min_d2 reaches ``share`` of the total, with that sum.
 
     Sums over ranges of ids tell in which range the mark is crossed; that range
-    is cut again until it has few ids, and only then its rows are sorted.
+    is cut again until it has few ids, and only then its rows are sorted. The
+    distances are written first, as each cut reads them.
     """
+    weighted = written(weighted, "weighted")
     seen = weighted.agg(F.sum("min_d2").alias("t"), F.min("ref_id").alias("lo"), F.max("ref_id").alias("hi")).first()
     if seen["t"] is None:
         return weighted.withColumn("running", F.lit(0).cast("bigint")).limit(0)

@@ -1,24 +1,43 @@
-"""Exact nearest neighbours by brute force, votes and responses.
-
-The query set is stated and small against the references: it goes to every
-task in blocks of bounded size, each task keeps its own best ``k`` for each
-query, and only those meet in the final top-k. References are read once a
-block and never shuffled.
+"""Exact nearest neighbours: a distributed k-NN join, votes and responses.
+
+A few queries (at most ``FEW_QUERIES``, which is checked) go to every task:
+references are compared where they lie, in one pass and without a shuffle.
+
+More queries are joined. Queries and references of a cluster (all rows, where
+there are no clusters) are dealt into a grid by hashes of their ids: ``g``
+parts of at most about ``CELL_ROWS`` queries, ``h`` of as many references, so a
+cell (cluster, g, h) is bounded however large a cluster is. Each query goes to
+the h cells of its part, each reference to the g cells of its own; Spark
+co-groups the cells, each gives its queries' best ``k``, and those lists meet
+in one top-k. Nothing but the numbers of rows by cluster passes the driver.
+
+In a task, distances are worked out in two steps. The first takes the half of
+the dimensions that spread most; a pair whose partial distance is beyond the
+worst neighbour kept for its query is dropped there, which loses nothing, since
+the other half only adds to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.session import written
+
 K = 5
 #: Votes below this share approve.
 APPROVE_BELOW = 0.6
-BLOCK_QUERIES = 4096
+#: Query sets of up to so many rows are sent to all tasks.
+FEW_QUERIES = 4096
+#: Queries, and references, in a cell of the join; those compared at once.
+CELL_ROWS = 65_536
+QUERY_SLICE, REF_SLICE = 512, 2048
+#: Where more than this share of pairs is still open, whole distances of all are cheaper than of each.
+MANY_OPEN = 0.25
 NEIGHBOURS = "q_id bigint, ref_id bigint, d {kind}, is_fraud boolean"
 
 
@@ -35,96 +54,171 @@ def top_k(candidates: DataFrame, k: int = K, distance: str = "d") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray, exact: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query place, row place and squared distance of all rows that may be among the k nearest of a query.
-
-    own marks pairs that are no neighbours. Products of matrices sort out, with
-    room for their rounding; distances of what is left are sums of squares.
+def spread_order(rows: np.ndarray) -> np.ndarray:
+    """Dimensions, those that spread most first; of equals the first."""
+    return np.argsort(-rows.var(axis=0), kind="stable") if len(rows) else np.arange(rows.shape[1])
+
+
+def partial_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, by a product of matrices (exact for integers below 2**53)."""
+    return (q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2 * q @ r.T
+
+
+class Lists:
+    """The k best of each of a task's queries (ids, vectors; worst: a distance beyond which nothing is wanted)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exact: bool, worst: np.ndarray | None = None) -> None:
+        self.ids, self.vectors, self.k, self.exact = ids, vectors, k, exact
+        self.worst = np.full(len(ids), np.inf) if worst is None else worst.astype(np.float64)
+        self.order: np.ndarray | None = None
+        self.held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)]
+        self.pairs = self.dropped = 0
+
+    def add(self, who: np.ndarray, ids: np.ndarray, r: np.ndarray, fraud: np.ndarray) -> None:
+        """Compare references with the queries at the places ``who``."""
+        if self.order is None and len(r):
+            self.order = spread_order(r)
+        for at in range(0, len(r), REF_SLICE):
+            own = slice(at, at + REF_SLICE)
+            found = [self._close(who[first : first + QUERY_SLICE], ids[own], r[own], fraud[own]) for first in range(0, len(who), QUERY_SLICE)]
+            self.held = [np.concatenate(x) for x in zip(self.held, *found, strict=True)]
+            self._cut()
+
+    def _close(self, who: np.ndarray, ids: np.ndarray, r: np.ndarray, fraud: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query places, distances, ids and labels of the pairs that may be among the k best."""
+        q, worst, half = self.vectors[who], self.worst[who, None], self.order[: len(self.order) // 2]
+        same = self.ids[who, None] == ids[None, :]
+        # Products round where numbers are no integers; what they drop is beyond the rounding.
+        room = 0.0 if self.exact else 1e-9 * ((q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1).max(initial=0))
+        limited = len(half) and np.isfinite(worst).any()
+        d = partial_distances(q[:, half], r[:, half]) if limited else np.zeros(same.shape)
+        open_ = ~same & (d <= worst + room)
+        self.pairs += same.size
+        self.dropped += same.size - int(open_.sum())
+        if open_.mean() > MANY_OPEN:
+            rest = self.order[len(half) :] if limited else self.order
+            d = np.where(open_, d + partial_distances(q[:, rest], r[:, rest]), np.inf)
+            bound = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.full(worst.shape, np.inf)
+            open_ &= d <= np.minimum(bound, worst) + room
+        i, j = np.nonzero(open_)
+        gap = q[i] - r[j]
+        d = (gap * gap).sum(axis=1)
+        keep = d <= worst[i, 0] if self.exact else slice(None)
+        return who[i][keep], d[keep], ids[j][keep], fraud[j][keep]
+
+    def _cut(self) -> None:
+        """Only the first k of each query by (distance, id) stay; the k-th is the worst that is wanted."""
+        i, d, ids, _ = self.held
+        order = np.lexsort((ids, d, i))
+        place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+        keep, last = order[place < self.k], order[place == self.k - 1]
+        self.worst[i[last]] = np.minimum(self.worst[i[last]], d[last])
+        self.held = [x[keep] for x in self.held]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        i, d, ids, fraud = self.held
+        if len(i):
+            d = np.rint(d).astype(np.int64) if self.exact else d
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(ids), pa.array(d), pa.array(fraud.astype(bool))], names=["q_id", "ref_id", "d", "is_fraud"])
+
+
+def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors and worst of distinct queries, and the place of each row's query among them."""
+    ids, first, place = np.unique(rows.column("q_id").to_numpy(), return_index=True, return_inverse=True)
+    vectors = matrix(pa.concat_arrays(rows.column("v").chunks)) if rows.num_rows else np.zeros((0, 0))
+    worst = rows.column("worst").to_numpy().astype(np.float64) if rows.num_rows else np.zeros(0)
+    return ids, vectors[first], np.where(np.isnan(worst[first]), np.inf, worst[first]), place
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def _by_few(asked: pa.Table, refs: DataFrame, k: int, exact_ints: bool, schema: str) -> DataFrame:
+    ids, vectors, worst, place = _asked(asked)
+    cluster = _numbers(asked.column("cluster_id"))
+    of = {int(c): place[cluster == c] for c in np.unique(cluster)}
+    shared = refs.sparkSession.sparkContext.broadcast((ids, vectors, worst, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, worst, of = shared.value
+        lists = Lists(ids, vectors, k, exact_ints, worst.copy())
+        for batch in batches if len(ids) else ():
+            own, r, fraud, clusters = _numbers(batch.column(0)), matrix(batch.column(1)), _numbers(batch.column(2)), _numbers(batch.column(3))
+            for c in np.unique(clusters).tolist():
+                if c in of:
+                    rows = clusters == c
+                    lists.add(of[c], own[rows], r[rows], fraud[rows])
+        yield from lists.batches()
+
+    return refs.mapInArrow(run, schema)
+
+
+def cells(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """cluster_id, g, h: the parts into which a cluster's queries and references are dealt, of clusters that have both; a written table of a row a cluster."""
+    count = lambda df, name: df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(name))
+    parts = lambda name: F.ceil(F.col(name) / CELL_ROWS).cast("int").alias(name)
+    return written(count(queries, "g").join(count(refs, "h"), "cluster_id").select("cluster_id", parts("g"), parts("h")), "cells")
+
+
+def in_cells(queries: DataFrame, refs: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on the queries (q_id, v, worst, cluster_id) and the references (ref_id, v, is_fraud, cluster_id) of every cell.
+
+    Where references are files by cluster, the join with the grid prunes those
+    of clusters without queries when it runs.
     """
-    norms, others = (q * q).sum(axis=1)[:, None], (r * r).sum(axis=1)[None, :]
-    d = norms + others - 2 * q @ r.T
-    d[own] = np.inf
-    bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(q), 1), np.inf)
-    room = 0 if exact else 1e-9 * (norms + others.max(initial=0))
-    i, j = np.nonzero((d <= bound + room) & ~own)
-    gap = q[i] - r[j]
-    return i, j, (gap * gap).sum(axis=1)
-
-
-def _kept(i: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the first k of each query by (distance, id)."""
-    order = np.lexsort((ids, d, i))
-    first = np.searchsorted(i[order], i[order])
-    return order[np.arange(len(order)) - first < k]
-
-
-class Asked:
-    """A block of queries in a task: their ids and vectors, and which of them look into which cluster (None: all into all)."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        ids = rows.column("q_id").to_numpy()
-        self.ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
-        self.vectors = matrix(rows.column("v").combine_chunks())[first] if len(ids) else np.zeros((0, 0))
-        self.of: dict[int, np.ndarray] | None = None
-        if "cluster_id" in rows.schema.names:
-            cluster = rows.column("cluster_id").to_numpy()
-            self.of = {int(c): place[cluster == c] for c in np.unique(cluster)}
-
-    def looked_into(self, clusters: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places of queries, places of rows) that meet, of rows in the given clusters."""
-        if self.of is None or clusters is None:
-            yield np.arange(len(self.ids)), slice(None)
-            return
-        for c in np.unique(clusters).tolist():
-            if c in self.of:
-                yield self.of[c], np.flatnonzero(clusters == c)
-
-
-def nearest(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True) -> DataFrame:
-    """q_id, ref_id, d, is_fraud: of each task, the k nearest of its ``refs`` (ref_id, v, is_fraud) for each of ``queries`` (q_id, v).
+    grid = F.broadcast(cells(queries, refs).filter("g > 0"))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = queries.join(grid, "cluster_id").select("q_id", "v", "worst", "cluster_id", part("q_id", "g").alias("gi"), every("h").alias("hi"))
+    held = refs.join(grid, "cluster_id").select("ref_id", "v", "is_fraud", "cluster_id", every("g").alias("gi"), part("ref_id", "h").alias("hi"))
+    cell = ("cluster_id", "gi", "hi")
+    return asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(run, schema)
+
+
+def _by_cells(queries: DataFrame, refs: DataFrame, k: int, exact_ints: bool, schema: str) -> DataFrame:
+    none = pa.schema([("q_id", pa.int64()), ("ref_id", pa.int64()), ("d", pa.int64() if exact_ints else pa.float64()), ("is_fraud", pa.bool_())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, vectors, worst, _ = _asked(left)
+        lists = Lists(ids, vectors, k, exact_ints, worst)
+        if len(ids) and right.num_rows:
+            lists.add(np.arange(len(ids)), _numbers(right.column("ref_id")), matrix(pa.concat_arrays(right.column("v").chunks)), _numbers(right.column("is_fraud")))
+        return pa.Table.from_batches(lists.batches(), none)
+
+    return in_cells(queries, refs, run, schema)
+
+
+def nearest(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True, few: int = FEW_QUERIES) -> DataFrame:
+    """q_id, ref_id, d, is_fraud: lists that hold, together, the k nearest of ``refs`` (ref_id, v, is_fraud) for each of ``queries`` (q_id, v).
 
     If both have a cluster_id, a query meets the references of its clusters
-    only. Queries go to all tasks in blocks of about ``BLOCK_QUERIES`` rows;
-    references are read where they lie.
+    only. A column ``worst`` of the queries, where it is not null, is a distance
+    beyond which no neighbour is wanted. Query sets of at most ``few`` rows are
+    sent to all tasks, larger ones joined.
     """
-    spark = refs.sparkSession
-    kind = "bigint" if exact_ints else "double"
-    clusters = ["cluster_id"] if "cluster_id" in queries.columns else []
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    out = None
-    for block in range(blocks):
-        own = queries.select("q_id", "v", *clusters).filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Asked(own.toArrow()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked = shared.value
-            held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)]
-            for batch in batches:
-                for at in range(0, batch.num_rows if len(asked.ids) else 0, 2048):
-                    piece = batch.slice(at, 2048)
-                    ids, r, fraud = piece.column(0).to_numpy(), matrix(piece.column(1)), piece.column(2).to_numpy(zero_copy_only=False)
-                    for who, rows in asked.looked_into(piece.column(3).to_numpy() if clusters else None):
-                        for some in (who[first : first + 512] for first in range(0, len(who), 512)):
-                            i, j, d = _nearest(asked.vectors[some], r[rows], asked.ids[some, None] == ids[rows][None, :], exact_ints, k)
-                            held = [np.concatenate(x) for x in zip(held, (some[i], d, ids[rows][j], fraud[rows][j]), strict=True)]
-                    keep = _kept(held[0], held[1], held[2], k)
-                    held = [x[keep] for x in held]
-            if len(held[0]):
-                d = np.rint(held[1]).astype(np.int64) if exact_ints else held[1]
-                yield pa.RecordBatch.from_arrays([pa.array(asked.ids[held[0]]), pa.array(held[2]), pa.array(d), pa.array(held[3].astype(bool))], names=["q_id", "ref_id", "d", "is_fraud"])
-
-        part = refs.select("ref_id", "v", "is_fraud", *clusters).mapInArrow(run, NEIGHBOURS.format(kind=kind))
-        out = part if out is None else out.union(part)
-    return out
-
-
-def brute_force(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True) -> DataFrame:
+    schema = NEIGHBOURS.format(kind="bigint" if exact_ints else "double")
+    both = "cluster_id" in queries.columns and "cluster_id" in refs.columns
+    cluster = F.col("cluster_id").cast("int") if both else F.lit(0)
+    worst = F.col("worst").cast("double") if "worst" in queries.columns else F.lit(None).cast("double")
+    queries = queries.select("q_id", "v", worst.alias("worst"), cluster.alias("cluster_id"))
+    # Under names of their own: queries are often rows of the same table.
+    refs = refs.select(*(F.col(c).alias(c) for c in ("ref_id", "v", "is_fraud")), cluster.alias("cluster_id"))
+    if few:
+        first = queries.limit(few + 1).toArrow()
+        if first.num_rows <= few:
+            return _by_few(first, refs, k, exact_ints, schema)
+    return _by_cells(queries, refs, k, exact_ints, schema)
+
+
+def brute_force(queries: DataFrame, refs: DataFrame, k: int = K, exact_ints: bool = True, few: int = FEW_QUERIES) -> DataFrame:
     """q_id, ref_id, d, is_fraud, rank: the k nearest of ``refs`` (ref_id, v, is_fraud) for each of ``queries`` (q_id, v).
 
     With integer vectors distances are exact: all terms stay below 2**53. A
     reference with the query's own id is not its neighbour.
     """
-    return top_k(nearest(queries, refs, k, exact_ints), k)
+    queries, refs = queries.drop("cluster_id"), refs.drop("cluster_id")
+    return top_k(nearest(queries, refs, k, exact_ints, few), k)
 
 
 def vote(neighbours: DataFrame, k: int = K) -> DataFrame:
