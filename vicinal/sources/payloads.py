@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.sources.arrays import read_objects
+
 
 def slices(texts: DataFrame, column: str = "value") -> DataFrame:
     """``texts`` of JSON arrays with one row an element: its place ``pos`` and its text ``payload``."""
@@ -13,8 +15,8 @@ def slices(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_payload_array(spark: SparkSession, path: str) -> DataFrame:
-    """pos, value: the objects of files that hold one JSON array each."""
-    return slices(spark.read.text(path, wholetext=True)).select("pos", F.col("payload").alias("value"))
+    """file, pos, value: the objects of files that hold one JSON array each; a large file is read by many tasks."""
+    return read_objects(spark, path)
 
 
 def read_payload_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,14 +31,12 @@ def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     """value, expected_approved, expected_fraud_score: the entries of a labelled test corpus.
 
     The corpus is one object a file with its ``entries``, or with ``lines`` an
-    entry a line, which many tasks can read.
+    entry a line. Either way a large file is read by many tasks. In the first
+    form the entries are the objects at the second level that have a request.
     """
-    if lines:
-        found = spark.read.text(path).select(F.explode(F.array(F.from_json("value", ENTRY))).alias("e"))
-    else:
-        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"references_checksum_sha256 string, entries array<struct<{ENTRY}>>").alias("c"))
-        found = whole.select(F.explode("c.entries").alias("e"))
-    return found.select(F.col("e.request").alias("value"), "e.expected_approved", "e.expected_fraud_score")
+    texts = spark.read.text(path) if lines else read_objects(spark, path, 2)
+    found = texts.select(F.explode(F.array(F.from_json("value", ENTRY))).alias("e"))
+    return (found if lines else found.filter("e.request is not null")).select(F.col("e.request").alias("value"), "e.expected_approved", "e.expected_fraud_score")
 
 
 def write_corpus(entries: DataFrame, path: str) -> None:
