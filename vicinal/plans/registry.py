@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinal.plans import table_queries, vector_queries
+from vicinal.plans import stream_queries, table_queries, vector_queries
 
-QUERIES: dict = vector_queries.QUERIES | table_queries.QUERIES
-ORACLE_SQL: dict[str, str] = vector_queries.ORACLE_SQL | table_queries.ORACLE_SQL
+QUERIES: dict = vector_queries.QUERIES | table_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL: dict[str, str] = vector_queries.ORACLE_SQL | table_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
