@@ -36,6 +36,25 @@ def nearest_rank(rows: DataFrame, group: list[str], value: str, shares: dict[str
     return upto.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") > place(p), F.col(value))).alias(name) for name, p in shares.items()))
 
 
+#: Of a sketch of size 200, how far a rank may be off, as a share of all rows (99 % of the time; Karnin, Lang and Liberty 2016).
+SKETCH_SIZE, SKETCH_ERROR = 200, 0.0133
+
+
+def sketches(rows: DataFrame, group: list[str], value: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """group, n, sketch: the integers of each group as a KLL sketch of bounded size, put together from those that tasks make."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint(F.col(value), F.lit(size)).alias("sketch"))
+
+
+def merged_sketches(found: DataFrame, group: list[str]) -> DataFrame:
+    """Sketches of smaller groups, merged: windows of snapshots, days of a month."""
+    return found.groupBy(*group).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketch_quantiles(found: DataFrame, group: list[str], shares: dict[str, float]) -> DataFrame:
+    """group, n and the value at each share, by the sketch: its rank is within ``SKETCH_ERROR`` of the share."""
+    return found.select(*group, "n", *(F.kll_sketch_get_quantile_bigint("sketch", F.lit(p)).alias(name) for name, p in shares.items()))
+
+
 def log2_histogram(rows: DataFrame, group: list[str], bucket: Column) -> DataFrame:
     """group, bucket, n."""
     return rows.groupBy(*group, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions import scalars, vectors
-from vicinal.operators import evaluate, features, scoring
+from vicinal.operators import evaluate, features, scoring, windows
 from vicinal.operators.index import Index
 from vicinal.plans.vector_queries import start_index
 from vicinal.session import new_path, spread, table, written
@@ -44,15 +44,15 @@ def hour_weekday_features(spark, sf_dir):
 
 
 def minutes_since_last_event(spark, sf_dir):
-    before = F.lag("sec").over(Window.partitionBy("user_id").orderBy("sec", "event_id"))
-    minutes = F.floor((F.col("sec") - before) / 60)
-    value = F.when(before.isNull(), F.lit(-1.0)).otherwise(scalars.scaled(minutes, 1440).cast("double"))
-    return _events(spark, sf_dir).select("event_id", F.round(value, 6).alias("minutes_since_last"))
+    found = windows.since_last(_events(spark, sf_dir), ["user_id"], "sec", "event_id")
+    minutes = F.floor((F.col("sec") - F.col("last_sec")) / 60)
+    value = F.when(F.col("last_sec").isNull(), F.lit(-1.0)).otherwise(scalars.scaled(minutes, 1440).cast("double"))
+    return found.select("event_id", F.round(value, 6).alias("minutes_since_last"))
 
 
 def tx_count_24h(spark, sf_dir):
-    window = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-86_400, 0)
-    return _events(spark, sf_dir).select("event_id", (F.count(F.lit(1)).over(window) - 1).alias("count_24h"))
+    found = windows.count_within(_events(spark, sf_dir).select("event_id", "user_id", "sec"), ["user_id"], "sec", 86_400, "count_24h")
+    return found.select("event_id", (F.col("count_24h") - 1).alias("count_24h"))
 
 
 def risk_lookup_default(spark, sf_dir):
@@ -115,6 +115,25 @@ def payload_strict_validation(spark, sf_dir):
     return rows.select("o_orderkey", F.coalesce("reason", F.lit("valid")).alias("reason"))
 
 
+#: What the literals query puts into a valid payload, by its key modulo their number: (pattern, replacement).
+LITERALS = (
+    ('"is_online":(true|false)', '"is_online":True'), ('"is_online":(true|false)', '"is_online":1'), ('"amount":[-0-9.Ee]+', '"amount":-5.5'),
+    (r'"mcc":"[0-9]', r'"mcc":"\\u0034'), ('"km_from_home":[-0-9.Ee]+', '"km_from_home":+1.5'), ('"km_from_home":[-0-9.Ee]+', '"km_from_home":2.5e2'),
+    ('"tx_count_24h":[0-9]+', '"tx_count_24h":4294967295'), ('"tx_count_24h":[0-9]+', '"tx_count_24h":4294967296'), ('"km_from_home":[-0-9.Ee]+', '"km_from_home":-7'),
+)
+
+
+def payload_literals(spark, sf_dir):
+    """Reasons and features of valid payloads with another literal in them: booleans, signs, exponents, escapes, the ends of ranges."""
+    rows = features.vectorize(payload_rows(spark, sf_dir)).filter("reason is null").select("o_orderkey", "value")
+    kind, value = F.col("o_orderkey") % len(LITERALS), F.col("value")
+    for i, (pattern, literal) in enumerate(LITERALS):
+        value = F.when(kind == i, F.regexp_replace("value", pattern, literal)).otherwise(value)
+    found = features.vectorize(rows.select("o_orderkey", value.alias("value")))
+    at = lambda name: F.round(F.col("features")[features.FEATURES.index(name)].cast("double"), 5).alias(name)
+    return found.select("o_orderkey", F.coalesce("reason", F.lit("valid")).alias("reason"), *map(at, ("amount", "km_from_home", "tx_count_24h", "mcc_risk")))
+
+
 def payload_index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of all valid payloads but the requests: their features, labelled by their orders' priority."""
     rows = features.vectorize(payload_rows(spark, sf_dir).filter("o_orderkey % 100 <> 0")).filter("reason is null")
@@ -154,8 +173,8 @@ def payload_array_files(spark, sf_dir):
     arrays = _events(spark, sf_dir).groupBy((F.col("event_id") % 7).alias("part")).agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("a"))
     path = new_path(spark, "arrays")
     arrays.select("part", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["props"]), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
-    k = F.get_json_object("value", "$.k").cast("bigint")
-    return payloads.read_payload_array(spark, path).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"))
+    part = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("bigint")
+    return payloads.read_payload_array(spark, path).select(part.alias("part"), "pos", F.get_json_object("value", "$.k").cast("bigint").alias("k"))
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +193,19 @@ def percentile_nearest_rank(spark, sf_dir):
     return evaluate.nearest_rank(_values(spark, sf_dir), ["event_type"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of each event type from sketches of its days, merged; within: the rank is no further off than the sketch's bound."""
+    rows = _events(spark, sf_dir).select("event_type", F.floor(F.col("sec") / 86_400).alias("day"), F.floor(F.abs("value") * 100).cast("bigint").alias("v"))
+    days = written(evaluate.sketches(rows, ["event_type", "day"], "v"), "sketches")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = evaluate.sketch_quantiles(evaluate.merged_sketches(days, ["event_type"]), ["event_type"], shares)
+    each = found.select("event_type", "n", F.explode(F.map_from_arrays(F.array(*map(F.lit, shares.values())), F.array(*shares))).alias("share", "x"))
+    counts = rows.groupBy("event_type", "v").agg(F.count(F.lit(1)).alias("m"))
+    ranks = each.join(counts, "event_type").groupBy("event_type", "n", "share", "x").agg(F.sum(F.when(F.col("v") < F.col("x"), F.col("m")).otherwise(0)).alias("less"), F.sum(F.when(F.col("v") <= F.col("x"), F.col("m")).otherwise(0)).alias("upto"))
+    room, want = F.lit(evaluate.SKETCH_ERROR) * F.col("n") + 1, F.col("share") * F.col("n")
+    return ranks.select("event_type", "n", "share", ((F.col("less") <= want + room) & (F.col("upto") >= want - room)).alias("within"))
+
+
 def latency_summary(spark, sf_dir):
     s = evaluate.summary(_values(spark, sf_dir), ["event_type"], "v")
     return s.select("event_type", "n", "least", "most", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
@@ -217,19 +249,19 @@ def metrics_summary(spark, sf_dir):
 
 
 def metrics_timeline(spark, sf_dir):
-    """What is read back from a timeline of snapshots, in two appends."""
-    s = _snapshots(spark, sf_dir)
-    b = _bucket_snapshots(spark, sf_dir).filter("event_type = 'click'").groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("string"), "n"))).alias("m"))
-    rows = s.join(b, F.floor(F.col("sec") / 86_400) - 1 == F.col("day")).select(
+    """What is read back from a timeline of snapshots with the buckets of all event types, in two appends."""
+    b = _bucket_snapshots(spark, sf_dir).groupBy("event_type", "day").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("string"), "n"))).alias("m"))
+    b = b.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "m"))).alias("b"))
+    rows = _snapshots(spark, sf_dir).join(b, F.floor(F.col("sec") / 86_400) - 1 == F.col("day"), "left").select(
         F.concat(F.lit("instance-"), "instance").alias("label"), F.col("sec").alias("sample"), F.lit(86_400.0).alias("dt_s"),
-        F.create_map(F.lit("requests"), "requests", F.lit("errors"), "errors").alias("counters"), F.create_map(F.lit("clicks"), "m").alias("buckets"),
+        F.create_map(F.lit("requests"), "requests", F.lit("errors"), "errors").alias("counters"), F.col("b").alias("buckets"),
     )
     path = new_path(spark, "timeline")
     for odd in (0, 1):
-        metrics_text.write_timeline(rows.filter(F.col("label").endswith("1") | F.col("label").endswith("3") if odd else ~(F.col("label").endswith("1") | F.col("label").endswith("3"))), path)
+        metrics_text.write_timeline(rows.filter(F.substring("label", -1, 1).cast("int") % 2 == odd), path)
     back = metrics_text.read_timeline(spark, path)
-    n = F.aggregate(F.map_values(F.col("buckets")["clicks"]), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return back.select("label", "sample", F.col("counters")["requests"].alias("requests"), F.col("counters")["errors"].alias("errors"), n.alias("clicks"))
+    entries = back.select("label", "sample", F.col("counters")["requests"].alias("requests"), F.col("counters")["errors"].alias("errors"), F.explode_outer("buckets").alias("event_type", "m"))
+    return entries.select("label", "sample", "requests", "errors", "event_type", F.explode_outer("m").alias("bucket", "n"))
 
 
 def run_stats(spark, sf_dir):
@@ -264,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clamp01_normalize, ratio_zero_guard, hour_weekday_features, minutes_since_last_event, tx_count_24h, risk_lookup_default, unknown_member_flag,
-        json_payload_extract, payload_validation, payload_strict_validation, payload_vectorize_14, payload_score, payload_score_stream, corpus_evaluation, payload_array_files, log2_histogram, histogram_quantile, percentile_nearest_rank, latency_summary,
+        json_payload_extract, payload_validation, payload_strict_validation, payload_literals, payload_vectorize_14, payload_score, payload_score_stream, corpus_evaluation, payload_array_files, log2_histogram, histogram_quantile, percentile_nearest_rank, sketch_quantiles, latency_summary,
         snapshot_deltas, snapshot_rates, window_quantiles, metrics_summary, metrics_timeline, run_stats, record_count, payload_slices, metrics_text_round_trip,
     )
 }
@@ -344,19 +376,24 @@ ORACLE_SQL = {
     "payload_validation": f"WITH {_O} SELECT o_orderkey, reason FROM o",
     "payload_strict_validation": f"""WITH {_O} SELECT o_orderkey, CASE WHEN reason IN ('malformed', 'missing_field') OR o_orderkey % 71 = 0 OR o_orderkey % 67 = 0 OR o_orderkey % 85 = 0
         OR o_orderkey % 15 - CASE WHEN o_orderkey % 97 = 0 THEN 100 ELSE 0 END < 0 THEN 'not_strict' ELSE reason END AS reason FROM o""",
+    "payload_literals": f"""WITH {_O}, l AS (SELECT *, o_orderkey % {len(LITERALS)} AS kind FROM o WHERE reason = 'valid'), c AS (
+        SELECT o_orderkey, CASE WHEN kind IN (0, 1, 4) THEN 'malformed' WHEN kind = 7 THEN 'invalid_number' ELSE 'valid' END AS reason,
+            CASE WHEN kind = 2 THEN -5.5 ELSE o_totalprice / 10 END AS a, CASE WHEN kind = 5 THEN 250 WHEN kind = 8 THEN -7 ELSE o_totalprice / 300 END AS km,
+            CASE WHEN kind = 6 THEN 4294967295 ELSE o_custkey % 25 END AS tx, CASE WHEN kind = 3 THEN '4' || substr(mcc, 2) ELSE mcc END AS mcc FROM l)
+        SELECT o_orderkey, reason, """ + ", ".join(f"CASE WHEN reason = 'valid' THEN {x} END AS {name}" for x, name in ((_f("a", 10000, 5), "amount"), (_f("km", 1000, 5), "km_from_home"), (_f("tx", 20, 5), "tx_count_24h"), (f"round(CAST(CAST({_RISKS} AS FLOAT) AS DOUBLE), 5)", "mcc_risk"))) + " FROM c",
     "payload_vectorize_14": f"WITH {_O} SELECT o_orderkey, " + ", ".join(f"round(CAST({x} AS DOUBLE), 5) AS {name}" for x, name in zip(_14, features.FEATURES, strict=True)) + " FROM o WHERE reason = 'valid'",
     "payload_score": f"WITH {_ANSWERS} SELECT q_id, reason, votes, fraud_score, approved, response FROM answers",
     "payload_score_stream": f"WITH {_ANSWERS} SELECT q_id, reason, votes, fraud_score, approved, response FROM answers",
     "corpus_evaluation": f"""WITH {_ANSWERS} SELECT count(*) AS total, count(*) FILTER (NOT is_fraud AND approved) AS approved_right, count(*) FILTER (is_fraud AND NOT approved) AS denied_right,
         count(*) FILTER (is_fraud AND approved) AS approved_wrong, count(*) FILTER (NOT is_fraud AND NOT approved) AS denied_wrong, count(*) FILTER (approved IS NULL) AS errors,
         round(count(*) FILTER (approved = NOT is_fraud) / count(*), 6) AS accuracy FROM answers""",
-    "payload_array_files": """WITH p AS (SELECT row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS pos, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-        SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM p GROUP BY pos""",
+    "payload_array_files": "SELECT event_id % 7 AS part, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS pos, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "log2_histogram": f"WITH {_H} SELECT event_type, CAST(bucket AS INTEGER) AS bucket, n FROM h",
     "histogram_quantile": f"""WITH {_H}, c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM h)
         SELECT event_type, """ + ", ".join(f"{_pow(p)} AS {name}" for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + " FROM c GROUP BY event_type",
     "percentile_nearest_rank": f"""WITH {_V}, l AS (SELECT event_type, list_sort(list(v)) AS s FROM v GROUP BY event_type)
         SELECT event_type, """ + ", ".join(f"s[CAST(round({p} * (len(s) - 1)) AS BIGINT) + 1] AS {name}" for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM l",
+    "sketch_quantiles": "SELECT event_type, count(*) AS n, share, true AS within FROM events, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) s(share) GROUP BY event_type, share",
     "latency_summary": f"WITH {_V} SELECT event_type, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS stddev FROM v GROUP BY event_type",
     "snapshot_deltas": f"""WITH h AS (SELECT event_type, ({_SEC}) // 3600 AS hour, count(*) AS n FROM events GROUP BY ALL)
         SELECT event_type, hour, CASE WHEN row_number() OVER w > 1 THEN n END AS events_delta FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)""",
@@ -371,10 +408,10 @@ ORACLE_SQL = {
         SELECT event_type, """ + ", ".join(f"{_pow(p)} AS {name}" for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))) + """ FROM c GROUP BY event_type), a AS (
         SELECT event_type, count(*) AS n, CAST(sum(v) // count(*) AS BIGINT) AS mean, max(v) AS most FROM v GROUP BY event_type)
         SELECT 'hist_' || event_type || '_ns count=' || n || ' mean=' || mean || ' p50=' || p50 || ' p90=' || p90 || ' p99=' || p99 || ' p999=' || p999 || ' max=' || most AS value FROM a JOIN q USING (event_type)""",
-    "metrics_timeline": f"""WITH {_SNAP}, c AS (SELECT DISTINCT ({_SEC}) // 86400 AS day FROM events WHERE event_type = 'click'), b AS (
-        SELECT day, bucket, sum(count(*)) OVER (PARTITION BY bucket ORDER BY day) AS n FROM (
-        SELECT ({_SEC}) // 86400 AS day, CASE WHEN floor(abs(value) * 100) = 0 THEN 0 ELSE length(bin(CAST(floor(abs(value) * 100) AS BIGINT))) END AS bucket FROM events WHERE event_type = 'click') GROUP BY day, bucket)
-        SELECT 'instance-' || instance AS label, sec AS sample, requests, errors, CAST((SELECT sum(n) FROM b WHERE b.day = s.sec // 86400 - 1) AS BIGINT) AS clicks FROM s JOIN c ON c.day = s.sec // 86400 - 1""",
+    "metrics_timeline": f"""WITH {_SNAP}, h AS (SELECT event_type, ({_SEC}) // 86400 AS day, CAST(floor(abs(value) * 100) AS BIGINT) AS v FROM events), b AS (
+        SELECT event_type, day, bucket, CAST(sum(n) OVER (PARTITION BY event_type, bucket ORDER BY day) AS BIGINT) AS n FROM (
+        SELECT event_type, day, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END AS bucket, count(*) AS n FROM h GROUP BY ALL))
+        SELECT 'instance-' || instance AS label, sec AS sample, requests, errors, event_type, CAST(bucket AS VARCHAR) AS bucket, n FROM s LEFT JOIN b ON b.day = s.sec // 86400 - 1""",
     "run_stats": """WITH r AS (SELECT event_type, CAST(floor(abs(value) * 1000) AS BIGINT) + 1000000 AS ns, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), l AS (
         SELECT event_type, list_sort(list(ns) FILTER (i > 1)) AS s, max(ns) FILTER (i = 1) AS cold_ns FROM r GROUP BY event_type)
         SELECT event_type, len(s) AS runs, cold_ns, s[1] AS min_ns, s[len(s) // 2 + 1] AS median_ns, round(50000000 / 1048576 / (s[1] / 1e9), 4) AS mib_per_s, round(3000000 / (s[1] / 1e9), 2) AS records_per_s FROM l WHERE len(s) > 0""",

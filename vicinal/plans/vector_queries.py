@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import vectors
 from vicinal.operators import evaluate, index, ivf, kmeans, knn, sampling
-from vicinal.session import new_path, table
+from vicinal.session import new_path, table, written
 from vicinal.sources import references
 from vicinal.streaming import score
 
@@ -65,6 +65,12 @@ def knn_brute_i16(spark, sf_dir):
     return knn.brute_force(queries_of(rows), rows).select("q_id", "rank", "ref_id", "d")
 
 
+def knn_join_cells(spark, sf_dir):
+    """As ``knn_brute_i16``, by the join: queries and references meet in cells, whatever their numbers."""
+    rows = refs(spark, sf_dir)
+    return knn.brute_force(queries_of(rows), rows, few=0).select("q_id", "rank", "ref_id", "d")
+
+
 def knn_brute_f32(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("v"), (F.col("label") >= 5).alias("is_fraud"))
     return knn.brute_force(queries_of(e), e, exact_ints=False).select("q_id", "rank", "ref_id", F.round("d", 6).alias("d"))
@@ -130,6 +136,18 @@ def ivf_exact_topk(spark, sf_dir):
     return ivf.search(queries_of(rows), start_index(rows)).select("q_id", "rank", "ref_id", "d")
 
 
+def ivf_join_cells(spark, sf_dir):
+    """As ``ivf_exact_topk``, by the join: queries meet the references of their clusters in cells."""
+    rows = refs(spark, sf_dir)
+    return ivf.search(queries_of(rows), start_index(rows), few=0).select("q_id", "rank", "ref_id", "d")
+
+
+def ivf_elimination(spark, sf_dir):
+    """How many references of the refining clusters half of the dimensions rule out."""
+    rows = refs(spark, sf_dir)
+    return ivf.elimination(queries_of(rows), start_index(rows))
+
+
 def ivf_capped_topk(spark, sf_dir):
     rows = refs(spark, sf_dir)
     return ivf.search(queries_of(rows), start_index(rows), "capped", cap=CAPPED).select("q_id", "rank", "ref_id", "d")
@@ -148,6 +166,31 @@ def index_write_load(spark, sf_dir):
     return back.select("ref_id", "is_fraud", F.posexplode("v").alias("dim", "x")).select("ref_id", "is_fraud", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def index_header_checks(spark, sf_dir):
+    """n and what loading says of the embeddings' index, as it is and with another header or expectation."""
+    path, rows = new_path(spark, "index"), refs(spark, sf_dir)
+    own = kmeans.assign_sql(rows, starts(rows)).select("ref_id", F.col("v").cast("array<smallint>").alias("q"), "is_fraud", "cluster_id")
+    centroids = np.array([r["centroid"] for r in starts(rows).orderBy("cluster_id").collect()], float) / vectors.SCALE
+    index.save(own, centroids, path, len(centroids))
+    manifest = written(spark.read.parquet(f"{path}/manifest"), "manifest")
+    n = manifest.first()["n"]
+
+    def said(**asked) -> str:
+        try:
+            return f"{index.load(spark, asked.pop('path', path), **asked).refs.count()} rows"
+        except index.IndexError_ as e:
+            return type(e).__name__
+
+    found = [("as it is", said(k=CLUSTERS)), ("other k", said(k=CLUSTERS + 1)), ("other scale", said(scale=8192))]
+    for name, change in (("magic", {"magic": F.lit("zero")}), ("version 0", {"format_version": F.lit(0)}), ("version 99", {"format_version": F.lit(99)})):
+        other = new_path(spark, "index")
+        manifest.withColumns(change).write.parquet(f"{other}/manifest")
+        found.append((name, said(path=other)))
+    manifest.withColumn("n", F.col("n") + 1).write.mode("overwrite").parquet(f"{path}/manifest")
+    found.append(("one more row", said()))
+    return spark.createDataFrame([(n, *f) for f in found], "n bigint, header string, said string")
+
+
 def kmeans_lloyd_step(spark, sf_dir):
     return kmeans.lloyd_sums(assigned(refs(spark, sf_dir)))
 
@@ -206,15 +249,15 @@ def hash_sample(spark, sf_dir):
 
 
 def reference_files(spark, sf_dir):
-    """What is read back from the embeddings as reference records, plain and gzipped."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v"), (F.col("label") >= 5).alias("is_fraud"))
+    """What is read back from the embeddings as reference records in several files, plain and gzipped: numbers follow the files."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), (F.col("label") >= 5).alias("is_fraud"))
+    e = e.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").drop("vec_id")
     out = []
     for kind in (None, "gzip"):
         path = new_path(spark, "references")
         references.write_references(e, path, kind)
         out.append(references.read_references(spark, path, 64).withColumn("kind", F.lit(kind or "plain")))
-    rows = out[0].union(out[1]).select("kind", "is_fraud", F.posexplode("v").alias("dim", "x"))
-    return rows.groupBy("kind", "is_fraud", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 4).alias("total"))
+    return out[0].union(out[1]).select("kind", "ref_id", "is_fraud", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 def stream_score(spark, sf_dir):
@@ -231,9 +274,9 @@ def stream_score(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        quantize_vectors, dequantize_vectors, knn_brute_i16, knn_brute_f32, knn_vote_score, knn_response_json, nearest_centroid_assign, half_norm_scores,
+        quantize_vectors, dequantize_vectors, knn_brute_i16, knn_join_cells, knn_brute_f32, knn_vote_score, knn_response_json, nearest_centroid_assign, half_norm_scores,
         cluster_counts_starts, cluster_block_starts, cluster_bbox, bbox_lower_bound, probe_nearest_cluster, repair_top8_clusters, ivf_exact_topk,
-        ivf_capped_topk, ivf_pruning, index_write_load, kmeans_lloyd_step, kmeans_fast, kmeans_plus_plus, kmeanspp_min_d2, inverse_cdf_pick,
+        ivf_join_cells, ivf_elimination, ivf_capped_topk, ivf_pruning, index_write_load, index_header_checks, kmeans_lloyd_step, kmeans_fast, kmeans_plus_plus, kmeanspp_min_d2, inverse_cdf_pick,
         label_bitset_pack, label_bitset_get, confusion_counts, recall_at_5, stride_sample, hash_sample, reference_files, stream_score,
     )
 }
@@ -284,6 +327,11 @@ _CAPPED = f"""{_B}, cand AS (
 ), ct AS (
     SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, ref_id) AS rank FROM cp QUALIFY rank <= 5
 )"""
+#: Each query's worst distance in the cluster that it probes first.
+_SEEDS = f"""sp AS (
+    SELECT q.q_id, a.ref_id, {_D.format(a="q.v", b="a.v")} AS near FROM probe JOIN q USING (q_id) JOIN a USING (cluster_id) WHERE a.ref_id <> q.q_id
+    QUALIFY row_number() OVER (PARTITION BY q.q_id ORDER BY near, a.ref_id) <= 5
+), sw AS (SELECT q_id, CASE WHEN count(*) >= 5 THEN max(near) END AS worst FROM sp GROUP BY q_id)"""
 _STEP = "SELECT a.cluster_id, CAST(k - 1 AS INTEGER) AS dim, CAST(sum(v[k]) AS BIGINT) AS total, count(*) AS n FROM a, range(1, 65) d(k) GROUP BY a.cluster_id, k"
 _TOP = "SELECT q_id, CAST(rank AS INTEGER) AS rank, ref_id, d FROM {t}"
 _BIT = "CASE WHEN ref_id % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(ref_id % 64 AS INTEGER) END"
@@ -311,13 +359,20 @@ ORACLE_SQL = {
     "repair_top8_clusters": f"WITH {_B} SELECT q_id, cluster_id, lb, rank FROM repair WHERE rank <= 8",
     # The exact search must give what brute force gives.
     "ivf_exact_topk": f"WITH {_KNN} {_TOP.format(t='t')}",
+    "knn_join_cells": f"WITH {_KNN} {_TOP.format(t='t')}",
+    "ivf_join_cells": f"WITH {_KNN} {_TOP.format(t='t')}",
+    "ivf_elimination": f"""WITH {_B}, {_SEEDS}, dims AS (SELECT k, row_number() OVER (ORDER BY CAST(count(*) AS HUGEINT) * sum(CAST(v[k] AS BIGINT) * v[k]) - CAST(sum(v[k]) AS HUGEINT) * sum(v[k]) DESC, k) AS place FROM e, range(1, 65) d(k) GROUP BY k),
+        half AS (SELECT list(k) AS ks FROM dims WHERE place <= 32), r AS (
+        SELECT repair.q_id, worst, CAST(list_sum(list_transform(ks, lambda i: CAST(q.v[i] - a.v[i] AS BIGINT) * (q.v[i] - a.v[i]))) AS BIGINT) AS part
+        FROM repair JOIN sw USING (q_id) JOIN q USING (q_id) JOIN a ON a.cluster_id = repair.cluster_id AND a.ref_id <> q.q_id, half WHERE worst IS NULL OR repair.lb <= worst)
+        SELECT q.q_id, count(r.q_id) AS compared, count(*) FILTER (part > worst) AS dropped FROM q LEFT JOIN r USING (q_id) GROUP BY q.q_id""",
     "ivf_capped_topk": f"WITH {_CAPPED} {_TOP.format(t='ct')}",
-    "ivf_pruning": f"""WITH {_B}, sp AS (
-        SELECT q.q_id, a.ref_id, {_D.format(a="q.v", b="a.v")} AS near FROM probe JOIN q USING (q_id) JOIN a USING (cluster_id) WHERE a.ref_id <> q.q_id
-        QUALIFY row_number() OVER (PARTITION BY q.q_id ORDER BY near, a.ref_id) <= 5
-    ), sw AS (SELECT q_id, CASE WHEN count(*) >= 5 THEN max(near) END AS worst FROM sp GROUP BY q_id)
+    "ivf_pruning": f"""WITH {_B}, {_SEEDS}
     SELECT q.q_id, count(r.cluster_id) AS refined FROM q LEFT JOIN sw USING (q_id) LEFT JOIN repair r ON r.q_id = q.q_id AND (worst IS NULL OR r.lb <= worst) GROUP BY q.q_id""",
     "index_write_load": f"WITH {_E} SELECT ref_id, is_fraud, CAST(k - 1 AS INTEGER) AS dim, round(CAST(CAST(v[k] AS FLOAT) * CAST(0.0001 AS FLOAT) AS DOUBLE), 6) AS x FROM e, range(1, 65) d(k)",
+    "index_header_checks": """WITH e AS (SELECT count(*) AS n FROM embeddings)
+        SELECT n, unnest(['as it is', 'other k', 'other scale', 'magic', 'version 0', 'version 99', 'one more row']) AS header,
+        unnest([n || ' rows', 'UnsupportedKClusters', 'UnsupportedFixScale', 'BadMagic', 'UnsupportedVersion', 'UnsupportedVersion', 'Truncated']) AS said FROM e""",
     "kmeans_lloyd_step": f"WITH {_C} {_STEP}",
     "kmeanspp_min_d2": f"WITH {_C} SELECT ref_id, d AS min_d2 FROM a",
     "inverse_cdf_pick": f"""WITH {_C}, r AS (SELECT ref_id, d AS min_d2, CAST(sum(d) OVER (ORDER BY ref_id) AS BIGINT) AS running, sum(d) OVER () AS total FROM a)
@@ -331,7 +386,7 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY q.q_id ORDER BY d, e.ref_id) <= 5)
         SELECT count(ct.ref_id) AS hits, count(*) AS wanted, round(count(ct.ref_id) / count(*), 6) AS recall FROM p LEFT JOIN ct ON ct.q_id = p.q_id AND ct.ref_id = p.ref_id""",
     "stride_sample": "WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS position, count(*) OVER () AS n FROM embeddings) SELECT r.i AS sample, vec_id FROM range(100) r(i) JOIN p ON p.position = (r.i * p.n) // 100",
-    "reference_files": """WITH k(kind) AS (VALUES ('plain'), ('gzip'))
-        SELECT kind, label >= 5 AS is_fraud, CAST(d - 1 AS INTEGER) AS dim, count(*) AS n, round(sum(CAST(embedding[d] AS DOUBLE)), 4) AS total FROM embeddings, range(1, 65) r(d), k GROUP BY ALL""",
+    "reference_files": """WITH k(kind) AS (VALUES ('plain'), ('gzip')), e AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS ref_id FROM embeddings)
+        SELECT kind, ref_id, label >= 5 AS is_fraud, CAST(d - 1 AS INTEGER) AS dim, round(CAST(embedding[d] AS DOUBLE), 6) AS x FROM e, range(1, 65) r(d), k""",
     "stream_score": f"WITH {_VOTE} SELECT * FROM s",
 }
