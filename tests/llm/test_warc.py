@@ -67,3 +67,23 @@ def test_repeated_rows_have_identifiers_of_their_own(spark, tmp_path):
         found = warc.fetch(spark, index, str(tmp_path), index.filter(index["record_id"] == wanted)).collect()
         assert [r["record_id"] for r in found] == [wanted]
     assert sorted((r["page_id"] or 0, r["record_type"]) for r in back)[2:7] == [(7, "response")] * 4 + [(8, "revisit")]
+    heads = []
+    for name in {r["bundle"] for r in index.collect()}:
+        with (tmp_path / name).open("rb") as file:
+            heads += [h for _, _, h, _ in warc.parse_records(zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read())]
+    assert [h.get("warc-refers-to") for h in heads if h["warc-type"] == "revisit"] == [None]
+
+
+def test_references_name_records(spark, tmp_path):
+    """Whatever a revisit refers to is a record of the bundles."""
+    html = {1: "a" * 200, 2: "b" * 200}
+    pages = spark.createDataFrame([(i, None, html[1 + i % 2]) for i in range(8)] + [(1, None, html[2])] * 2, "page_id bigint, url string, html string")
+    index = warc.write_bundles(pages, str(tmp_path)).collect()
+    found = []
+    for name in {r["bundle"] for r in index}:
+        with (tmp_path / name).open("rb") as file:
+            found += [h for _, _, h, _ in warc.parse_records(zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read())]
+    ids = {h["warc-record-id"] for h in found}
+    named = [h["warc-refers-to"] for h in found if "warc-refers-to" in h]
+    assert set(named) <= ids and len(named) == 3
+    assert sum(h["warc-type"] == "revisit" and "warc-refers-to" not in h for h in found) == 3

@@ -12,7 +12,8 @@ Payloads that repeat are stored once: of equal payloads of at least
 the others are revisit records that refer to it.
 
 Record identifiers are the page's and its digest's, and where several rows have
-both, a number more each, so an identifier has one offset.
+both, a number more each, so an identifier has one offset. A revisit names the
+record that it refers to if there is one such record, and its page in any case.
 
 Defined cases: a null payload counts as empty; rows that repeat the smallest
 page_id of a payload are all responses; a null page_id never becomes the
@@ -63,8 +64,8 @@ def record_id(page_id: int | None, digest: str, number: int | None = None) -> st
     return f"urn:page:{'' if page_id is None else page_id}:{digest[:32]}" + ("" if number is None else f":{number}")
 
 
-def record_bytes(page_id, url, payload: bytes, length: int, digest: str, kind: str, refers_to, number: int | None = None) -> bytes:
-    """One WARC/1.1 record. The payload of a revisit is not stored; its length and digest are."""
+def record_bytes(page_id, url, payload: bytes, length: int, digest: str, kind: str, refers_to, number: int | None = None, named: bool = True) -> bytes:
+    """One WARC/1.1 record. The payload of a revisit is not stored; its length and digest are. named: whether one record alone has the id that it refers to."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id, digest, number)}>", f"WARC-Date: {WARC_DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
@@ -75,7 +76,8 @@ def record_bytes(page_id, url, payload: bytes, length: int, digest: str, kind: s
         payload = b""
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            head += [f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"X-Refers-To-Page: {refers_to}"]
+            head += [f"WARC-Refers-To: <{record_id(refers_to, digest)}>"] if named else []
+            head.append(f"X-Refers-To-Page: {refers_to}")
     head += ["Content-Type: text/html", f"Content-Length: {len(payload)}", "", ""]
     return "\r\n".join(head).encode() + payload + b"\r\n\r\n"
 
@@ -182,11 +184,15 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
     same = ["page_id", "payload_digest"]
     again = pages.select("page_id", F.sha2(_payload(), 256).alias("payload_digest")).groupBy(*same).count().filter("count > 1")
     again = written(again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")), "again")
-    number = F.lit(None).cast("bigint")
+    number, named = F.lit(None).cast("bigint"), F.lit(True)
     if not again.isEmpty():
         rows = rows.join(broadcast_if_small(again), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
         number = F.when(F.col("_digest").isNotNull(), F.monotonically_increasing_id())
-    rows = rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", number.alias("number"))
+        # A page that is repeated has several records; what refers to it names the page, and none of them.
+        referred = broadcast_if_small(again.select(F.col("_page").alias("_to"), F.col("_digest").alias("_to_digest")))
+        rows = rows.join(referred, (F.col("refers_to") == F.col("_to")) & (F.col("payload_digest") == F.col("_to_digest")), "left")
+        named = F.col("_to").isNull()
+    rows = rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", number.alias("number"), named.alias("named"))
     names = INDEX_SCHEMA.replace(" string", "").replace(" bigint", "").replace(" int", "").split(", ")
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     schema = pa.schema(list(zip(names, types, strict=True)))
@@ -199,10 +205,10 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
         bundle = None
         for batch in batches:
             found = []
-            for page, url, payload, length, digest, kind, to, number in zip(*[batch.column(i) for i in range(8)], strict=True):
+            for page, url, payload, length, digest, kind, to, number, named in zip(*[batch.column(i) for i in range(9)], strict=True):
                 bundle = bundle or BundleWriter(folder, frame_bytes)
                 page, digest, kind, number = page.as_py(), digest.as_py(), kind.as_py(), number.as_py()
-                data = record_bytes(page, url.as_py(), payload.as_py(), length.as_py(), digest, kind, to.as_py(), number)
+                data = record_bytes(page, url.as_py(), payload.as_py(), length.as_py(), digest, kind, to.as_py(), number, named.as_py())
                 found += bundle.add((record_id(page, digest, number), page, kind), data)
                 if bundle.at >= bundle_bytes:
                     found += bundle.close()
