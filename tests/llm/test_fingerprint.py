@@ -111,3 +111,12 @@ def test_many_rows_without_an_id(spark, monkeypatch, bucket):
         edited = text[: len(text) - half] + after[:half]
         want[hashlib.sha256(edited.encode()).hexdigest()] = hexed(slow_sketch(edited))
     assert {r["edited_sha256"]: r["edited_fingerprint"] for r in rows} == want and len(rows) == 35
+
+
+@pytest.mark.parametrize("n", [fp.CHUNK - 1, fp.CHUNK, fp.CHUNK + 1, fp.CHUNK + fp.S - 1, fp.CHUNK + fp.S, 2 * fp.CHUNK, 2 * fp.CHUNK + fp.S - 2, 3 * fp.CHUNK + 5])
+def test_chunks_leave_no_seam(spark, n):
+    """Texts of the lengths around a chunk's end, with line ends and characters of four bytes."""
+    letters = "abcdefgh é漢\n\r\U0001f600"
+    text = "".join(letters[(i * i * 7 + i // 5) % len(letters)] for i in range(n))
+    rows = fp.anchors(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert sorted((r["place"], r["hash"]) for r in rows) == slow_anchors(text)

@@ -7,7 +7,7 @@ passage gives the same anchors in any text, and the anchors of a text that was
 pieced together are those of its pieces and of the few k-mers over the seam.
 
 A substring of a long string is found by counting from its start, so texts are
-first cut into overlapping chunks in two levels; the hashes of all inner
+first cut, in one pass, into overlapping chunks, and these into parts; the hashes of all inner
 substrings then take one pass, and the smallest of a window of 8 takes three
 more (over 2, 4 and 8 neighbours). The hash of a k-mer combines those of its first and last
 inner substrings, which cover it. A fingerprint is the bottom-m
@@ -59,7 +59,10 @@ def inner_hashes(text: Column) -> Column:
     cut = lambda x, at, n: F.substring(x, at + 1, F.lit(n + S - 1))
     part = lambda p: F.transform(begins(p, 1), lambda i: F.xxhash64(F.substring(p, i + 1, F.lit(S))))
     chunk = lambda c: F.flatten(F.transform(F.transform(begins(c, PART), lambda at: cut(c, at, PART)), part))
-    return F.flatten(F.transform(F.transform(begins(text, CHUNK), lambda at: cut(text, at, CHUNK)), chunk))
+    # One pass cuts the text; each chunk then takes the beginning of the next along. A last one of fewer than S code points is all in the one before.
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    chunks = F.zip_with(pieces, F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, S - 1), F.lit(""))))
+    return F.flatten(F.transform(F.filter(chunks, lambda c: F.length(c) >= S), chunk))
 
 
 def _least_with(values: Column, shift: int) -> Column:
