@@ -244,8 +244,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
     """Whole documents by the mix: each once for every piece that has its middle word, in the piece's shard.
 
     So a document is repeated once for each whole pass and once more if its
-    block is drawn again, and texts are never cut. The documents of a shard
-    come together, in random order. The mix itself is of ids and sizes; texts
+    block is drawn again, and texts are never cut. A shard's documents come in
+    parts, each in random order, which lie over the partitions. The mix itself is of ids and sizes; texts
     are joined to what it picked, and move when the shards are dealt out.
     """
     carried = docs.columns

@@ -233,7 +233,9 @@ def one_of_near_copies(rows: DataFrame) -> DataFrame:
     The bands are of ``SHINGLE`` words, so that unrelated texts stay apart,
     however many there are. At a similarity of 0.57 (a text and its copy with one
     word in ten replaced) 89 of 100 pairs share a band, at 0.14 less than one. Of
-    400 such copies about 40 stay, of 400 texts that share a passage about all.
+    400 such copies about 40 stay. A shared band is not confirmed: of 2000
+    texts with 60 words of their own and a passage that all share, 1531 stay if
+    it has 25 words, 363 if it has 60 and 54 if it has 90.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
