@@ -73,7 +73,7 @@ def test_a_full_array_of_bits_changes_nothing(spark):
 def test_small_chunks_and_segments_change_nothing(spark, monkeypatch):
     rows = texts(5)
     want = sorted(by_hand(rows, 5, 4, 100, 2000))
-    for name, value in (("CHUNK", 300), ("HELD", 700), ("HOT_SHARE", 20), ("SEGMENTS", 3), ("FIRST_SEGMENTS", 2)):
+    for name, value in (("UNIT", 300), ("CHUNK", 50), ("HELD", 1), ("HOT_SHARE", 20), ("PARTS", 3)):
         monkeypatch.setattr(collocation, name, value)
     assert found(spark, rows, least=4) == want
 
@@ -95,8 +95,9 @@ def test_colliding_keys_are_kept_apart():
 
 
 def test_hashes_of_tasks_and_tables_agree():
-    chunk = collocation.Chunk("fr", ["l’été est là. été".encode()])
-    assert int(chunk.phrase_hashes(3)[0]) == collocation.phrase_hash("fr", "l’été est là".encode())
+    chunk = collocation.Chunk("fr", [collocation.encoded([b"x. a"]), collocation.encoded(["l’été est là. été".encode()])])
+    at = chunk.words.to_pylist().index("l’été".encode())
+    assert int(chunk.phrase_hashes(3)[chunk.ids.tolist().index(at)]) == collocation.phrase_hash("fr", "l’été est là".encode())
 
 
 def test_scores_beyond_64_bits(spark):

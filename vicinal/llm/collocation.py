@@ -11,11 +11,14 @@ Lengths are counted one after the other. A phrase of n words occurs no more
 often than its first and its last n - 1 words, so a place is counted only if
 both are frequent. Tasks look that up in an array of bits over hashes, of a
 fixed size whatever the number of frequent phrases: a hash that is taken by
-chance lets a rare phrase be counted, and its exact count drops it. Tasks count
-in chunks with arrays, by local word numbers, so no two phrases are mixed up,
-and send one stripe a chunk and prefix. Prefixes that have more than one in
-``HOT_SHARE`` of all words, which are that many at most, have their stripes cut
-into segments by the next word; the empty prefix always has.
+chance lets a rare phrase be counted, and its exact count drops it. Texts are
+cut into words once and written as numbers of words, in units that have a list
+of their own words. Tasks put units together to chunks and count them with
+arrays, by word numbers, so no two phrases are mixed up. Stripes are dealt into
+parts by a hash of their prefix, and a task sends one row a chunk and part.
+Prefixes that have more than one in ``HOT_SHARE`` of all words, which are that
+many at most, have their stripes cut over all parts by the next word, as has
+the empty prefix.
 
 Everything is counted by lang. Texts have A-Z lower-cased, are split into
 pieces at ``. , ; : ! ?`` and line ends, and those at spaces and tabs into words.
@@ -46,17 +49,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import BROADCAST_ROWS, broadcast_if_small, written
-from vicinal.session import table
+from vicinal.llm.common import BROADCAST_ROWS, broadcast_if_small, partitions, written
+from vicinal.session import new_path, table
 
 LONGEST, LEAST, SHARE, MOST = 5, 100, 100, 2000
 #: Bits of the array of frequent phrases.
 FILTER_BITS = 1 << 27
-#: Bytes of text that a task counts at once, by lang, and holds in all.
-CHUNK, HELD = 8 << 20, 24 << 20
-#: A prefix with more than one in so many of all words has its stripe cut into segments; those of the empty prefix.
-HOT_SHARE, SEGMENTS, FIRST_SEGMENTS = 2048, 64, 1024
-STRIPE = "lang string, prefix string, seg int, next array<string>, n array<bigint>"
+#: Bytes of text in a unit, small enough for the JVM to hold its columns as ordinary objects; words that a task counts at once. Of all langs together a task holds at most so many times as much.
+UNIT, CHUNK, HELD = 1 << 18, 2 << 20, 2
+#: A prefix with more than one in so many of all words has its stripe cut. Parts into which stripes are dealt, at least.
+HOT_SHARE, PARTS = 2048, 1024
+UNITS = "lang string, size bigint, words binary, width int, ids binary"
+#: Of a part's stripes the prefixes, next words and counts: a line a stripe, words and counts separated by spaces, as no word
+#: holds either. An empty word stands where the prefix ends a piece or goes on too rarely.
+STRIPES = "lang string, part int, prefixes string, next string, n string"
 #: The end of a piece among the words; no byte of UTF-8.
 _END = b"\xff"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +70,22 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
+#: A written table needs no shuffle files any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, compressed more closely; the shuffle files that it took are removed once it is written."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
@@ -101,18 +123,28 @@ def frequent_bits(phrases: DataFrame, bits: int = FILTER_BITS) -> Bits:
     return Bits(words)
 
 
+def encoded(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The distinct words of texts, joined by spaces, and the texts as numbers of words from 1; 0 ends a piece."""
+    words = (_END.join(texts) + _END).translate(_BYTES).replace(_END, b" \xff ").split()
+    number: dict[bytes, int] = {_END: 0}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+    return b" ".join(list(number)[1:]), ids.astype(np.uint16) if len(number) <= 1 << 16 else ids
+
+
 class Chunk:
-    """Texts of one lang as numbers of words: ids (0 ends a piece), how many words of its piece are left at each place, hashes."""
+    """Units of one lang: ids of words (0 ends a piece), how many words of its piece are left at each place, hashes."""
 
-    def __init__(self, lang: str, texts: list[bytes]) -> None:
-        words = _END.join(texts).translate(_BYTES).replace(_END, b" \xff ").split()
+    def __init__(self, lang: str, units: list[tuple[bytes, np.ndarray]]) -> None:
         number: dict[bytes, int] = {_END: 0}
-        known = lambda w: number.setdefault(w, len(number))
-        self.ids = np.fromiter(map(known, words), np.int64, len(words))
-        place = np.arange(len(words))
-        ends = np.where(self.ids == 0, place, len(words))
+        parts = []
+        for words, ids in units:
+            own = words.split(b" ") if words else []
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in (_END, *own)), np.int32, len(own) + 1)[ids])
+        self.ids = np.concatenate(parts)
+        place = np.arange(len(self.ids), dtype=np.int32)
+        ends = np.where(self.ids == 0, place, np.int32(len(self.ids)))
         self.left = np.minimum.accumulate(ends[::-1])[::-1] - place
-        self.words = pa.array([None, *list(number)[1:]], pa.binary())
+        self.words = pa.array([b"", *list(number)[1:]], pa.binary())
         seed = _seed(lang)
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in number), np.uint64, len(number))
 
@@ -125,46 +157,45 @@ class Chunk:
             out[: max(0, len(h) - k)] += h[k:]
         return out
 
-    def first_stripe(self, segments: int) -> tuple[np.ndarray, ...]:
-        """first, seg, next, n of the empty prefix: a row a word."""
-        counts = np.bincount(self.ids, minlength=len(self.words))[1:]
-        found = np.arange(1, len(self.words))
-        seg = (self.hashes[1:] % np.uint64(segments)).astype(np.int64)
-        order = np.argsort(seg, kind="stable")
-        return np.flatnonzero(np.diff(seg[order], prepend=-1)), seg[order], found[order], counts[order], np.zeros((0, len(found)), np.int64)
+    def first_stripe(self, parts: int) -> tuple[np.ndarray, ...]:
+        """The entries of the empty prefix: each one's part, next word, count and (no) prefix."""
+        found = np.arange(1, len(self.words), dtype=np.int32)
+        return (self.hashes[1:] % np.uint64(parts)).astype(np.int32), found, np.bincount(self.ids, minlength=len(self.words))[1:], np.zeros((0, len(found)), np.int32)
 
-    def stripes(self, size: int, frequent: Bits, hot: np.ndarray, segments: int) -> tuple[np.ndarray, ...]:
-        """Stripes of prefixes of ``size`` words: where each begins among the entries; and each entry's segment, next word, count and prefix (columns of ids)."""
+    def entries(self, size: int, frequent: Bits, hot: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+        """The entries of prefixes of ``size`` words: each one's part, next word, count and prefix (columns of ids), prefix by prefix."""
         h = self.phrase_hashes(size)
         good = self.left >= size
         good[good] = frequent.has(h[good])
         at = np.flatnonzero(good)
         after = np.append(good[1:], False)[at] & (self.left[at] > size)
-        follow = np.where(after, self.ids[np.minimum(at + size, len(self.ids) - 1)], 0)
+        follow = np.where(after, self.ids[np.minimum(at + size, len(self.ids) - 1)], np.int32(0))
         columns = np.array([*(self.ids[at + k] for k in range(size)), follow])
         order, first = _groups(h[at] * _FACTOR + self.hashes[follow], columns)
         counts = np.diff(first, append=len(at))
         columns, h = columns[:, order[first]], h[at][order[first]]
-        seg = np.where(np.isin(h, hot), (self.hashes[columns[-1]] % np.uint64(segments)).astype(np.int64), 0)
-        # Stripes of one prefix that a collision keeps apart are rows of their own, and meet when stripes are merged.
-        order = np.lexsort((seg, h))
-        columns, seg, counts = columns[:, order], seg[order], counts[order]
-        begins = np.ones(len(order), bool)
-        begins[1:] = (columns[:-1, 1:] != columns[:-1, :-1]).any(axis=0) | (seg[1:] != seg[:-1])
-        return np.flatnonzero(begins), seg, columns[-1], counts, columns[:-1]
-
-    def rows(self, lang: str, first: np.ndarray, seg: np.ndarray, follow: np.ndarray, counts: np.ndarray, prefix: np.ndarray) -> pa.RecordBatch:
-        """The stripes as rows of ``STRIPE``."""
-        ends = pa.array(np.append(first, len(follow)), pa.int32())
+        part = ((h + np.where(np.isin(h, hot), self.hashes[columns[-1]], np.uint64(0))) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(h, kind="stable")
+        return part[order], columns[-1][order], counts[order], columns[:-1, order]
+
+    def rows(self, lang: str, part: np.ndarray, follow: np.ndarray, counts: np.ndarray, prefix: np.ndarray) -> pa.RecordBatch:
+        """The entries as stripes, in rows of ``STRIPES``."""
+        order = np.argsort(part, kind="stable")
+        part, follow, counts, prefix = part[order], follow[order], counts[order], prefix[:, order]
+        row = np.ones(len(order), bool)
+        row[1:] = part[1:] != part[:-1]
+        # Stripes of one prefix that a collision of hashes keeps apart are merged with all others.
+        stripe = row.copy()
+        stripe[1:] |= (prefix[:, 1:] != prefix[:, :-1]).any(axis=0)
+        first, starts = np.flatnonzero(stripe), np.flatnonzero(row)
+        ends = lambda begin, n: pa.array(np.append(begin, n), pa.int32())
+        joined = lambda values: pc.binary_join(pa.ListArray.from_arrays(ends(first, len(follow)), values), " ")
         parts = [self.words.take(pa.array(c[first])) for c in prefix]
         names = pc.binary_join_element_wise(*parts, b" ") if parts else pa.array([b""] * len(first), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(first), pa.string()), names.cast(pa.string()), pa.array(seg[first], pa.int32()),
-                pa.ListArray.from_arrays(ends, self.words.take(pa.array(follow)).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())),
-            ],
-            names=["lang", "prefix", "seg", "next", "n"],
-        )
+        lines = ends(np.searchsorted(first, starts), len(first))
+        own = (names.cast(pa.string()), joined(self.words.take(pa.array(follow)).cast(pa.string())), joined(pa.array(counts, pa.int64()).cast(pa.string())))
+        columns = [pc.binary_join(pa.ListArray.from_arrays(lines, c), "\n") for c in own]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(starts), pa.string()), pa.array(part[starts], pa.int32()), *columns], names=["lang", "part", "prefixes", "next", "n"])
 
 
 def _groups(keys: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,47 +210,62 @@ def _groups(keys: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.flatnonzero(changed)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, texts) of about ``CHUNK`` bytes each, fewer where many langs would hold more than ``HELD``."""
-    held: dict[str, list[bytes]] = {}
+def _gathered(rows: Iterator[tuple[str, int, object]], enough: int, most: int) -> Iterator[tuple[str, list]]:
+    """(lang, items) of (lang, size, item): lists of about ``enough`` in size, fewer where many langs would hold more than ``most``."""
+    held: dict[str, list] = {}
     size: dict[str, int] = {}
     total = 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.setdefault(lang, []).append(value := text.as_py())
-            size[lang] = size.get(lang, 0) + len(value) + 100
-            total += len(value) + 100
-            full = lang if size[lang] >= CHUNK else max(size, key=size.get) if total >= HELD else None
-            if full is not None:
-                total -= size.pop(full)
-                yield full, held.pop(full)
+    for lang, n, item in rows:
+        held.setdefault(lang, []).append(item)
+        size[lang] = size.get(lang, 0) + n
+        total += n
+        full = lang if size[lang] >= enough else max(size, key=size.get) if total >= most else None
+        if full is not None:
+            total -= size.pop(full)
+            yield full, held.pop(full)
     yield from held.items()
 
 
-def _sent(texts: DataFrame, count: Callable[[str, Chunk], tuple[np.ndarray, ...]]) -> DataFrame:
-    """The stripes that tasks make of their own texts (lang, text in bytes)."""
+def units(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` (lang, text) as rows of ``UNITS``, a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = ((lang, len(value) + 64, value) for b in batches for lang, value in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True))
+        for lang, own in _gathered(texts, UNIT, HELD * 8 * UNIT):
+            words, ids = encoded(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([len(ids)], pa.int64()), pa.array([words], pa.binary()), pa.array([ids.itemsize], pa.int32()), pa.array([ids.tobytes()], pa.binary())], names=["lang", "size", "words", "width", "ids"])
+
+    text = F.col("text").cast("string").cast("binary").alias("text")
+    return stored(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text).filter("text is not null").mapInArrow(run, UNITS), "units")
+
+
+def _sent(texts: DataFrame, count: Callable[[Chunk], tuple[np.ndarray, ...]]) -> DataFrame:
+    """The stripes that tasks make of their own units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, chunk in _chunks(batches):
-            rows = Chunk(lang, chunk)
-            found = rows.rows(lang, *count(lang, rows))
-            for at in range(0, found.num_rows, 20_000):
-                yield found.slice(at, 20_000)
+        rows = ((b.column(0)[i].as_py(), b.column(1)[i].as_py(), (b.column(2)[i].as_py(), np.frombuffer(b.column(4)[i].as_buffer(), f"u{b.column(3)[i].as_py()}"))) for b in batches for i in range(b.num_rows))
+        for lang, own in _gathered(rows, CHUNK, HELD * CHUNK):
+            chunk = Chunk(lang, own)
+            yield chunk.rows(lang, *count(chunk))
 
-    return texts.mapInArrow(run, STRIPE)
+    return texts.select("lang", "size", "words", "width", "ids").mapInArrow(run, STRIPES)
 
 
 def merged(sent: DataFrame, least: int) -> DataFrame:
-    """lang, prefix, seg, total, best, next: stripes merged entry by entry, in one shuffle by prefix and segment.
+    """lang, prefix, total, best, next: stripes merged entry by entry, in one shuffle by part; a cut prefix has a row a part.
 
     total counts the prefix, best is the largest entry, next has the entries of
     at least ``least``. Entries are summed and sorted with spilling, never held whole.
     """
-    dealt = sent.repartition("lang", "prefix", "seg")
-    entries = dealt.select("lang", "prefix", "seg", F.explode(F.arrays_zip("next", "n")).alias("e")).groupBy("lang", "prefix", "seg", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n"))
-    word = F.col("next").isNotNull()
+    lines = F.arrays_zip(*(F.split(c, "\n").alias(c) for c in ("prefixes", "next", "n")))
+    follow = lambda s: F.split(s["next"], " ")
+    pairs = lambda s: F.arrays_zip(F.array_repeat(s["prefixes"], F.size(follow(s))).alias("prefix"), follow(s).alias("next"), F.split(s["n"], " ").alias("n"))
+    entries = F.explode(F.flatten(F.transform(lines, pairs)))
+    by = ("lang", "part", "prefix")
+    sums = sent.repartition("lang", "part").select("lang", "part", entries.alias("e")).groupBy("lang", "part", F.col("e.prefix").alias("prefix"), F.col("e.next").alias("next")).agg(F.sum(F.col("e.n").cast("bigint")).alias("n"))
+    word = F.col("next") != ""
     kept = F.collect_list(F.when(word & (F.col("n") >= least), F.struct("next", "n")))
-    return entries.groupBy("lang", "prefix", "seg").agg(F.sum("n").alias("total"), F.max(F.when(word, F.col("n"))).alias("best"), kept.alias("next"))
+    return sums.groupBy(*by).agg(F.sum("n").alias("total"), F.max(F.when(word, F.col("n"))).alias("best"), kept.alias("next")).drop("part")
 
 
 def phrases(stripes: DataFrame) -> DataFrame:
@@ -238,8 +284,8 @@ def phrases(stripes: DataFrame) -> DataFrame:
 def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = FILTER_BITS) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """(lang, n of all words), and by length the frequent phrases (lang, phrase, a, prefix, h) and the merged stripes they come from, as written tables."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text")).filter("text is not null")
-    stripes = [written(merged(_sent(texts, lambda _, c: c.first_stripe(FIRST_SEGMENTS)), least), "stripes")]
+    texts, parts = units(docs), max(PARTS, 4 * partitions(spark))
+    stripes = [stored(merged(_sent(texts, lambda c: c.first_stripe(parts)), least), "stripes")]
     totals = written(stripes[0].groupBy("lang").agg(F.sum("total").alias("n")), "words")
     found = [written(phrases(stripes[0]), "phrases")]
     every = totals.agg(F.sum("n")).first()[0] or 0
@@ -248,8 +294,8 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
             break
         hot = np.array([r["h"] for r in found[-1].filter(F.col("a") > every // HOT_SHARE).select("h").collect()], np.int64).view(np.uint64)
         shared = spark.sparkContext.broadcast((frequent_bits(found[-1], bits), hot))
-        count = lambda _, c, size=size, shared=shared: c.stripes(size, *shared.value, SEGMENTS)
-        stripes.append(written(merged(_sent(texts, count), least), "stripes"))
+        count = lambda c, size=size, shared=shared: c.entries(size, *shared.value, parts)
+        stripes.append(stored(merged(_sent(texts, count), least), "stripes"))
         found.append(written(phrases(stripes[-1]), "phrases"))
         shared.unpersist()
     return totals, found, stripes
