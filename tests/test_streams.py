@@ -22,6 +22,7 @@ def test_a_restarted_stream_reports_what_the_batch_does(spark, tmp_path):
         query.awaitTermination()
     whole = metrics.observed(spark.createDataFrame(rows, "name string, value bigint"))
     assert shown(metrics.report(metrics.last_state(spark, paths[1]))) == shown(metrics.report(whole))
+    assert {p.name for p in (tmp_path / "out").glob("batch=*")} == {"batch=1", "batch=2", "batch=3"}
     lines = [r["value"] for r in metrics.report(whole).collect()]
     assert "c1 2" in lines and len(lines) == 2 + 2 * 3
 

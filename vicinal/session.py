@@ -67,15 +67,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies; one that is not there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard_scratch(spark: SparkSession) -> None:
     """Remove every table and bundle that this library has put below the shared folder.
 
     To be called when the results that were asked for are stored elsewhere:
     results that have not been written read these tables.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/vicinal")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/vicinal")
 
 
 def ship(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ state has a row a name and bucket, at most 65 a name, whatever the input; each
 micro-batch combines its own rows before they meet the state. It is kept by
 Spark's checkpoint, so a stream that is stopped and started again, or loses an
 executor, goes on from where it was. After every batch the whole state is
-written; a report is made from the last one.
+written; a report is made from the last one, and of those before ``KEPT`` stay.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vicinal.functions import scalars
 from vicinal.operators import evaluate
+from vicinal.session import remove
 from vicinal.sources import metrics_text
 
+#: States that stay, so that a report may still read the one before the last.
+KEPT = 3
 SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
 
@@ -32,6 +35,8 @@ def metrics_stream(observations: DataFrame, path: str, checkpoint: str, availabl
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number >= KEPT:
+            remove(rows.sparkSession, f"{path}/batch={number - KEPT}")
 
     writer = observed(observations).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
