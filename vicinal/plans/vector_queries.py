@@ -17,6 +17,8 @@ from vicinal.sources import references
 from vicinal.streaming import score
 
 CLUSTERS = 16
+#: Lloyd steps of the query that shows centroids.
+STEPS = 3
 #: Clusters that the capped searches refine with. These vectors have no clusters to speak of, so a recall of 0.9 takes most of them.
 CAPPED = 13
 
@@ -201,6 +203,13 @@ def kmeans_fast(spark, sf_dir):
     return kmeans.assign(rows, centroids).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist_sq"), 0).alias("inertia"))
 
 
+def kmeans_steps(spark, sf_dir):
+    """The centroids after ``STEPS`` steps of the fast k-means."""
+    centroids = kmeans.kmeans_fast(refs(spark, sf_dir), CLUSTERS, iterations=STEPS)
+    rows = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, c array<double>")
+    return rows.select("cluster_id", F.posexplode("c").alias("dim", "x")).withColumn("x", F.round("x", 4))
+
+
 def kmeans_plus_plus(spark, sf_dir):
     rows = refs(spark, sf_dir)
     centroids = kmeans.kmeans_plus_plus(rows, 8)
@@ -276,7 +285,7 @@ QUERIES = {
     for f in (
         quantize_vectors, dequantize_vectors, knn_brute_i16, knn_join_cells, knn_brute_f32, knn_vote_score, knn_response_json, nearest_centroid_assign, half_norm_scores,
         cluster_counts_starts, cluster_block_starts, cluster_bbox, bbox_lower_bound, probe_nearest_cluster, repair_top8_clusters, ivf_exact_topk,
-        ivf_join_cells, ivf_elimination, ivf_capped_topk, ivf_pruning, index_write_load, index_header_checks, kmeans_lloyd_step, kmeans_fast, kmeans_plus_plus, kmeanspp_min_d2, inverse_cdf_pick,
+        ivf_join_cells, ivf_elimination, ivf_capped_topk, ivf_pruning, index_write_load, index_header_checks, kmeans_lloyd_step, kmeans_fast, kmeans_steps, kmeans_plus_plus, kmeanspp_min_d2, inverse_cdf_pick,
         label_bitset_pack, label_bitset_get, confusion_counts, recall_at_5, stride_sample, hash_sample, reference_files, stream_score,
     )
 }
@@ -333,6 +342,17 @@ _SEEDS = f"""sp AS (
     QUALIFY row_number() OVER (PARTITION BY q.q_id ORDER BY near, a.ref_id) <= 5
 ), sw AS (SELECT q_id, CASE WHEN count(*) >= 5 THEN max(near) END AS worst FROM sp GROUP BY q_id)"""
 _STEP = "SELECT a.cluster_id, CAST(k - 1 AS INTEGER) AS dim, CAST(sum(v[k]) AS BIGINT) AS total, count(*) AS n FROM a, range(1, 65) d(k) GROUP BY a.cluster_id, k"
+
+
+def _lloyd(step: int) -> str:
+    """c{step}: the centroids after one more step, in double precision; an empty cluster keeps its own."""
+    d = "list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - c.centroid[i]) * (e.v[i] - c.centroid[i])))"
+    return f"""a{step} AS (SELECT e.v, c.cluster_id FROM e, c{step - 1} c QUALIFY row_number() OVER (PARTITION BY e.ref_id ORDER BY {d}, c.cluster_id) = 1),
+        m{step} AS (SELECT cluster_id, k, CAST(sum(v[k]) AS DOUBLE) / count(*) AS x FROM a{step}, range(1, 65) d(k) GROUP BY cluster_id, k),
+        c{step} AS (SELECT c.cluster_id, list(coalesce(m.x, c.centroid[d.k]) ORDER BY d.k) AS centroid FROM c{step - 1} c CROSS JOIN range(1, 65) d(k)
+            LEFT JOIN m{step} m ON m.cluster_id = c.cluster_id AND m.k = d.k GROUP BY c.cluster_id)"""
+
+
 _TOP = "SELECT q_id, CAST(rank AS INTEGER) AS rank, ref_id, d FROM {t}"
 _BIT = "CASE WHEN ref_id % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(ref_id % 64 AS INTEGER) END"
 
@@ -374,6 +394,9 @@ ORACLE_SQL = {
         SELECT n, unnest(['as it is', 'other k', 'other scale', 'magic', 'version 0', 'version 99', 'one more row']) AS header,
         unnest([n || ' rows', 'UnsupportedKClusters', 'UnsupportedFixScale', 'BadMagic', 'UnsupportedVersion', 'UnsupportedVersion', 'Truncated']) AS said FROM e""",
     "kmeans_lloyd_step": f"WITH {_C} {_STEP}",
+    "kmeans_steps": f"WITH {_C}, c0 AS (SELECT cluster_id, list_transform(centroid, lambda x: CAST(x AS DOUBLE)) AS centroid FROM c), "
+    + ", ".join(map(_lloyd, range(1, STEPS + 1)))
+    + f" SELECT cluster_id, CAST(k - 1 AS INTEGER) AS dim, round(centroid[k], 4) AS x FROM c{STEPS}, range(1, 65) d(k)",
     "kmeanspp_min_d2": f"WITH {_C} SELECT ref_id, d AS min_d2 FROM a",
     "inverse_cdf_pick": f"""WITH {_C}, r AS (SELECT ref_id, d AS min_d2, CAST(sum(d) OVER (ORDER BY ref_id) AS BIGINT) AS running, sum(d) OVER () AS total FROM a)
         SELECT ref_id, min_d2, running FROM r WHERE running >= 0.5 * total ORDER BY ref_id LIMIT 1""",
