@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import BROADCAST_ROWS, broadcast_if_small, partitions, written
+from vicinal.llm.common import BROADCAST_ROWS, partitions, written
 from vicinal.session import new_path, table
 
 LONGEST, LEAST, SHARE, MOST = 5, 100, 100, 2000
@@ -70,6 +70,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
+#: Bytes of phrases in a table that is sent to all tasks.
+BROADCAST_BYTES = 64 << 20
 #: A written table needs no shuffle files any more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -301,6 +303,12 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
     return totals, found, stripes
 
 
+def _bounded(table: DataFrame, column: str) -> DataFrame:
+    """A written table, sent to all tasks if its rows and the bytes of its phrases are few; words may be very long."""
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else table
+
+
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, most: int = MOST, bits: int = FILTER_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's first ``most`` phrases of ``docs`` (lang, text)."""
     totals, found, stripes = count_phrases(docs, longest, least, bits)
@@ -320,14 +328,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
     words = F.split("phrase", " ")
     size = F.size(words)
     joined = lambda start, length: F.array_join(F.slice(words, start, length), " ")
-    cuts = kept.join(broadcast_if_small(stripe_totals), ["lang", "prefix"]).withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
+    cuts = kept.join(_bounded(stripe_totals, "prefix"), ["lang", "prefix"]).withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", joined(F.col("k") + 1, size).alias("rest"), F.when(F.col("k") < size - 1, joined(F.lit(1), F.col("k"))).alias("first"), "prefix_f")
+    counts = _bounded(counts, "part")
     r = counts.select("lang", F.col("part").alias("rest"), F.col("f").alias("r"))
     left = counts.select("lang", F.col("part").alias("first"), F.col("f").alias("first_f"))
-    small = counts.count() <= BROADCAST_ROWS
-    r, left = (F.broadcast(r), F.broadcast(left)) if small else (r, left)
     cuts = cuts.join(r, ["lang", "rest"]).join(left, ["lang", "first"], "left").withColumn("l", F.coalesce("first_f", "prefix_f"))
-    cuts = cuts.join(broadcast_if_small(totals), "lang")
+    cuts = cuts.join(_bounded(totals, "lang"), "lang")
     # Counts have at most 16 digits, so all products are exact in 38.
     score = F.expr("(1000BD * cast(cast(a as decimal(16,0)) * cast(n as decimal(16,0)) as decimal(32,0))) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))")
     cuts = cuts.withColumn("score", score)
