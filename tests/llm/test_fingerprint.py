@@ -120,3 +120,20 @@ def test_chunks_leave_no_seam(spark, n):
     text = "".join(letters[(i * i * 7 + i // 5) % len(letters)] for i in range(n))
     rows = fp.anchors(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
     assert sorted((r["place"], r["hash"]) for r in rows) == slow_anchors(text)
+
+
+def test_inner_substrings_are_compiled(spark, sf_docs):
+    """The time went to functions of array elements, which Spark interprets: none may hash what every place of a text has."""
+    plan = fp.with_anchors(sf_docs.select("doc_id", "text"), "text", "at", "hash")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "lambda" not in plan
+
+
+def test_edited_texts_around_chunks(spark):
+    """Texts of the lengths around a chunk's end, and such as share their later half, so anchors repeat at their places."""
+    letters = "abcdefgh é漢\n\r\U0001f600"
+    make = lambda k, m: "".join(letters[(i * i * m + i // 5) % len(letters)] for i in range(k))
+    lengths = [0, 1, fp.K - 1, fp.K, fp.CHUNK + fp.K - 2, fp.CHUNK + fp.K - 1, 4095, 4096, 4097, 12293]
+    texts = [t for n in lengths for t in (make(n, 7), make(300, 7), make(150, 3) * 2, make(150, 3) + make(150, 11), make(n, 7), make(n, 7))]
+    docs = [(len(texts) - i, text) for i, text in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    check({r["doc_id"]: r for r in fp.compare_edited(frame).collect()}, docs)

@@ -6,11 +6,11 @@ it is one depends on the k-mer alone, not on what surrounds it, so the same
 passage gives the same anchors in any text, and the anchors of a text that was
 pieced together are those of its pieces and of the few k-mers over the seam.
 
-A substring of a long string is found by counting from its start, so texts are
-first cut, in one pass, into overlapping chunks, and these into parts; the hashes of all inner
-substrings then take one pass, and the smallest of a window of 8 takes three
-more (over 2, 4 and 8 neighbours). The hash of a k-mer combines those of its first and last
-inner substrings, which cover it. A fingerprint is the bottom-m
+Functions of array elements are interpreted, projections are compiled. So texts
+are cut, in one pass, into overlapping chunks, a row each; the inner substrings
+of a chunk are columns, and so are the tests of its k-mers. A text's chunks are
+put together again in the same task. The hash of a k-mer combines those of its
+first and last inner substrings, which cover it. A fingerprint is the bottom-m
 sketch of the set of anchor hashes: the ``SIZE`` smallest, in hexadecimal. The
 likeness of two fingerprints is the bottom-m estimate of the Jaccard
 similarity of the anchor sets, which is exact for sets of up to SIZE anchors.
@@ -40,8 +40,9 @@ from vicinal.llm.common import broadcast_if_small, written
 from vicinal.session import table
 
 K, S = 15, 8
-#: Inner substrings begin so often in a chunk and in a part of it.
-CHUNK, PART = 4096, 64
+#: K-mers begin so often in a chunk, inner substrings in a part of it, which is counted off from its start.
+#: The columns of a chunk are more than Spark fuses into one method (100), which would be too long for the JVM to compile.
+CHUNK, PART = 96, 16
 SIZE = 64
 BUCKET_ROWS = 100
 #: Ranges of ids at most: beyond some 100 million rows, ranges grow.
@@ -50,41 +51,58 @@ MOST_BUCKETS = 1 << 20
 QUANTILES = 128
 #: The places of inner substrings in a k-mer; first and last must cover it.
 LAST = K - S
-assert LAST == 7 and LAST <= S, "the window minimum below is over 8 neighbours"
+assert LAST <= S
 
 
-def inner_hashes(text: Column) -> Column:
-    """The hashes of all substrings of S code points of a text that has at least S."""
-    begins = lambda x, step: F.sequence(F.lit(0), F.greatest(F.length(x) - S, F.lit(0)), F.lit(step))
-    cut = lambda x, at, n: F.substring(x, at + 1, F.lit(n + S - 1))
-    part = lambda p: F.transform(begins(p, 1), lambda i: F.xxhash64(F.substring(p, i + 1, F.lit(S))))
-    chunk = lambda c: F.flatten(F.transform(F.transform(begins(c, PART), lambda at: cut(c, at, PART)), part))
-    # One pass cuts the text; each chunk then takes the beginning of the next along. A last one of fewer than S code points is all in the one before.
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    chunks = F.zip_with(pieces, F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, S - 1), F.lit(""))))
-    return F.flatten(F.transform(F.filter(chunks, lambda c: F.length(c) >= S), chunk))
+def _closed(first: Column, last: Column, between: Column) -> Column:
+    """Whether the smallest hash of a k-mer is its first or its last one."""
+    return F.least(first, last) <= between
 
 
-def _least_with(values: Column, shift: int) -> Column:
-    """The smaller of each value and the one ``shift`` places on."""
-    return F.zip_with(values, F.slice(values, F.lit(1 + shift), F.size(values)), lambda a, b: F.least(a, b))
+def chunk_anchors(df: DataFrame, text: str) -> DataFrame:
+    """The columns of ``df``; its non-null text stays in one row (``_chunk`` 0) of several. ``_at`` and ``_hash`` have the places (from 0) and hashes of the closed syncmers.
+
+    Chunks are numbered from 1. A text of fewer than K code points has its anchor in row 0.
+    """
+    keys = [c for c in df.columns if c != text]
+    # Each chunk takes the beginning of the next along.
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    rows = df.select(*keys, F.posexplode(F.concat(F.array(text), chunks)).alias("_chunk", text))
+    keys += ["_chunk", text]
+    size, inside = F.length(text), F.col("_chunk") > 0
+    inner = range(CHUNK + LAST)
+    # Columns of their own, each used more than once, so the optimizer does not put one inside the next.
+    rows = rows.select(*keys, F.when(inside, size).otherwise(0).alias("_size"), *(F.when(inside, F.substring(text, i + 1, PART + S - 1)).alias(f"_part{i // PART}") for i in inner[::PART]))
+    rows = rows.select(*keys, "_size", *(F.xxhash64(F.substring(f"_part{i // PART}", i % PART + 1, S)).alias(f"_inner{i}") for i in inner))
+    h = [F.col(f"_inner{i}") for i in inner]
+    found = [(F.col("_size") >= i + K) & _closed(h[i], h[i + LAST], F.least(*h[i + 1 : i + LAST])) for i in range(CHUNK)]
+    short = ~inside & (size > 0) & (size < K)
+    # No condition around these arrays: within one, the tests would be done for each of both.
+    at = F.array_remove(F.array(F.when(short, 0).otherwise(-1), *(F.when(f, (F.col("_chunk") - 1) * CHUNK + i).otherwise(-1) for i, f in enumerate(found))), -1)
+    none = F.array().cast("array<bigint>")
+    hashes = F.flatten(F.array(F.when(short, F.array(F.xxhash64(text))).otherwise(none), *(F.when(f, F.array(F.xxhash64(h[i], h[i + LAST]))).otherwise(none) for i, f in enumerate(found))))
+    return rows.select(*keys[:-1], F.when(~inside, F.col(text)).alias(text), at.alias("_at"), hashes.alias("_hash"))
 
 
 def with_anchors(df: DataFrame, text: str, at: str, hashes: str) -> DataFrame:
-    """``df`` with the places (from 0) and hashes of the closed syncmers of a non-null text column."""
-    size = F.length(text)
-    # Columns of their own, each used more than once, so the optimizer does not put one inside the next.
-    df = df.withColumn("_inner", F.when(size >= K, inner_hashes(F.col(text))))
-    # The smallest of 2, 4 and 8 neighbours; null neighbours beyond the end are passed over.
-    df = df.withColumn("_least", _least_with(F.col("_inner"), 1))
-    df = df.withColumn("_least", _least_with(F.col("_least"), 2))
-    df = df.withColumn("_least", F.zip_with(_least_with(F.col("_least"), 4), _least_with(F.col("_inner"), LAST), lambda m, edges: m == edges))
-    found = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_least") - LAST - 1, F.lit(0))), lambda i: F.get("_least", i))
-    h = lambda i: F.get("_inner", i)
+    """``df`` with the places and hashes of the closed syncmers of a non-null text column.
+
+    No shuffle, if ``df`` is dealt out by columns of its own.
+    """
+    keys = [*(c for c in df.columns if c != text), "_row"]
+    rows = chunk_anchors(df.withColumn("_row", F.monotonically_increasing_id()), text)
+    rows = rows.groupBy(*keys).agg(F.max(text).alias(text), F.sort_array(F.collect_list(F.struct("_chunk", "_at", "_hash"))).alias("_chunks"))
+    return rows.select(*keys[:-1], text, F.flatten("_chunks._at").alias(at), F.flatten("_chunks._hash").alias(hashes))
+
+
+def with_short_anchors(df: DataFrame, text: str, at: str, hashes: str) -> DataFrame:
+    """The same for texts of a few words, which stay in their rows."""
+    size, h = F.length(text), lambda i: F.get("_inner", i)
+    df = df.withColumn("_inner", F.transform(F.sequence(F.lit(0), F.greatest(size - S, F.lit(0))), lambda i: F.xxhash64(F.substring(text, i + 1, F.lit(S)))))
+    found = F.filter(F.sequence(F.lit(0), F.greatest(size - K, F.lit(0))), lambda i: _closed(h(i), h(i + LAST), F.array_min(F.slice("_inner", i + 2, LAST - 1))))
     df = df.withColumn(at, F.when(size >= K, found).when(size > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
     joined = F.transform(at, lambda i: F.xxhash64(h(i), h(i + LAST)))
-    df = df.withColumn(hashes, F.when(size >= K, joined).when(size > 0, F.array(F.xxhash64(F.col(text)))).otherwise(F.array().cast("array<bigint>")))
-    return df.drop("_inner", "_least")
+    return df.withColumn(hashes, F.when(size >= K, joined).when(size > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))).drop("_inner")
 
 
 def sketch(hashes: Column) -> Column:
@@ -105,7 +123,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, place, hash of every anchor, for positional matching."""
-    rows = with_anchors(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "_text", "_at", "_hash")
+    rows = chunk_anchors(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "_text")
     return rows.select("doc_id", F.explode(F.arrays_zip("_at", "_hash")).alias("a")).select("doc_id", F.col("a._at").alias("place"), F.col("a._hash").alias("hash"))
 
 
@@ -157,25 +175,24 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     # Anchors of the edited text: those within the kept part, those within the filled part, those over the seam.
     seam = F.greatest(F.col("keep") - (K - 1), F.lit(0))
     rows = rows.withColumn("_seam", F.substring("edited", seam + 1, F.least(F.col("keep"), F.lit(K - 1)) + F.least(F.col("fill"), F.lit(K - 1))))
-    rows = with_anchors(rows, "_seam", "_seam_at", "_seam_hash")
-    within = lambda at, hashes, room: F.slice(hashes, F.lit(1), F.size(F.filter(at, lambda p: p <= room - K)))
-    whole = F.concat(within("at", F.col("hash"), F.col("keep")), within("next_at", F.col("next_hash"), F.col("fill")), F.col("_seam_hash"))
-    # The seam of a text of fewer than K characters is the whole text, so is its one anchor.
-    long = F.col("keep") + F.col("fill") >= K
-    rows = rows.withColumn("changed", sketch(F.when(long, F.when(F.length("_seam") >= K, whole).otherwise(F.slice(whole, F.lit(1), F.size(whole) - F.size("_seam_hash")))).otherwise(F.col("_seam_hash"))))
-    # Anchors that the text and its edited text have at one place: all that lie in the kept part, and what the filled part happens to repeat.
+    within = lambda at, room: F.size(F.filter(at, lambda p: p <= room - K))
+    rows = rows.withColumn("n_kept", within("at", F.col("keep"))).withColumn("n_filled", within("next_at", F.col("fill")))
+    rows = with_short_anchors(rows, "_seam", "_seam_at", "_seam_hash")
+    # The seam of a text of fewer than K characters is the whole text, so is its one anchor; a seam of fewer in a longer text has none.
+    over = F.when((F.col("keep") + F.col("fill") >= K) & (F.length("_seam") < K), 0).otherwise(F.size("_seam_at"))
+    cut = lambda c, n: F.slice(c, F.lit(1), F.col(n))
+    rows = rows.withColumn("n_over", over).withColumn("_changed", F.concat(cut("_seam_hash", "n_over"), cut("next_hash", "n_filled")))
+    rows = rows.withColumn("changed", sketch(F.concat(cut("hash", "n_kept"), "_changed"))).withColumn("_rest", F.slice("hash", F.col("n_kept") + 1, F.size("hash")))
+    # Anchors that the text and its edited text have at one place: all that lie in the kept part, and what the rest happens to repeat. Few texts repeat a hash at all.
     placed = lambda at, hashes: F.zip_with(at, hashes, lambda p, h: F.xxhash64(p, h))
-    moved = F.transform(within("next_at", F.col("next_at"), F.col("fill")), lambda p: p + F.col("keep"))
-    over = F.transform(F.col("_seam_at"), lambda p: p + seam)
-    whole_at = F.concat(within("at", F.col("at"), F.col("keep")), moved, over)
-    rows = rows.withColumn("_places", F.when(long & (F.length("_seam") < K), F.slice(whole_at, F.lit(1), F.size(whole_at) - F.size("_seam_at"))).when(long, whole_at).otherwise(F.col("_seam_at")))
-    rows = rows.withColumn("_hashes", F.when(long & (F.length("_seam") < K), F.slice(whole, F.lit(1), F.size(whole) - F.size("_seam_hash"))).when(long, whole).otherwise(F.col("_seam_hash")))
-    aligned = F.size(F.array_intersect(placed(F.col("at"), F.col("hash")), placed(F.col("_places"), F.col("_hashes"))))
+    moved = F.concat(F.transform(cut("_seam_at", "n_over"), lambda p: p + seam), F.transform(cut("next_at", "n_filled"), lambda p: p + F.col("keep")))
+    repeated = F.size(F.array_intersect(placed(F.slice("at", F.col("n_kept") + 1, F.size("at")), F.col("_rest")), placed(moved, F.col("_changed"))))
+    aligned = F.col("n_kept") + F.when(F.arrays_overlap("_rest", "_changed"), repeated).otherwise(0)
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
-        F.size("_hashes").cast("long").alias("edited_anchors"), aligned.cast("long").alias("aligned_anchors"),
+        (F.col("n_kept") + F.size("_changed")).cast("long").alias("edited_anchors"), aligned.cast("long").alias("aligned_anchors"),
     )
 
 
