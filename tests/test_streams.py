@@ -78,6 +78,31 @@ def test_a_stream_holds_a_bounded_number_of_references(spark, monkeypatch):
         topk.score(asked(spark, [[1]]), frame(spark, np.zeros((4, 1), int)))
 
 
+def test_more_references_are_folded_in_blocks(spark, tmp_path, monkeypatch):
+    """A stream against more references than it may hold gives what the batch gives, ties over blocks and a request's own id included."""
+    from helpers import SF
+
+    from vicinal.plans.stream_queries import stream_topk_fold
+    from vicinal.plans.vector_queries import knn_vote_score
+
+    rng = np.random.default_rng(4)
+    refs, queries = rng.integers(0, 3, (400, 5)), rng.integers(0, 3, (30, 5))
+    rows, held = asked(spark, queries), frame(spark, refs)
+    rows = rows.union(held.filter("ref_id < 20").selectExpr("ref_id as q_id", "v"))
+    want = shown(knn.vote(knn.brute_force(rows, held)))
+    monkeypatch.setattr(knn, "QUERY_SLICE", 7)
+    assert shown(topk.score_blocks(rows, held, block=60)) == want
+    rows.write.parquet(str(tmp_path / "in"))
+    found = topk.score_blocks(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), held, block=60)
+    found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert shown(spark.read.parquet(str(tmp_path / "out"))) == want
+    few = held.limit(2)
+    assert shown(topk.score_blocks(rows, few)) == shown(knn.vote(knn.brute_force(rows, few)))
+    assert topk.score_blocks(rows, held.limit(0)).count() == 0
+    monkeypatch.setattr(topk, "MOST_HELD", 3)
+    assert shown(stream_topk_fold(spark, SF)) == shown(knn_vote_score(spark, SF))
+
+
 def test_no_batch_takes_more_than_its_bound(spark, tmp_path):
     spark.range(700).repartition(14).write.parquet(str(tmp_path / "in"))
     per_file = 700 // 14 + 8

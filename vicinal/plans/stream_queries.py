@@ -17,12 +17,12 @@ FILES, TAKEN = 12, 5
 
 
 def stream_topk_fold(spark, sf_dir):
-    """The votes of ``knn_vote_score``, by a stream that folds the references in its own plan."""
+    """The votes of ``knn_vote_score``, by a stream that folds the references in its own plan, block by block."""
     source = table(spark, sf_dir, "embeddings")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/embeddings.parque[t]")
     asked = stream.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), vectors.quantize(F.col("embedding")).alias("v"))
     path = new_path(spark, "scores")
-    found = topk.score(asked, v.refs(spark, sf_dir))
+    found = topk.score_blocks(asked, v.refs(spark, sf_dir))
     found.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(path)
 
