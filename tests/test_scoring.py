@@ -60,6 +60,42 @@ def test_only_the_selected_clusters_files_are_read(spark, built):
     assert ivf.within(own.refs, found.probe).count() == own.refs.filter(f"cluster_id = {found.probe.first()['cluster_id']}").count()
 
 
+def test_features_are_worked_out_before_they_are_quantized(spark):
+    """Nothing of the features is inside the transform, and the reason is worked out once however it is used."""
+    texts = [json.dumps(x) for x in (G0, G1, G2)] + ["{}", None, json.dumps(G1).replace("5912", "59x2"), json.dumps(G1) + " trailing"]
+    payloads = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "q_id bigint, value string")
+    for strict in (False, True):
+        want = features.vectorize(payloads, strict=strict).select("q_id", "reason", vectors.quantize("features").alias("v"))
+        assert sorted(map(repr, features.quantized(payloads, strict=strict).select("q_id", "reason", "v").collect())) == sorted(map(repr, want.collect()))
+    plan = features.quantized(payloads).filter("reason is null").select("q_id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("invalid_last_transaction") == 1 and "transform(features" in plan, plan
+
+
+def test_splits_make_clusters_by_the_rows_and_lose_none(spark, tmp_path, monkeypatch):
+    """The number of clusters follows the rows; copies, rows that the sample has not seen and ids of requests do no harm."""
+    from test_search import asked, frame, got, naive
+
+    from vicinal.operators import ivf
+
+    assert [index.split_clusters(n) for n in (0, 1200, 1_000_000, 46_000_000, 10**12)] == [16, 17, 500, 3391, 4096]
+    rng = np.random.default_rng(6)
+    refs = rng.integers(0, 3, (900, 14)) * rng.integers(1, 2000, 14)
+    refs[300:600] = refs[0]
+    queries = np.concatenate([refs[::40] + rng.integers(-30, 30, (23, 14)), refs[:1]])
+    monkeypatch.setattr(index, "SPLIT_SAMPLE", 200)
+    monkeypatch.setattr(index, "FILE_ROWS", 100)
+    at, rows = str(tmp_path / "index"), frame(spark, refs)
+    k = index.save_split(rows, at)
+    own = index.load(spark, at, k)
+    assert 8 < k <= 16 and own.refs.count() == 900
+    copies = {r["cluster_id"]: r["count"] for r in own.refs.groupBy("cluster_id").count().collect()}
+    assert max(copies.values()) >= 300
+    for few in (100, 0):
+        assert got(ivf.search(asked(spark, queries), own, few=few)) == {-1 - i: naive(q, refs) for i, q in enumerate(queries)}
+    assert index.save_split(rows.filter("ref_id between 300 and 400"), str(tmp_path / "copies")) == 1
+    assert got(ivf.search(asked(spark, refs[:1]), index.load(spark, str(tmp_path / "copies"))))[-1] == [(i, 0) for i in range(300, 305)]
+
+
 def test_corpus(spark, built):
     own, refs, fraud = built
     entries = spark.createDataFrame([(i, json.dumps(G1 | {"id": str(i)}), i < 6) for i in range(10)] + [(77, "{}", True)], "q_id bigint, value string, expected_approved boolean")

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.functions import vectors
 from vicinal.functions.scalars import day_of, ratio_or_zero, scaled
 
 PAYLOAD = """id string,
@@ -137,12 +138,32 @@ def feature_vector(p: str = "p", risk: str = "risk") -> Column:
     )
 
 
-def vectorize(payloads: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
-    """``payloads`` with ``reason`` (null: valid) and ``features`` (null: rejected)."""
+def _reason(column: str, strict: bool) -> Column:
     reason = rejection()
     if strict:
         reason = F.coalesce(F.when(F.col(column).isNull() | ~F.col(column).rlike(strict_pattern()), "not_strict"), reason)
-    parsed = parse(payloads, column).withColumn("reason", reason)
-    risks = F.broadcast(mcc_risks(payloads.sparkSession))  # ten fixed rows
-    joined = parsed.join(risks, F.col("p.merchant.mcc") == F.col("mcc"), "left")
+    return reason
+
+
+def _with_risk(parsed: DataFrame) -> DataFrame:
+    risks = F.broadcast(mcc_risks(parsed.sparkSession))  # ten fixed rows
+    return parsed.join(risks, F.col("p.merchant.mcc") == F.col("mcc"), "left")
+
+
+def vectorize(payloads: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
+    """``payloads`` with ``reason`` (null: valid) and ``features`` (null: rejected)."""
+    joined = _with_risk(parse(payloads, column).withColumn("reason", _reason(column, strict)))
     return joined.withColumn("features", F.when(F.col("reason").isNull(), feature_vector())).drop("p", "mcc", "risk")
+
+
+def quantized(payloads: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
+    """``payloads`` with ``reason`` and ``v``, the quantized features.
+
+    Reason and features pass through arrays of one element, as the parsed
+    request does: a filter would work out the reason again, and Spark does not
+    compile what it pulls into the transform that quantizes.
+    """
+    checked = parse(payloads, column).select("*", F.explode(F.array(_reason(column, strict))).alias("reason"))
+    found = F.when(F.col("reason").isNull(), feature_vector())
+    rows = _with_risk(checked).select(*(payloads[c] for c in payloads.columns), "reason", F.explode(F.array(found)).alias("features"))
+    return rows.withColumn("v", vectors.quantize("features")).drop("features")

@@ -3,10 +3,17 @@
 Rows are Parquet partitioned by cluster, so a join on selected clusters prunes
 partitions at run time. Centroids, cluster statistics and a manifest of one
 row lie beside them.
+
+Clusters come from k-means, or from splits (``save_split``): a tree of cuts
+through single dimensions, grown on a bounded sample, deals every row to a
+leaf. Its boxes hardly overlap, a row is placed in a dozen comparisons whatever
+the number of clusters, and that number follows the rows, so searches of a
+share of the rows do not grow with their square.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +28,10 @@ from vicinal.session import written
 
 MAGIC, VERSION = "VICINAL", 1
 ROWS_PER_BLOCK = 8
-#: A cluster's files: one for about so many rows of the whole index, and at most so many.
-FILE_ROWS, MOST_FILES = 2_000_000, 256
+#: A cluster's files: one for about so many of its rows, and at most so many.
+FILE_ROWS, MOST_FILES = 125_000, 256
+#: Rows that splits are grown on, about, and the least and most clusters that they make.
+SPLIT_SAMPLE, LEAST_SPLIT, MOST_SPLIT = 200_000, 16, 4096
 EMPTY_LO, EMPTY_HI = vectors.LARGEST, vectors.SMALLEST
 
 
@@ -73,9 +82,10 @@ def cluster_boxes(assigned: DataFrame, dims: int, vector: str = "q") -> DataFram
         own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             x, cluster = matrix(batch.column(1), None), batch.column(0).to_numpy()
-            for c in np.unique(cluster):
-                part = x[cluster == c]
-                lo, hi = part.min(axis=0), part.max(axis=0)
+            order = np.argsort(cluster, kind="stable")
+            found, first = np.unique(cluster[order], return_index=True)
+            ends = (f.reduceat(x[order], first, axis=0) for f in (np.minimum, np.maximum)) if len(found) else ((), ())
+            for c, lo, hi in zip(found, *ends, strict=True):
                 own[c] = (np.minimum(lo, own[c][0]), np.maximum(hi, own[c][1])) if c in own else (lo, hi)
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), *(pa.array([list(v[i]) for v in own.values()], batch.schema.field(1).type) for i in (0, 1))], names=["cluster_id", "lo", "hi"])
@@ -111,16 +121,74 @@ def save(rows: DataFrame, centroids: np.ndarray, path: str, k: int) -> None:
     spark, dims = rows.sparkSession, centroids.shape[1]
     rows = written(rows, "assigned")
     # Large clusters are written by several tasks, each sorted by id inside.
-    parts = max(1, min(MOST_FILES, -(-rows.count() // FILE_ROWS)))
-    rows.repartition("cluster_id", F.pmod(F.xxhash64("ref_id"), F.lit(parts))).sortWithinPartitions("cluster_id", "ref_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
-    stored = spark.read.parquet(f"{path}/refs")
-    cluster_meta(stored, k, dims).coalesce(1).write.mode("overwrite").parquet(f"{path}/cluster_meta")
+    parts = rows.groupBy("cluster_id").agg(F.least(F.lit(MOST_FILES), F.ceil(F.count(F.lit(1)) / FILE_ROWS)).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(parts), "cluster_id").withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts")))
+    dealt.repartition("cluster_id", "part").select("ref_id", "q", "is_fraud", "cluster_id").sortWithinPartitions("cluster_id", "ref_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/refs")
+    cluster_meta(rows, k, dims).coalesce(1).write.mode("overwrite").parquet(f"{path}/cluster_meta")
     table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")
     table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    manifest = spark.createDataFrame([(MAGIC, VERSION, stored.count(), k, vectors.SCALE, dims)], "magic string, format_version int, n bigint, k_clusters int, fix_scale int, dims int")
+    manifest = spark.createDataFrame([(MAGIC, VERSION, rows.count(), k, vectors.SCALE, dims)], "magic string, format_version int, n bigint, k_clusters int, fix_scale int, dims int")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
+class Splits:
+    """A tree of cuts: a row goes left of a node where its value in the node's dimension is below the cut."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        """Grown on ``sample``: the leaf of the most rows is cut next, near the median of the dimension that spreads most, while its rows differ."""
+        nodes, leaf_rows, heap = [(-1, 0, -1, -1)], {}, [(-len(sample), 0, np.arange(len(sample)))]
+        while heap:
+            _, node, rows = heapq.heappop(heap)
+            x = sample[rows]
+            spread = x.var(axis=0)
+            dim = int(spread.argmax())
+            if len(heap) + len(leaf_rows) + 1 >= leaves or not spread[dim]:
+                leaf_rows[node] = rows
+                continue
+            values = np.sort(x[:, dim])
+            cut = values[len(values) // 2]
+            if cut == values[0]:
+                cut = values[np.searchsorted(values, cut, "right")]
+            below = x[:, dim] < cut
+            nodes[node] = (dim, cut, len(nodes), len(nodes) + 1)
+            for part in (rows[below], rows[~below]):
+                heapq.heappush(heap, (-len(part), len(nodes), part))
+                nodes.append((-1, 0, -1, -1))
+        self.dim, self.cut, self.left, self.right = (np.array(c) for c in zip(*nodes, strict=True))
+        self.leaf = np.full(len(nodes), -1, np.int32)
+        self.leaf[list(leaf_rows)] = np.arange(len(leaf_rows))
+        self.centroids = np.array([sample[rows].mean(axis=0) for rows in leaf_rows.values()])
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        node, open_ = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        while len(open_ := open_[self.dim[node[open_]] >= 0]):
+            at = node[open_]
+            node[open_] = np.where(rows[open_, self.dim[at]] < self.cut[at], self.left[at], self.right[at])
+        return self.leaf[node]
+
+
+def split_clusters(rows: int) -> int:
+    """Clusters for so many rows, as their root: where a share of the rows is searched for, bounds of all clusters and distances within a few grow alike."""
+    return int(min(MOST_SPLIT, max(LEAST_SPLIT, rows**0.5 / 2)))
+
+
+def save_split(refs: DataFrame, path: str, k: int | None = None) -> int:
+    """Write the index of ``refs`` (ref_id, v integers, is_fraud; a written table) by splits; the number of its clusters."""
+    n = refs.count()
+    sample = refs.filter(F.pmod(F.xxhash64("ref_id"), F.lit(n // SPLIT_SAMPLE + 1)) == 0).select("v").toArrow()
+    splits = Splits(matrix(pa.concat_arrays(sample.column(0).chunks), np.int64), k or split_clusters(n))
+    shared = refs.sparkSession.sparkContext.broadcast(splits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.place(matrix(batch.column(1), np.int64)))], names=["ref_id", "q", "is_fraud", "cluster_id"])
+
+    placed = refs.select("ref_id", F.col("v").cast("array<smallint>"), "is_fraud").mapInArrow(run, "ref_id bigint, q array<smallint>, is_fraud boolean, cluster_id int")
+    save(placed, splits.centroids / vectors.SCALE, path, len(splits.centroids))
+    return len(splits.centroids)
+
+
 class Index:
     """A loaded index: tables refs (ref_id, q, is_fraud, cluster_id), meta, and centroids."""
 

@@ -38,9 +38,13 @@ MODES = ("exact", "capped")
 
 
 def box_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distance of each query to each box."""
-    gap = np.maximum(0, np.maximum(lo[None] - q[:, None], q[:, None] - hi[None]))
-    return (gap * gap).sum(axis=2)
+    """Squared distance of each query to each box, added up by dimensions."""
+    out = np.zeros((len(q), len(lo)), np.int64)
+    for dim in range(lo.shape[1]):
+        x = q[:, dim, None]
+        gap = np.maximum(0, np.maximum(lo[:, dim] - x, x - hi[:, dim]))
+        out += gap * gap
+    return out
 
 
 class Clusters:
@@ -55,7 +59,9 @@ class Clusters:
         self.centroids = index.centroids[self.ids] * vectors.SCALE if len(self.ids) else np.zeros((0, index.dims))
 
     def nearest(self, q: np.ndarray) -> np.ndarray:
-        d = ((q[:, None] - self.centroids[None]) ** 2).sum(axis=2)
+        d = np.zeros((len(q), len(self.ids)))
+        for dim in range(self.centroids.shape[1]):
+            d += (q[:, dim, None] - self.centroids[:, dim]) ** 2
         return self.ids[d.argmin(axis=1)]
 
 
@@ -85,18 +91,15 @@ def selections(seeded: DataFrame, clusters: Clusters, mode: str, cap: int = CAP)
                 bounds = box_bounds(matrix(part.column(1), np.int64), c.lo, c.hi)
                 probed = part.column(2).to_numpy()
                 worst = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-                rows, found = [], []
-                for i, row in enumerate(bounds):
-                    others = np.flatnonzero(c.ids != probed[i])
-                    if mode == "capped":
-                        others = others[np.lexsort((c.ids[others], row[others]))[:cap]]
-                    if not np.isnan(worst[i]):
-                        others = others[row[others] <= worst[i]]
-                    rows += [i] * len(others)
-                    found.append(c.ids[others])
-                if rows:
+                chosen = (c.ids != probed[:, None]) & ((bounds <= worst[:, None]) | np.isnan(worst)[:, None])
+                if mode == "capped":
+                    for i, row in enumerate(bounds):
+                        others = np.flatnonzero(c.ids != probed[i])
+                        chosen[i, others[np.lexsort((c.ids[others], row[others]))[cap:]]] = False
+                rows, found = np.nonzero(chosen)
+                if len(rows):
                     taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(3), pa.array(np.concatenate(found))], names=["q_id", "v", "worst", "cluster_id"])
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(3), pa.array(c.ids[found])], names=["q_id", "v", "worst", "cluster_id"])
 
     return seeded.select("q_id", "v", "probed", "worst").mapInArrow(run, "q_id bigint, v array<int>, worst bigint, cluster_id int")
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.functions import vectors
 from vicinal.operators import evaluate, features, ivf, knn
 from vicinal.operators.index import Index
 from vicinal.session import written
@@ -20,7 +19,7 @@ def score_payloads(payloads: DataFrame, index: Index, mode: str = "exact", k: in
     reason. Ids must be distinct. A reference with the id of a request is not
     its neighbour. Without any reference nobody votes and requests are approved.
     """
-    asked = written(features.vectorize(payloads.select("q_id", "value"), strict=strict).select("q_id", "reason", vectors.quantize("features").alias("v")), "requests")
+    asked = written(features.quantized(payloads.select("q_id", "value"), strict=strict).select("q_id", "reason", "v"), "requests")
     found = knn.vote(ivf.search(asked.filter("reason is null").select("q_id", "v"), index, mode, k, cap), k)
     out = asked.select("q_id", "reason").join(found, "q_id", "left")
     valid = F.col("reason").isNull()

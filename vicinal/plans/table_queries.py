@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.functions import scalars, vectors
-from vicinal.operators import evaluate, features, scoring, windows
-from vicinal.operators.index import Index
-from vicinal.plans.vector_queries import start_index
+from vicinal.functions import scalars
+from vicinal.operators import evaluate, features, index, scoring, windows
+from vicinal.plans.vector_queries import empty_index
 from vicinal.session import new_path, spread, table, written
 from vicinal.sources import metrics_text, payloads
 from vicinal.streaming import score
@@ -134,10 +133,14 @@ def payload_literals(spark, sf_dir):
     return found.select("o_orderkey", F.coalesce("reason", F.lit("valid")).alias("reason"), *map(at, ("amount", "km_from_home", "tx_count_24h", "mcc_risk")))
 
 
-def payload_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of all valid payloads but the requests: their features, labelled by their orders' priority."""
-    rows = features.vectorize(payload_rows(spark, sf_dir).filter("o_orderkey % 100 <> 0")).filter("reason is null")
-    return start_index(written(rows.select(F.col("o_orderkey").alias("ref_id"), vectors.quantize("features").alias("v"), "is_fraud"), "references"))
+def payload_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of all valid payloads but the requests, by splits: their features, labelled by their orders' priority."""
+    rows = features.quantized(payload_rows(spark, sf_dir).filter("o_orderkey % 100 <> 0")).filter("reason is null")
+    refs = written(rows.select(F.col("o_orderkey").alias("ref_id"), "v", "is_fraud"), "references")
+    if refs.isEmpty():
+        return empty_index(refs)
+    path = new_path(spark, "index")
+    return index.load(spark, path, index.save_split(refs, path))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,11 +42,17 @@ def assigned(rows: DataFrame) -> DataFrame:
     return kmeans.assign_sql(rows, starts(rows))
 
 
+def empty_index(rows: DataFrame) -> index.Index:
+    """The index of no rows."""
+    meta = rows.sparkSession.createDataFrame([], "cluster_id int, row_count bigint, lo array<int>, hi array<int>")
+    return index.Index(rows.select("ref_id", F.col("v").alias("q"), "is_fraud", F.lit(0).alias("cluster_id")), meta, np.zeros((0, 1)), 1)
+
+
 def start_index(rows: DataFrame) -> index.Index:
     """An index over the stride clusters, written and loaded."""
     centroids = np.array([r["centroid"] for r in starts(rows).orderBy("cluster_id").collect()], float)
     if not len(centroids):
-        return index.Index(rows.select("ref_id", F.col("v").alias("q"), "is_fraud", F.lit(0).alias("cluster_id")), rows.sparkSession.createDataFrame([], "cluster_id int, row_count bigint, lo array<int>, hi array<int>"), centroids.reshape(0, 1), 1)
+        return empty_index(rows)
     path = new_path(rows.sparkSession, "index")
     q = kmeans.assign(rows, centroids).select("ref_id", F.col("v").cast("array<smallint>").alias("q"), "is_fraud", "cluster_id")
     index.save(q, centroids / vectors.SCALE, path, len(centroids))
