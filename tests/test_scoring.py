@@ -96,6 +96,19 @@ def test_splits_make_clusters_by_the_rows_and_lose_none(spark, tmp_path, monkeyp
     assert got(ivf.search(asked(spark, refs[:1]), index.load(spark, str(tmp_path / "copies"))))[-1] == [(i, 0) for i in range(300, 305)]
 
 
+@pytest.mark.parametrize("name", ["stream_score_metrics", "payload_score_stream", "corpus_evaluation", "payload_score"])
+def test_clusters_that_are_searched_follow_the_rows(spark, monkeypatch, name):
+    from helpers import SF
+
+    from vicinal.operators import ivf
+    from vicinal.plans import registry
+
+    seen = []
+    monkeypatch.setattr(ivf, "Search", lambda q, own, *a, whole=ivf.Search: seen.append((own.meta.count(), own.refs.count())) or whole(q, own, *a))
+    assert registry.QUERIES[name](spark, SF).count() > 0
+    assert seen and all(k == index.split_clusters(n) > 16 for k, n in seen), seen
+
+
 def test_corpus(spark, built):
     own, refs, fraud = built
     entries = spark.createDataFrame([(i, json.dumps(G1 | {"id": str(i)}), i < 6) for i in range(10)] + [(77, "{}", True)], "q_id bigint, value string, expected_approved boolean")
